@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgflow.functions.forms import entities
 
@@ -71,7 +72,7 @@ def infer(df: DataFrame, prompt_col: str, model_factory: Callable[[], Callable[[
     """
     if done is not None and key:
         df = df.join(done.select(key), key, "left_anti")
-    schema = df.schema.add(out_col, "string")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.StringType())])
     cols = df.columns
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,3 +11,18 @@ streaming  the stateless/additive operators over ``readStream``
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Executors need no installed copy of this package: functions that run in
+    Python workers (Arrow batches) are pickled by value."""
+    try:
+        import sys
+
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # pragma: no cover - older cloudpickle
+        pass
+
+
+_ship_by_value()

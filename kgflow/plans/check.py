@@ -47,11 +47,17 @@ def compare(spark, sf_dir: str, fn, sql: str, con=None):
     rel = con.sql(sql)
     d_cols = rel.columns
     d_rows = rows_of(d_cols, rel.fetchall())
+    same = s_rows == d_rows
+    diff = []
+    if not same:
+        from collections import Counter
+        cs, cd = Counter(s_rows), Counter(d_rows)
+        diff = list((cs - cd).elements())[:3] + ["|"] + list((cd - cs).elements())[:3]
     return {
         "schema": sorted(s_cols) == sorted(d_cols),
         "rows": len(s_rows) == len(d_rows),
-        "values": s_rows == d_rows,
+        "values": same,
         "n_spark": len(s_rows), "n_oracle": len(d_rows),
         "spark_cols": s_cols, "oracle_cols": d_cols,
-        "diff": [r for r in s_rows if r not in d_rows][:3] + ["|"] + [r for r in d_rows if r not in s_rows][:3],
+        "diff": diff,
     }

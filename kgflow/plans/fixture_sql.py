@@ -77,3 +77,18 @@ from documents d join labels l on d.doc_id = l.doc_id
 TOKENS_SQL = """
 select user_id, event_id, case when value < 10 then -100 else cast(floor(value) as int) end as token_id from events
 """
+
+QNODES_SQL = """
+select o_orderkey as qid, cast(case when k.n = 4 then 4 when o_orderkey % 2 = 0 then k.n else 4 - k.n end as bigint) as nid,
+  case k.n when 1 then 'Order' when 3 then o_orderstatus else 'cust_' || (o_custkey % 5) end as id,
+  case k.n when 1 then 'class' when 3 then 'literal' else 'entity' end as type,
+  case when k.n = 1 then 1 else 0 end as question, 'none' as function
+from orders join (select unnest([1, 2, 3, 4]) as n) k on k.n < 4 or o_orderpriority = '1-URGENT'
+"""
+
+QEDGES_SQL = """
+select o_orderkey as qid, cast(case when o_orderkey % 2 = 0 then 1 else 3 end as bigint) as src,
+  cast(case when k.n = 3 then (case when o_orderkey % 2 = 0 then 3 else 1 end) else k.n end as bigint) as dst,
+  case when k.n = 3 then 'status' else 'placed_by' end as relation
+from orders join (select unnest([2, 3, 4]) as n) k on k.n < 4 or o_orderpriority = '1-URGENT'
+"""

@@ -157,3 +157,41 @@ def token_ids(t: Tables) -> DataFrame:
     e = t.events
     return e.select("user_id", "event_id",
                     F.when(F.col("value") < 10, F.lit(-100)).otherwise(F.floor("value").cast("int")).alias("token_id"))
+
+
+def query_graphs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """one query graph per order -- ``qnodes(qid, nid, id, type, question,
+    function)`` and ``qedges(qid, src, dst, relation)``.
+
+    The question node is the class Order, joined to a customer-group entity
+    (``cust_<custkey mod 5>``) by ``placed_by`` and to the status literal by
+    ``status``; urgent orders carry a second, indistinguishable entity node.
+    Even and odd order keys number the nodes in opposite orders, so
+    equivalent graphs have unequal node ids.
+    """
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    even = F.col("o_orderkey") % 2 == 0
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    ent = F.concat(F.lit("cust_"), (F.col("o_custkey") % 5).cast("string"))
+
+    def node(n: int, ident, typ: str):
+        return F.struct(F.lit(n).alias("n"), ident.alias("id"), F.lit(typ).alias("type"))
+
+    nodes = o.select(F.col("o_orderkey").alias("qid"), even.alias("even"), F.explode(F.concat(
+        F.array(node(1, F.lit("Order"), "class"), node(2, ent, "entity"), node(3, F.col("o_orderstatus"), "literal")),
+        F.when(urgent, F.array(node(4, ent, "entity"))).otherwise(F.array().cast(
+            "array<struct<n:int,id:string,type:string>>")))).alias("k"))
+    nid = F.when(F.col("k.n") == 4, F.lit(4)).when(F.col("even"), F.col("k.n")).otherwise(4 - F.col("k.n"))
+    qnodes = nodes.select("qid", nid.cast("long").alias("nid"), "k.id", "k.type",
+                          (F.col("k.n") == 1).cast("int").alias("question"), F.lit("none").alias("function"))
+    cls = F.when(even, F.lit(1)).otherwise(F.lit(3))
+
+    def edge(dst, rel: str):
+        return F.struct(dst.cast("long").alias("dst"), F.lit(rel).alias("relation"))
+
+    edges = o.select(F.col("o_orderkey").alias("qid"), cls.cast("long").alias("src"), F.explode(F.concat(
+        F.array(edge(F.lit(2), "placed_by"), edge(F.when(even, F.lit(3)).otherwise(F.lit(1)), "status")),
+        F.when(urgent, F.array(edge(F.lit(4), "placed_by"))).otherwise(F.array().cast(
+            "array<struct<dst:bigint,relation:string>>")))).alias("k"))
+    qedges = edges.select("qid", "src", "k.dst", "k.relation")
+    return qnodes, qedges

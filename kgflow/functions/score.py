@@ -9,6 +9,9 @@ following aggregations and the join need no further exchange.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,14 +113,75 @@ def _ngram_counts(df: DataFrame, keys: list[str], tokens: str, max_n: int) -> Da
             .agg(F.count(F.lit(1)).alias("c")))
 
 
+# --- per-row statistics in Arrow batches ------------------------------------
+
+# Same fixed patterns as _13A_RULES, in Python syntax.
+_PY13A = [(re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"), r" \1 "),
+          (re.compile(r"([^0-9])([\.,])"), r"\1 \2 "),
+          (re.compile(r"([\.,])([^0-9])"), r" \1 \2"),
+          (re.compile(r"([0-9])(-)"), r"\1 \2 ")]
+_NON_ALNUM = re.compile(r"[^a-z0-9]+")
+
+
+def tok13a_py(s: str | None) -> list[str]:
+    s = s or ""
+    for a, b in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"),
+                 ("&lt;", "<"), ("&gt;", ">")):
+        s = s.replace(a, b)
+    s = f" {s} "
+    for pat, rep in _PY13A:
+        s = pat.sub(rep, s)
+    return s.split()
+
+
+def tok_rouge_py(s: str | None) -> list[str]:
+    return _NON_ALNUM.sub(" ", (s or "").lower()).split()
+
+
+def _grams(t: list[str], n: int) -> Counter:
+    return Counter(tuple(t[i:i + n]) for i in range(len(t) - n + 1))
+
+
+_BLEU_ROW = T.StructType([T.StructField(n, T.LongType()) for n in
+                          ["tl", "rl", "poss1", "poss2", "poss3", "poss4", "m1", "m2", "m3", "m4"]])
+
+
+@F.pandas_udf(_BLEU_ROW)
+def _bleu_row_udf(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
+    rows = []
+    for p, rs in zip(pred, refs):
+        pt = tok13a_py(p)
+        rts = [tok13a_py(r) for r in (list(rs) if rs is not None else [])]
+        rl = min((len(r) for r in rts), default=0)
+        m = []
+        for n in range(1, 5):
+            merged = Counter()
+            for r in rts:
+                merged |= _grams(r, n)
+            m.append(sum((_grams(pt, n) & merged).values()))
+        rows.append([len(pt), rl] + [max(len(pt) - n + 1, 0) for n in range(1, 5)] + m)
+    return pd.DataFrame(rows, columns=_BLEU_ROW.fieldNames()).astype("int64") if rows else \
+        pd.DataFrame({c: pd.Series(dtype="int64") for c in _BLEU_ROW.fieldNames()})
+
+
 # --- BLEU --------------------------------------------------------------------
 
 def bleu_parts(df: DataFrame, pred="pred", refs="refs", id_col="id", by: list[str] | None = None,
-               max_order: int = 4) -> DataFrame:
+               max_order: int = 4, method: str = "rows") -> DataFrame:
     """Per-row additive BLEU statistics: lengths, possible and clipped matches
     per order.  Summing them over any grouping and applying ``bleu_final``
-    gives corpus BLEU for that group."""
+    gives corpus BLEU for that group.
+
+    ``method='rows'`` (default) computes each row's statistics in one Arrow
+    batch pass -- no shuffle, linear in the row's tokens.  ``method='explode'``
+    stays in the JVM: n-grams become rows and are counted per ``(id, n,
+    ngram)`` (one shuffle of all n-grams)."""
     by = list(by or [])
+    if method == "rows":
+        keys = by + [id_col]
+        st = df.select(*keys, _bleu_row_udf(_c(pred), _c(refs)).alias("b")).select(*keys, "b.*")
+        return st.select(*keys, "tl", "rl", *[f"poss{k}" for k in range(1, max_order + 1)],
+                         *[f"m{k}" for k in range(1, max_order + 1)])
     keys = by + [id_col]
     tok = (df.select(*keys, tok13a(pred).alias("pt"), F.transform(_c(refs), tok13a).alias("rts"))
            .repartition(*[F.col(k) for k in keys]))
@@ -161,13 +225,13 @@ def bleu_final(agg: DataFrame, keep: list[str], max_order: int = 4, detail: bool
 
 
 def bleu(df: DataFrame, pred="pred", refs="refs", id_col="id", by: list[str] | None = None,
-         max_order: int = 4, detail: bool = False) -> DataFrame:
+         max_order: int = 4, detail: bool = False, method: str = "rows") -> DataFrame:
     """M4 / M5: corpus BLEU with several references (clipped n-gram precision
     summed over the corpus, brevity penalty against the shortest reference,
     no smoothing).  ``by`` scores several runs in one pass.  ``detail`` adds
     the precisions, brevity penalty, length ratio and lengths."""
     by = list(by or [])
-    parts = bleu_parts(df, pred, refs, id_col, by, max_order)
+    parts = bleu_parts(df, pred, refs, id_col, by, max_order, method)
     return bleu_final(parts.groupBy(*by).agg(*bleu_sums(max_order)), by, max_order, detail)
 
 
@@ -178,10 +242,14 @@ def _f1(p: Column, r: Column) -> Column:
 
 
 def rouge_n(df: DataFrame, pred="pred", refs="refs", id_col="id", orders=(1, 2),
-            by: list[str] | None = None) -> DataFrame:
-    """M7 per row: ROUGE-N F1 against the best reference (per N), no stemming."""
+            by: list[str] | None = None, method: str = "rows") -> DataFrame:
+    """M7 per row: ROUGE-N F1 against the best reference (per N), no stemming.
+    ``method='rows'``: Arrow batch pass (N in 1, 2); ``'explode'``: n-gram
+    rows counted in the JVM, any N."""
     by = list(by or [])
     keys = by + [id_col]
+    if method == "rows" and set(orders) <= {1, 2}:
+        return rouge_scores(df, pred, refs, keys).select(*keys, *[f"rouge{n}" for n in orders])
     mx = max(orders)
     tok = (df.select(*keys, tok_rouge(pred).alias("pt"), F.transform(_c(refs), tok_rouge).alias("rts"))
            .repartition(*[F.col(k) for k in keys]))
@@ -216,11 +284,6 @@ def _lcs(a: list, b: list) -> int:
     return prev[-1]
 
 
-def _tok_rouge_py(s: str) -> list[str]:
-    import re
-    return [t for t in re.sub(r"[^a-z0-9]+", " ", (s or "").lower()).split() if t]
-
-
 def _union_lcs_len(ref_sents, pred_sents) -> int:
     """Summary-level LCS of ROUGE-Lsum: for each reference sentence the union of
     its LCS tokens with every prediction sentence, counted with clipping."""
@@ -263,33 +326,48 @@ def _f(p, r):
     return 0.0 if p + r == 0 else 2 * p * r / (p + r)
 
 
-@F.pandas_udf(T.StructType([T.StructField("rougeL", T.DoubleType()), T.StructField("rougeLsum", T.DoubleType())]))
-def _rouge_l_udf(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
-    outl, outs = [], []
+_ROUGE_ROW = T.StructType([T.StructField(n, T.DoubleType()) for n in ["rouge1", "rouge2", "rougeL", "rougeLsum"]])
+
+
+def _rouge_n_f(pt: list[str], rt: list[str], n: int) -> float:
+    pc, rc = _grams(pt, n), _grams(rt, n)
+    ov = sum((pc & rc).values())
+    return _f(ov / max(sum(pc.values()), 1), ov / max(sum(rc.values()), 1))
+
+
+@F.pandas_udf(_ROUGE_ROW)
+def _rouge_row_udf(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
+    rows = []
     for p, rs in zip(pred, refs):
-        pt = _tok_rouge_py(p)
-        best_l = best_s = 0.0
-        psents = [_tok_rouge_py(s) for s in (p or "").split("\n")]
-        psents = [s for s in psents if s]
+        pt = tok_rouge_py(p)
+        psents = [t for t in (tok_rouge_py(x) for x in (p or "").split("\n")) if t]
+        best = [0.0, 0.0, 0.0, 0.0]
         for r in (list(rs) if rs is not None else []):
-            rt = _tok_rouge_py(r)
+            rt = tok_rouge_py(r)
             lcs = _lcs(rt, pt)
-            best_l = max(best_l, _f(lcs / len(pt) if pt else 0.0, lcs / len(rt) if rt else 0.0))
-            rsents = [s for s in (_tok_rouge_py(s) for s in (r or "").split("\n")) if s]
+            rsents = [t for t in (tok_rouge_py(x) for x in (r or "").split("\n")) if t]
             u = _union_lcs_len(rsents, psents)
             npred, nref = sum(map(len, psents)), sum(map(len, rsents))
-            best_s = max(best_s, _f(u / npred if npred else 0.0, u / nref if nref else 0.0))
-        outl.append(best_l)
-        outs.append(best_s)
-    return pd.DataFrame({"rougeL": outl, "rougeLsum": outs})
+            sc = [_rouge_n_f(pt, rt, 1), _rouge_n_f(pt, rt, 2),
+                  _f(lcs / len(pt) if pt else 0.0, lcs / len(rt) if rt else 0.0),
+                  _f(u / npred if npred else 0.0, u / nref if nref else 0.0)]
+            best = [max(a, b) for a, b in zip(best, sc)]
+        rows.append(best)
+    return pd.DataFrame(rows, columns=_ROUGE_ROW.fieldNames()) if rows else \
+        pd.DataFrame({c: pd.Series(dtype="float64") for c in _ROUGE_ROW.fieldNames()})
+
+
+def rouge_scores(df: DataFrame, pred="pred", refs="refs", keep: list[str] | None = None) -> DataFrame:
+    """M7 + M8 per row in one Arrow batch pass: ROUGE-1, ROUGE-2, ROUGE-L and
+    ROUGE-Lsum F1, each against its best reference; no shuffle."""
+    keep = list(keep or [])
+    return df.select(*keep, _rouge_row_udf(_c(pred), _c(refs)).alias("r")).select(*keep, "r.*")
 
 
 def rouge_l(df: DataFrame, pred="pred", refs="refs", keep: list[str] | None = None) -> DataFrame:
-    """M8 per row: ROUGE-L and ROUGE-Lsum F1 (best reference).  The LCS dynamic
-    programme runs in Arrow batches on the executors (one small helper per
-    row; no driver work)."""
+    """M8 per row: ROUGE-L and ROUGE-Lsum F1 (best reference)."""
     keep = list(keep or [])
-    return df.select(*keep, _rouge_l_udf(_c(pred), _c(refs)).alias("rl")).select(*keep, "rl.*")
+    return rouge_scores(df, pred, refs, keep).select(*keep, "rougeL", "rougeLsum")
 
 
 def rouge_summary(per_row: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:

@@ -205,42 +205,86 @@ class KG:
         return self.instances(cls).argmin(r)
 
     # -- pattern and batch forms ---------------------------------------------
-    def match(self, patterns: list[tuple[str, str, str]], filters: Iterable[Column] = ()) -> DataFrame:
-        """Basic graph pattern.  Terms starting with ``?`` are variables,
-        anything else a constant; predicates must be constants.  Returns one
-        column per variable (without the ``?``).  Patterns are joined in an
-        order where each shares a variable with those before it, constants
-        first; a disconnected pattern is an error (it would be a product)."""
-        parts = []
-        for s, p, o in patterns:
-            if p.startswith("?"):
-                raise ValueError("variable predicates are not supported")
-            df = self.T(p)
-            cols = []
-            for term, col in ((s, "s"), (o, "o")):
-                if term.startswith("?"):
-                    cols.append((term[1:], col))
-                else:
-                    df = df.filter(F.col(col) == F.lit(term))
-            names = [n for n, _ in cols]
-            if len(names) == 2 and names[0] == names[1]:
-                df = df.filter(F.col("s") == F.col("o"))
-                cols = cols[:1]
-            parts.append((len(patterns) - len(cols), {n for n, _ in cols},
-                          df.select(*[F.col(c).alias(n) for n, c in cols])))
-        parts.sort(key=lambda t: -t[0])
-        _, seen, out = parts.pop(0)
-        while parts:
-            idx = next((i for i, (_, v, _) in enumerate(parts) if v & seen), None)
+    def _pattern(self, s: str, p: str, o: str) -> DataFrame:
+        if p.startswith("?"):
+            raise ValueError("variable predicates are not supported")
+        df = self.T(p)
+        cols = []
+        for term, col in ((s, "s"), (o, "o")):
+            if term.startswith("?"):
+                cols.append((term[1:], col))
+            else:
+                df = df.filter(F.col(col) == F.lit(term))
+        if len(cols) == 2 and cols[0][0] == cols[1][0]:
+            df = df.filter(F.col("s") == F.col("o"))
+            cols = cols[:1]
+        return df.select(*[F.col(c).alias(n) for n, c in cols])
+
+    @staticmethod
+    def _vars(item) -> set[str]:
+        if isinstance(item, tuple):
+            return {t[1:] for t in (item[0], item[2]) if t.startswith("?")}
+        return set().union(*[KG._vars(i) for i in item])
+
+    def match(self, patterns: list, filters: Iterable[Column] = (), select: list[str] | None = None,
+              distinct: bool = False) -> DataFrame:
+        """Basic graph pattern.
+
+        Terms starting with ``?`` are variables, anything else a constant;
+        predicates are constants.  Patterns are joined in the given order,
+        each next one chosen as the first that shares a variable with what is
+        joined so far (a disconnected pattern is an error: it would be a
+        product).  A nested list is a sub-pattern joined on its own first
+        (a bushy plan).  With ``select``, variables needed neither later nor
+        in the output are projected away after each join, and with
+        ``distinct`` duplicates are dropped there too (set semantics), which
+        keeps intermediates at the size of the distinct bindings.
+        """
+        return self._match(list(patterns), list(filters), set(select) if select else None, distinct)
+
+    def _match(self, items: list, filters: list, keep: set[str] | None, distinct: bool) -> DataFrame:
+        def build(item, needed):
+            if isinstance(item, tuple):
+                return self._pattern(*item)
+            return self._match(list(item), [], needed & self._vars(item), distinct)
+
+        rest = list(items)
+        first = rest.pop(0)
+        seen = self._vars(first)
+        later = set().union(*[self._vars(i) for i in rest]) if rest else set()
+        out = build(first, (keep or seen) | later)
+        while rest:
+            idx = next((i for i, it in enumerate(rest) if self._vars(it) & seen), None)
             if idx is None:
                 raise ValueError("disconnected graph pattern: refusing a cartesian product")
-            _, vars_, df = parts.pop(idx)
-            out = out.join(df, sorted(vars_ & seen))
-            seen |= vars_
+            item = rest.pop(idx)
+            vs = self._vars(item)
+            later = set().union(*[self._vars(i) for i in rest]) if rest else set()
+            right = build(item, (keep if keep is not None else vs) | later | seen)
+            out = out.join(right, sorted(vs & seen))
+            seen |= vs
+            if keep is not None:
+                need = sorted(v for v in seen if v in keep or v in later)
+                if len(need) < len(out.columns):
+                    out = out.select(*need)
+                    if distinct:
+                        out = out.distinct()
         for f in filters:
             out = out.filter(f)
+        if keep is not None:
+            out = out.select(*[v for v in out.columns if v in keep])
+            if distinct:
+                out = out.distinct()
         return out
 
+    @staticmethod
+    def predicates_of(steps: DataFrame, limit: int = 10000) -> list[str] | None:
+        """Distinct predicates named by a step table, when there are at most
+        ``limit`` of them (a schema-sized list, one small aggregate); None
+        means "do not prune"."""
+        ps = [r.p for r in steps.select("p").distinct().limit(limit + 1).collect()]
+        return ps if len(ps) <= limit else None
+
     def answer_paths(self, seeds: DataFrame, steps: DataFrame, max_steps: int) -> DataFrame:
         """Multi-hop paths for a batch of queries in one job.
 
@@ -251,6 +295,9 @@ class KG:
         never exceeds the distinct node set of a query.
         """
         tri = self.triples.select("s", "p", "o")
+        preds = self.predicates_of(steps)
+        if preds is not None:      # prune to the predicates the batch uses
+            tri = tri.filter(F.col("p").isin(*preds))
         frontier = seeds.select("query_id", X).distinct()
         for k in range(1, max_steps + 1):
             sk = steps.filter(F.col("step") == k).select("query_id", "p", "inverse")

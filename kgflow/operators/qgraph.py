@@ -6,8 +6,9 @@ gets a canonical certificate instead, and equal certificates are the
 equivalence classes -- a group-by, no pairs.
 
 * G2 node labels are hashed, G1 parallel edges bundled.
-* G3 colour refinement (1-WL) runs as joins + per-node aggregates; the
-  colours are an isomorphism invariant.
+* G3 colour refinement (1-WL) runs on graphs packed one row per graph
+  (grouped once by id), so every round is a row-local expression and no
+  round shuffles; the colours are an isomorphism invariant.
 * G4: when refinement separates every node of a graph (the usual case for
   query graphs) the colour-labelled edge list *is* canonical and the
   certificate is computed in Spark.  Only graphs with tied colours go to a
@@ -61,87 +62,118 @@ def with_reverse_edges(qedges: DataFrame, inverse: DataFrame) -> DataFrame:
     return qedges.select("qid", "src", "dst", "relation").unionByName(rev).distinct()
 
 
-def refine(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3, checkpoint_every: int = 3) -> DataFrame:
-    """``qid, nid, colour`` after ``rounds`` of colour refinement.
+def pack(qnodes: DataFrame, qedges: DataFrame) -> DataFrame:
+    """One row per graph: ``qid, nodes array<struct<nid, c>>, edges
+    array<struct<src, dst, relation>>`` with ``c`` the G2 label.  A query
+    graph has a handful of nodes, so the row is small; both sides are grouped
+    by ``qid`` and the join reuses that partitioning."""
+    n = node_labels(qnodes).groupBy("qid").agg(
+        F.collect_list(F.struct(F.col("nid").cast("long").alias("nid"), F.col("label").alias("c"))).alias("nodes"))
+    e = qedges.groupBy("qid").agg(F.collect_list(F.struct(
+        F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "relation")).alias("edges"))
+    empty = F.array().cast("array<struct<src:bigint,dst:bigint,relation:string>>")
+    return n.join(e, "qid", "left").select("qid", "nodes", F.coalesce("edges", empty).alias("edges"))
 
+
+def _barrier(df: DataFrame) -> DataFrame:
+    """A one-to-one generator between rounds: keeps Catalyst from inlining a
+    round's colours into the next round's lambdas (which would re-evaluate
+    every earlier round once per node reference)."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
+
+
+def _colour_map(nodes: Column) -> Column:
+    return F.map_from_arrays(F.transform(nodes, lambda n: n["nid"]), F.transform(nodes, lambda n: n["c"]))
+
+
+def refine_packed(packed: DataFrame, rounds: int = 3) -> DataFrame:
+    """G3 on packed graphs: each round is a row-local expression (no shuffle).
     A node's new colour hashes its colour with the sorted multiset of
-    ``(direction, relation, neighbour colour)``.  Lineage is cut with a
-    reliable checkpoint (the shared ``spark.checkpoint.dir``) every
-    ``checkpoint_every`` rounds.
-    """
-    col = node_labels(qnodes).withColumnRenamed("label", "c")
-    e = qedges.select("qid", "src", "dst", "relation")
-    for r in range(1, rounds + 1):
-        out = e.join(col.withColumnRenamed("nid", "dst"), ["qid", "dst"]).select(
-            "qid", F.col("src").alias("nid"), F.concat(F.lit(">"), "relation", F.lit(":"), "c").alias("t"))
-        inn = e.join(col.withColumnRenamed("nid", "src"), ["qid", "src"]).select(
-            "qid", F.col("dst").alias("nid"), F.concat(F.lit("<"), "relation", F.lit(":"), "c").alias("t"))
-        sig = out.unionByName(inn).groupBy("qid", "nid").agg(
-            F.array_join(F.array_sort(F.collect_list("t")), ",").alias("sig"))
-        col = col.join(sig, ["qid", "nid"], "left").select(
-            "qid", "nid", F.md5(F.concat(F.col("c"), F.lit("|"), F.coalesce("sig", F.lit("")))).alias("c"))
-        if checkpoint_every and r % checkpoint_every == 0 and r < rounds:
-            col = col.checkpoint()
-    return col.withColumnRenamed("c", "colour")
+    ``(direction, relation, neighbour colour)``."""
+    df = packed
+    for _ in range(rounds):
+        df = _barrier(df.withColumn("_cm", _colour_map(F.col("nodes"))))
+        cm, edges = F.col("_cm"), F.col("edges")
+
+        def recolour(n):
+            out = F.transform(F.filter(edges, lambda e: e["src"] == n["nid"]),
+                              lambda e: F.concat(F.lit(">"), e["relation"], F.lit(":"), F.element_at(cm, e["dst"])))
+            inn = F.transform(F.filter(edges, lambda e: e["dst"] == n["nid"]),
+                              lambda e: F.concat(F.lit("<"), e["relation"], F.lit(":"), F.element_at(cm, e["src"])))
+            sig = F.array_join(F.array_sort(F.concat(out, inn)), ",")
+            return F.struct(n["nid"].alias("nid"), F.md5(F.concat(n["c"], F.lit("|"), sig)).alias("c"))
+
+        df = _barrier(df.withColumn("nodes", F.transform(F.col("nodes"), recolour)).drop("_cm"))
+    return df
+
+
+def refine(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3) -> DataFrame:
+    """``qid, nid, colour`` after ``rounds`` of colour refinement."""
+    r = refine_packed(pack(qnodes, qedges), rounds)
+    return r.select("qid", F.explode("nodes").alias("n")).select("qid", F.col("n.nid").alias("nid"),
+                                                                 F.col("n.c").alias("colour"))
+
+
+def _buckets(refined: DataFrame) -> DataFrame:
+    cols = F.transform("nodes", lambda n: n["c"])
+    return refined.withColumn("bucket", F.md5(F.array_join(F.array_sort(cols), ","))) \
+                  .withColumn("discrete", F.size(F.array_distinct(cols)) == F.size(cols))
 
 
 def wl_buckets(colours: DataFrame) -> DataFrame:
-    """``qid, bucket, discrete``: hash of the sorted final colours; ``discrete``
-    when every node has its own colour."""
+    """``qid, bucket, discrete`` from per-node colours: hash of the sorted
+    final colours; ``discrete`` when every node has its own colour."""
     return colours.groupBy("qid").agg(
         F.md5(F.array_join(F.array_sort(F.collect_list("colour")), ",")).alias("bucket"),
         (F.count_distinct("colour") == F.count(F.lit(1))).alias("discrete"))
 
 
-def _exact_certificate(nodes: pd.DataFrame, edges: pd.DataFrame) -> str:
+def wl_buckets_packed(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3) -> DataFrame:
+    return _buckets(refine_packed(pack(qnodes, qedges), rounds)).select("qid", "bucket", "discrete")
+
+
+def _exact_certificate(nodes: list[tuple[int, str]], edges: list[tuple[int, int, str]]) -> str:
     """Smallest colour-labelled edge list over the orderings that keep the
     refined colour classes in place (exact for the tied classes)."""
-    nodes = nodes.sort_values(["colour", "nid"])
-    classes = [list(g["nid"]) for _, g in nodes.groupby("colour", sort=True)]
-    colour_seq = ",".join(nodes["colour"])
-    el = list(zip(edges["src"], edges["dst"], edges["relation"]))
+    nodes = sorted(nodes, key=lambda t: (t[1], t[0]))
+    classes = [[n for n, _ in grp] for _, grp in itertools.groupby(nodes, key=lambda t: t[1])]
+    colour_seq = ",".join(c for _, c in nodes)
     best = None
     for perm in itertools.product(*[itertools.permutations(c) for c in classes]):
         pos = {n: i for i, n in enumerate(itertools.chain.from_iterable(perm))}
-        key = sorted((pos[s], pos[d], r) for s, d, r in el)
+        key = sorted((pos[s], pos[d], r) for s, d, r in edges)
         if best is None or key < best:
             best = key
     return colour_seq + "#" + ";".join(f"{s}>{d}:{r}" for s, d, r in best or [])
 
 
-@F.pandas_udf(T.StringType())
-def _exact_udf(nodes: pd.Series, edges: pd.Series) -> pd.Series:
-    out = []
-    for ns, es in zip(nodes, edges):
-        nd = pd.DataFrame(list(ns), columns=["nid", "colour"])
-        ed = pd.DataFrame(list(es) if es is not None else [], columns=["src", "dst", "relation"])
-        out.append(_exact_certificate(nd, ed))
-    return pd.Series(out)
+_RAW = T.StructType([T.StructField("qid", T.LongType()), T.StructField("raw", T.StringType())])
+
+
+def _exact_batches(it):
+    for pdf in it:
+        out = []
+        for ns, es in zip(pdf["tn"], pdf["edges"]):
+            nd = [(int(n["nid"]), n["colour"]) for n in ns]
+            ed = [(int(e["src"]), int(e["dst"]), e["relation"]) for e in (es if es is not None else [])]
+            out.append(_exact_certificate(nd, ed))
+        yield pd.DataFrame({"qid": pdf["qid"].astype("int64"), "raw": out})
 
 
 def certificates(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3) -> DataFrame:
     """``qid, cert``: canonical certificate of every graph (see module doc)."""
-    colours = refine(qnodes, qedges, rounds)
-    b = wl_buckets(colours)
-    e = qedges.select("qid", "src", "dst", "relation")
-    cs = colours.withColumnRenamed("nid", "src").withColumnRenamed("colour", "cs")
-    cd = colours.withColumnRenamed("nid", "dst").withColumnRenamed("colour", "cd")
-    lab = e.join(cs, ["qid", "src"]).join(cd, ["qid", "dst"]).select(
-        "qid", F.concat_ws(">", "cs", "relation", "cd").alias("t"))
-    disc = b.filter("discrete").select("qid", "bucket")
-    spark_cert = (lab.join(disc.select("qid"), "qid", "left_semi").groupBy("qid")
-                  .agg(F.array_join(F.array_sort(F.collect_list("t")), ";").alias("es"))
-                  .join(disc, "qid", "right")
-                  .select("qid", F.concat(F.lit("d:"), "bucket", F.lit("#"), F.coalesce("es", F.lit(""))).alias("cert")))
-    tied = b.filter(~F.col("discrete")).select("qid")
-    # one row per tied graph (bounded: a query graph has a handful of nodes)
-    tn = colours.join(tied, "qid", "left_semi").groupBy("qid").agg(
-        F.collect_list(F.struct("nid", "colour")).alias("nodes"))
-    te = e.join(tied, "qid", "left_semi").groupBy("qid").agg(
-        F.collect_list(F.struct("src", "dst", "relation")).alias("edges"))
-    exact = tn.join(te, "qid", "left").select(
-        "qid", F.concat(F.lit("x:"), F.md5(_exact_udf("nodes", "edges"))).alias("cert"))
-    return spark_cert.select(F.col("qid").cast("long"), "cert").unionByName(exact)
+    b = _buckets(refine_packed(pack(qnodes, qedges), rounds))
+    cm = _colour_map(F.col("nodes"))
+    labelled = F.transform("edges", lambda e: F.concat_ws(">", F.element_at(cm, e["src"]), e["relation"],
+                                                          F.element_at(cm, e["dst"])))
+    discrete_cert = F.concat(F.lit("d:"), F.col("bucket"), F.lit("#"), F.array_join(F.array_sort(labelled), ";"))
+    d = b.filter("discrete").select(F.col("qid").cast("long").alias("qid"), discrete_cert.alias("cert"))
+    tied = b.filter(~F.col("discrete")).select(
+        F.col("qid").cast("long").alias("qid"),
+        F.transform("nodes", lambda n: F.struct(n["nid"].alias("nid"), n["c"].alias("colour"))).alias("tn"), "edges")
+    x = (tied.mapInPandas(_exact_batches, _RAW)
+         .select("qid", F.concat(F.lit("x:"), F.md5("raw")).alias("cert")))
+    return d.unionByName(x)
 
 
 def equivalent_queries(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3) -> DataFrame:
@@ -149,3 +181,10 @@ def equivalent_queries(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3) ->
     c = certificates(qnodes, qedges, rounds)
     cls = c.groupBy("cert").agg(F.min("qid").alias("class_id"))
     return c.join(cls, "cert").select("qid", "class_id")
+
+
+def class_sizes(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3) -> DataFrame:
+    """G4 summary: ``class_id, size`` in one partial aggregate over the
+    certificates (a class holding most graphs costs one counter)."""
+    return certificates(qnodes, qedges, rounds).groupBy("cert").agg(
+        F.min("qid").alias("class_id"), F.count(F.lit(1)).alias("size")).select("class_id", "size")

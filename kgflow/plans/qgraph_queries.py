@@ -53,8 +53,7 @@ SQL_REVERSE_EDGES = f"""select distinct * from (
 def query_wl_buckets(spark, sf):
     """G2 -> G3 (three rounds): per graph the hash of its refined colours."""
     n, e = _graphs(spark, sf)
-    b = G.wl_buckets(G.refine(n, e, ROUNDS))
-    return b.select("qid", "bucket", "discrete")
+    return G.wl_buckets_packed(n, e, ROUNDS)
 
 
 def _wl_sql(rounds: int) -> str:
@@ -79,8 +78,7 @@ def query_classes(spark, sf):
     """Flagship G1 -> G2 -> G3 -> G4: equivalence classes of the query graphs
     and their sizes (class named by its smallest query id)."""
     n, e = _graphs(spark, sf)
-    eq = G.equivalent_queries(n, e, ROUNDS)
-    return eq.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
+    return G.class_sizes(n, e, ROUNDS)
 
 
 # The oracle derives the expected classes from the generating attributes.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgflow.sources.tables import Tables
+from kgflow.sources.tables import Tables, spread
 from kgflow.sources.triples import Attr, to_triples, union_triples
 
 # The ten relation names of the reference domain and their
@@ -111,8 +111,8 @@ def qa_forms(t: Tables) -> DataFrame:
     `` ) )``, braces, inverse-relation swap, list wrapper with a chat marker,
     wrong relation.
     """
-    p = t.part.select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("m"),
-                      F.lower("p_type").alias("ty"), "p_size")
+    p = spread(t.part.select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("m"),
+                             F.lower("p_type").alias("ty"), "p_size"))
     r = _cycle(F.col("idx"))
     rw = _cycle(F.col("idx") + 3)
     two = F.col("p_size") > 25

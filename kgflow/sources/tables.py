@@ -30,3 +30,12 @@ class Tables:
         if name in TABLES:
             return table(self.spark, self.sf_dir, name)
         raise AttributeError(name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame over the cluster's cores when it arrives in
+    fewer partitions than cores (a small file is one split).  Used before
+    CPU-heavy per-row work; a large input already has enough splits and is
+    left alone, so this costs nothing at scale."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

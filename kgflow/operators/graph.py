@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 X, XLANG = "x", "x_lang"
+TRIPLE_SCHEMA = "s string, p string, o string, o_kind string, o_datatype string, o_lang string"
 TYPE_P = "type.object.type"
 NUMERIC_TYPES = ("integer", "int", "long", "float", "double", "decimal")
 # Fixed value: the reference's stand-in for "now" in time constraints.
@@ -129,11 +130,44 @@ class KG:
     ``to_triples`` branches.
     """
 
-    def __init__(self, triples: DataFrame):
-        self.triples = triples
+    def __init__(self, triples: DataFrame | None = None, sources: dict | None = None, spark=None):
+        if triples is None and sources is None:
+            raise ValueError("give a triples DataFrame or per-predicate sources")
+        self._triples = triples
+        self._sources = sources
+        self._spark = spark if spark is not None else (triples.sparkSession if triples is not None else None)
+        self._branch: dict[str, DataFrame] = {}
 
     def T(self, p: str) -> DataFrame:
-        return self.triples.filter(F.col("p") == F.lit(p))
+        """Triples of one predicate (partition / branch pruning)."""
+        if self._sources is None:
+            return self._triples.filter(F.col("p") == F.lit(p))
+        if p not in self._branch:
+            parts = [b() for b in self._sources.get(p, [])]
+            self._branch[p] = (reduce(DataFrame.union, parts) if parts
+                               else self._spark.createDataFrame([], TRIPLE_SCHEMA))
+        return self._branch[p]
+
+    def predicates(self) -> list[str] | None:
+        return sorted(self._sources) if self._sources is not None else None
+
+    @property
+    def triples(self) -> DataFrame:
+        """The whole table."""
+        if self._triples is None:
+            self._triples = reduce(DataFrame.union, [self.T(p) for p in sorted(self._sources)])
+        return self._triples
+
+    def triples_for(self, preds: list[str] | None) -> DataFrame:
+        """The triples of the given predicates (all when None)."""
+        if preds is None:
+            return self.triples
+        if self._sources is None:
+            return self._triples.filter(F.col("p").isin(*preds))
+        known = [p for p in preds if p in self._sources]
+        if not known:
+            return self._spark.createDataFrame([], TRIPLE_SCHEMA)
+        return reduce(DataFrame.union, [self.T(p) for p in known])
 
     # -- starting points ---------------------------------------------------
     def having(self, r: str, e: str) -> "Bindings":
@@ -285,6 +319,18 @@ class KG:
         ps = [r.p for r in steps.select("p").distinct().limit(limit + 1).collect()]
         return ps if len(ps) <= limit else None
 
+    @staticmethod
+    def predicates_by_step(steps: DataFrame, limit: int = 10000) -> dict[int, list[str]] | None:
+        """``step -> distinct predicates`` when the (step, predicate) pairs are
+        schema-sized (at most ``limit``); None means "do not prune"."""
+        rows = steps.select("step", "p").distinct().limit(limit + 1).collect()
+        if len(rows) > limit:
+            return None
+        out: dict[int, list[str]] = {}
+        for r in rows:
+            out.setdefault(int(r.step), []).append(r.p)
+        return out
+
     def answer_paths(self, seeds: DataFrame, steps: DataFrame, max_steps: int) -> DataFrame:
         """Multi-hop paths for a batch of queries in one job.
 
@@ -294,12 +340,12 @@ class KG:
         ``(p, s)`` / ``(p, o)``; the frontier is de-duplicated per round so it
         never exceeds the distinct node set of a query.
         """
-        tri = self.triples.select("s", "p", "o")
-        preds = self.predicates_of(steps)
-        if preds is not None:      # prune to the predicates the batch uses
-            tri = tri.filter(F.col("p").isin(*preds))
+        per_step = self.predicates_by_step(steps)
         frontier = seeds.select("query_id", X).distinct()
         for k in range(1, max_steps + 1):
+            # each round reads only the predicates its step names
+            preds = per_step.get(k, []) if per_step is not None else None
+            tri = self.triples_for(preds).select("s", "p", "o")
             sk = steps.filter(F.col("step") == k).select("query_id", "p", "inverse")
             moving = frontier.join(sk, "query_id")
             fwd = (moving.filter(~F.col("inverse"))

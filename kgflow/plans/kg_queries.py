@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kgflow.operators.graph import KG, Bindings, classify_terms, end_property_col, narrow_class, with_inverses
 from kgflow.plans.fixture_sql import with_triples
-from kgflow.sources.fixtures import kg_triples
+from kgflow.sources.fixtures import kg_sources
 from kgflow.sources.tables import Tables
 
 REGION = "reg_2"
@@ -22,7 +22,7 @@ EN_PATTERN = "^en(-.*)?$"
 
 
 def kg(spark: SparkSession, sf_dir: str) -> KG:
-    return KG(kg_triples(Tables(spark, sf_dir)))
+    return KG(sources=kg_sources(Tables(spark, sf_dir)), spark=spark)
 
 
 def _last_var(b: Bindings) -> str:
@@ -130,7 +130,7 @@ def kg_paths_batch(spark, sf):
     """One seed per region, three reverse steps (orders for even regions,
     parts for odd ones), distinct answers counted per query: K24, K18."""
     t = Tables(spark, sf)
-    g = KG(kg_triples(t))
+    g = KG(sources=kg_sources(t), spark=spark)
     seeds, steps = _path_inputs(t)
     return g.answer_paths(seeds, steps, 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -33,8 +33,8 @@ def _date_str(c: str):
     return F.col(c).cast("date").cast("string")
 
 
-def kg_triples(t: Tables) -> DataFrame:
-    """the commerce tables as a knowledge graph.
+def kg_sources(t: Tables) -> dict[str, list]:
+    """F1 as lazy per-predicate branches: ``predicate -> [builder, ...]``.
 
     Classes Region/Nation/Customer/Supplier/Part/Order; relations in_region,
     in_nation, placed_by, contains, supplied_by; literals total_price
@@ -43,53 +43,58 @@ def kg_triples(t: Tables) -> DataFrame:
     active.from / active.to.  A customer in debt (negative balance) has no
     recorded start, a customer in the BUILDING segment no recorded end, so
     the time-validity operator sees open intervals on real rows.
+
+    A query asks the graph for predicates; only their branches are built and
+    scanned -- the lazy counterpart of a triples copy partitioned by ``p``.
     """
-    region, nation, customer = t.region, t.nation, t.customer
-    supplier, part, orders, lineitem = t.supplier, t.part, t.orders, t.lineitem
-
-    def typ(df, key, prefix, cls):
-        return to_triples(df, F.concat(F.lit(prefix), F.col(key)),
-                          [Attr("type.object.type", F.lit(cls), unique=True)])
-
-    first = (orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("d"))
-             .join(customer.filter(F.col("c_acctbal") >= 0).select(F.col("c_custkey").alias("o_custkey")),
-                   "o_custkey", "left_semi"))
-    last = (orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("d"))
-            .join(customer.filter(F.col("c_mktsegment") != "BUILDING").select(F.col("c_custkey").alias("o_custkey")),
-                  "o_custkey", "left_semi"))
-    cust = F.concat(F.lit("cust_"), F.col("o_custkey"))
+    def first():
+        return (t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("d"))
+                .join(t.customer.filter(F.col("c_acctbal") >= 0).select(F.col("c_custkey").alias("o_custkey")),
+                      "o_custkey", "left_semi"))
+
+    def last():
+        return (t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("d"))
+                .join(t.customer.filter(F.col("c_mktsegment") != "BUILDING")
+                      .select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi"))
+
+    def key(prefix, col):
+        return F.concat(F.lit(prefix), F.col(col))
+
+    cust = key("cust_", "o_custkey")
     lang = (F.when(F.col("p_partkey") % 3 == 0, "en").when(F.col("p_partkey") % 3 == 1, "fi")
             .otherwise(""))
-    parts = [
-        typ(region, "r_regionkey", "reg_", "Region"),
-        typ(nation, "n_nationkey", "nat_", "Nation"),
-        typ(customer, "c_custkey", "cust_", "Customer"),
-        typ(supplier, "s_suppkey", "supp_", "Supplier"),
-        typ(part, "p_partkey", "part_", "Part"),
-        typ(orders, "o_orderkey", "ord_", "Order"),
-        to_triples(nation, F.concat(F.lit("nat_"), "n_nationkey"),
-                   [Attr("in_region", F.concat(F.lit("reg_"), "n_regionkey"), unique=True)]),
-        to_triples(customer, F.concat(F.lit("cust_"), "c_custkey"),
-                   [Attr("in_nation", F.concat(F.lit("nat_"), "c_nationkey"), unique=True)]),
-        to_triples(supplier, F.concat(F.lit("supp_"), "s_suppkey"),
-                   [Attr("in_nation", F.concat(F.lit("nat_"), "s_nationkey"), unique=True)]),
-        to_triples(orders, F.concat(F.lit("ord_"), "o_orderkey"), [
-            Attr("placed_by", F.concat(F.lit("cust_"), "o_custkey"), unique=True),
-            Attr("total_price", F.round(F.col("o_totalprice") * 100).cast("bigint"), "literal", "integer",
-                 unique=True),
-            Attr("order_date", _date_str("o_orderdate"), "literal", "date", unique=True),
-            Attr("status", F.col("o_orderstatus"), "literal", unique=True),
-        ]),
-        to_triples(lineitem, F.concat(F.lit("ord_"), "l_orderkey"),
-                   [Attr("contains", F.concat(F.lit("part_"), "l_partkey"))]),
-        to_triples(lineitem, F.concat(F.lit("part_"), "l_partkey"),
-                   [Attr("supplied_by", F.concat(F.lit("supp_"), "l_suppkey"))]),
-        to_triples(part, F.concat(F.lit("part_"), "p_partkey"),
-                   [Attr("label", F.col("p_name"), "literal", lang=lang, unique=True)]),
-        to_triples(first, cust, [Attr("active.from", _date_str("d"), "literal", "date", unique=True)]),
-        to_triples(last, cust, [Attr("active.to", _date_str("d"), "literal", "date", unique=True)]),
+    specs = [
+        (lambda: t.region, key("reg_", "r_regionkey"), Attr("type.object.type", F.lit("Region"), unique=True)),
+        (lambda: t.nation, key("nat_", "n_nationkey"), Attr("type.object.type", F.lit("Nation"), unique=True)),
+        (lambda: t.customer, key("cust_", "c_custkey"), Attr("type.object.type", F.lit("Customer"), unique=True)),
+        (lambda: t.supplier, key("supp_", "s_suppkey"), Attr("type.object.type", F.lit("Supplier"), unique=True)),
+        (lambda: t.part, key("part_", "p_partkey"), Attr("type.object.type", F.lit("Part"), unique=True)),
+        (lambda: t.orders, key("ord_", "o_orderkey"), Attr("type.object.type", F.lit("Order"), unique=True)),
+        (lambda: t.nation, key("nat_", "n_nationkey"), Attr("in_region", key("reg_", "n_regionkey"), unique=True)),
+        (lambda: t.customer, key("cust_", "c_custkey"), Attr("in_nation", key("nat_", "c_nationkey"), unique=True)),
+        (lambda: t.supplier, key("supp_", "s_suppkey"), Attr("in_nation", key("nat_", "s_nationkey"), unique=True)),
+        (lambda: t.orders, key("ord_", "o_orderkey"), Attr("placed_by", key("cust_", "o_custkey"), unique=True)),
+        (lambda: t.orders, key("ord_", "o_orderkey"),
+         Attr("total_price", F.round(F.col("o_totalprice") * 100).cast("bigint"), "literal", "integer", unique=True)),
+        (lambda: t.orders, key("ord_", "o_orderkey"),
+         Attr("order_date", _date_str("o_orderdate"), "literal", "date", unique=True)),
+        (lambda: t.orders, key("ord_", "o_orderkey"), Attr("status", F.col("o_orderstatus"), "literal", unique=True)),
+        (lambda: t.lineitem, key("ord_", "l_orderkey"), Attr("contains", key("part_", "l_partkey"))),
+        (lambda: t.lineitem, key("part_", "l_partkey"), Attr("supplied_by", key("supp_", "l_suppkey"))),
+        (lambda: t.part, key("part_", "p_partkey"), Attr("label", F.col("p_name"), "literal", lang=lang, unique=True)),
+        (first, cust, Attr("active.from", _date_str("d"), "literal", "date", unique=True)),
+        (last, cust, Attr("active.to", _date_str("d"), "literal", "date", unique=True)),
     ]
-    return union_triples(parts)
+    out: dict[str, list] = {}
+    for src, subject, attr in specs:
+        out.setdefault(attr.p, []).append(
+            lambda src=src, subject=subject, attr=attr: to_triples(src(), subject, [attr]))
+    return out
+
+
+def kg_triples(t: Tables) -> DataFrame:
+    """F1 as one DataFrame (every branch)."""
+    return union_triples([b() for bs in kg_sources(t).values() for b in bs])
 
 
 def _cycle(idx_col) -> "F.Column":

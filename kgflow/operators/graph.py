@@ -331,7 +331,8 @@ class KG:
             out.setdefault(int(r.step), []).append(r.p)
         return out
 
-    def answer_paths(self, seeds: DataFrame, steps: DataFrame, max_steps: int) -> DataFrame:
+    def answer_paths(self, seeds: DataFrame, steps: DataFrame, max_steps: int,
+                     checkpoint_every: int = 4) -> DataFrame:
         """Multi-hop paths for a batch of queries in one job.
 
         ``seeds(query_id, x)``, ``steps(query_id, step, p, inverse)`` with steps
@@ -356,6 +357,10 @@ class KG:
                    .select("query_id", F.col("s").alias(X)))
             staying = frontier.join(sk.select("query_id").distinct(), "query_id", "left_anti")
             frontier = fwd.unionByName(rev).unionByName(staying).distinct()
+            if checkpoint_every and k % checkpoint_every == 0 and k < max_steps:
+                from kgflow.session import ensure_checkpoint_dir
+                ensure_checkpoint_dir(frontier.sparkSession)
+                frontier = frontier.checkpoint()   # reliable, in spark.checkpoint.dir
         return frontier
 
 

@@ -291,6 +291,20 @@ SQL_DEFINITION_PROMPTS = f"""select idx, cast(generate_subscripts(e, 1) - 1 as b
 from (select idx, question, {S.entities('gold')} as e from ({FORMS_SQL}))"""
 
 
+def _echo_model():
+    """Deterministic stand-in generator (no model download): answers every
+    prompt with its last line, upper-cased."""
+    def gen(prompts):
+        return [p.strip().split("\n")[-1].upper() for p in prompts]
+    return gen
+
+
+def prompts_infer(spark, sf):
+    """Batched generation over every prompt, one model per partition."""
+    f = _forms(spark, sf).select("idx", P.fill_prompt(TEMPLATE, "question").alias("prompt"))
+    return P.infer(f, "prompt", _echo_model, batch=16)
+
+
 def sentences_pairs(spark, sf):
     """Sentence-per-line form of the assistant turns (before ROUGE-Lsum)."""
     p = _pairs(spark, sf)
@@ -324,4 +338,5 @@ QUERIES = {
     "prompts_split": (prompts_split, SQL_PROMPTS_SPLIT),
     "definition_prompts": (definition_prompts, SQL_DEFINITION_PROMPTS),
     "sentences_pairs": (sentences_pairs, SQL_SENTENCES),
+    "prompts_infer": (prompts_infer, None),
 }

@@ -15,6 +15,7 @@ from kgflow.sources.fixtures import qa_forms, text_pairs, token_ids, training_pa
 from kgflow.sources.tables import Tables
 
 MARKER = "assistant"
+DIGITS = 12          # exp/log outputs are rounded: JVM and DuckDB may differ in the last bit
 SEP = " | "
 PAD_ID = 0
 DEV_SHARE = 0.2
@@ -165,10 +166,11 @@ SQL_MATCH_RATES = f"select {_RATES} from ({_cleaned_sql()})"
 def forms_clean_score(spark, sf):
     """Flagship T1 -> T4 -> T10 -> M11: accuracy, BLEU, skeleton and relation match."""
     c = _cleaned(spark, sf)
-    return M.score_run(c, "pred", "golds", "idx")
+    r = M.score_run(c, "pred", "golds", "idx")
+    return r.withColumn("bleu", F.round("bleu", DIGITS))
 
 
-SQL_CLEAN_SCORE = f"""select r.accuracy, r.skeleton_match, r.relation_match, b.bleu
+SQL_CLEAN_SCORE = f"""select r.accuracy, r.skeleton_match, r.relation_match, round(b.bleu, {12}) as bleu
 from (select {_RATES} from ({_cleaned_sql()})) r,
 ({S.bleu_sql(f"select idx as id, pred, golds as refs from ({_cleaned_sql()})")}) b"""
 
@@ -202,10 +204,12 @@ _PAIRS_ROWS = f"select concat_ws(':', conv_id, turn) as id, pred, [gold] as refs
 def bleu_conversations(spark, sf):
     """M4 + M5 + M6: corpus BLEU of assistant turns against the user turns, with
     the components."""
-    return M.bleu(_pairs(spark, sf), "pred", "refs", "id", detail=True)
+    b = M.bleu(_pairs(spark, sf), "pred", "refs", "id", detail=True)
+    return b.withColumn("bleu", F.round("bleu", DIGITS)).withColumn("brevity_penalty", F.round("brevity_penalty", DIGITS))
 
 
-SQL_BLEU_CONV = S.bleu_sql(_PAIRS_ROWS, detail=True)
+SQL_BLEU_CONV = f"""select * replace (round(bleu, 12) as bleu, round(brevity_penalty, 12) as brevity_penalty)
+from ({S.bleu_sql(_PAIRS_ROWS, detail=True)})"""
 
 
 def tok13a_conversations(spark, sf):

@@ -249,7 +249,7 @@ def rouge_n(df: DataFrame, pred="pred", refs="refs", id_col="id", orders=(1, 2),
     by = list(by or [])
     keys = by + [id_col]
     if method == "rows" and set(orders) <= {1, 2}:
-        return rouge_scores(df, pred, refs, keys).select(*keys, *[f"rouge{n}" for n in orders])
+        return rouge_scores(df, pred, refs, keys, lcs=False).select(*keys, *[f"rouge{n}" for n in orders])
     mx = max(orders)
     tok = (df.select(*keys, tok_rouge(pred).alias("pt"), F.transform(_c(refs), tok_rouge).alias("rts"))
            .repartition(*[F.col(k) for k in keys]))
@@ -335,8 +335,7 @@ def _rouge_n_f(pt: list[str], rt: list[str], n: int) -> float:
     return _f(ov / max(sum(pc.values()), 1), ov / max(sum(rc.values()), 1))
 
 
-@F.pandas_udf(_ROUGE_ROW)
-def _rouge_row_udf(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
+def _rouge_rows(pred: pd.Series, refs: pd.Series, with_lcs: bool) -> pd.DataFrame:
     rows = []
     for p, rs in zip(pred, refs):
         pt = tok_rouge_py(p)
@@ -344,24 +343,38 @@ def _rouge_row_udf(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
         best = [0.0, 0.0, 0.0, 0.0]
         for r in (list(rs) if rs is not None else []):
             rt = tok_rouge_py(r)
-            lcs = _lcs(rt, pt)
-            rsents = [t for t in (tok_rouge_py(x) for x in (r or "").split("\n")) if t]
-            u = _union_lcs_len(rsents, psents)
-            npred, nref = sum(map(len, psents)), sum(map(len, rsents))
-            sc = [_rouge_n_f(pt, rt, 1), _rouge_n_f(pt, rt, 2),
-                  _f(lcs / len(pt) if pt else 0.0, lcs / len(rt) if rt else 0.0),
-                  _f(u / npred if npred else 0.0, u / nref if nref else 0.0)]
+            sc = [_rouge_n_f(pt, rt, 1), _rouge_n_f(pt, rt, 2), 0.0, 0.0]
+            if with_lcs:
+                lcs = _lcs(rt, pt)
+                rsents = [t for t in (tok_rouge_py(x) for x in (r or "").split("\n")) if t]
+                u = _union_lcs_len(rsents, psents)
+                npred, nref = sum(map(len, psents)), sum(map(len, rsents))
+                sc[2] = _f(lcs / len(pt) if pt else 0.0, lcs / len(rt) if rt else 0.0)
+                sc[3] = _f(u / npred if npred else 0.0, u / nref if nref else 0.0)
             best = [max(a, b) for a, b in zip(best, sc)]
         rows.append(best)
     return pd.DataFrame(rows, columns=_ROUGE_ROW.fieldNames()) if rows else \
         pd.DataFrame({c: pd.Series(dtype="float64") for c in _ROUGE_ROW.fieldNames()})
 
 
-def rouge_scores(df: DataFrame, pred="pred", refs="refs", keep: list[str] | None = None) -> DataFrame:
+@F.pandas_udf(_ROUGE_ROW)
+def _rouge_all_udf(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
+    return _rouge_rows(pred, refs, True)
+
+
+@F.pandas_udf(_ROUGE_ROW)
+def _rouge_n_udf(pred: pd.Series, refs: pd.Series) -> pd.DataFrame:
+    return _rouge_rows(pred, refs, False)
+
+
+def rouge_scores(df: DataFrame, pred="pred", refs="refs", keep: list[str] | None = None,
+                 lcs: bool = True) -> DataFrame:
     """M7 + M8 per row in one Arrow batch pass: ROUGE-1, ROUGE-2, ROUGE-L and
-    ROUGE-Lsum F1, each against its best reference; no shuffle."""
+    ROUGE-Lsum F1, each against its best reference; no shuffle.  ``lcs=False``
+    skips the LCS work (ROUGE-L columns are then 0)."""
     keep = list(keep or [])
-    return df.select(*keep, _rouge_row_udf(_c(pred), _c(refs)).alias("r")).select(*keep, "r.*")
+    udf = _rouge_all_udf if lcs else _rouge_n_udf
+    return df.select(*keep, udf(_c(pred), _c(refs)).alias("r")).select(*keep, "r.*")
 
 
 def rouge_l(df: DataFrame, pred="pred", refs="refs", keep: list[str] | None = None) -> DataFrame:
@@ -389,16 +402,22 @@ def unmask_labels(ids, pad_id: int) -> Column:
     return F.transform(_c(ids), lambda x: F.when(x == -100, F.lit(pad_id)).otherwise(x))
 
 
-def score_run(df: DataFrame, pred="pred", golds="golds", id_col="id", by: list[str] | None = None) -> DataFrame:
+def score_run(df: DataFrame, pred="pred", golds="golds", id_col="id", by: list[str] | None = None,
+              method: str = "rows") -> DataFrame:
     """One row per run -- accuracy, BLEU, skeleton match, relation match.
-    Every part is an additive per-row statistic, so one aggregate over the
-    rows (joined with the BLEU parts on the row key) scores all runs."""
+    Every part is an additive per-row statistic: with ``method='rows'`` one
+    projection computes the match flags and the BLEU statistics of a row
+    together (no join), and one aggregate sums them per run."""
     by = list(by or [])
     keys = by + [id_col]
-    hits = df.select(*keys, exact_hit(pred, golds).cast("double").alias("h_exact"),
-                     skeleton_hit(pred, golds).cast("double").alias("h_skel"),
-                     relation_hit(pred, golds).cast("double").alias("h_rel"))
-    rows = hits.join(bleu_parts(df, pred, golds, id_col, by), keys, "left")
+    flags = [exact_hit(pred, golds).cast("double").alias("h_exact"),
+             skeleton_hit(pred, golds).cast("double").alias("h_skel"),
+             relation_hit(pred, golds).cast("double").alias("h_rel")]
+    if method == "rows":
+        rows = df.select(*keys, *flags, _bleu_row_udf(_c(pred), _c(golds)).alias("b")).select(
+            *keys, "h_exact", "h_skel", "h_rel", "b.*")
+    else:
+        rows = df.select(*keys, *flags).join(bleu_parts(df, pred, golds, id_col, by, method=method), keys, "left")
     agg = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("h_exact").alias("_e"),
                                 F.sum("h_skel").alias("_s"), F.sum("h_rel").alias("_r"), *bleu_sums())
     agg = (agg.withColumn("accuracy", F.try_divide("_e", "_n")).withColumn("skeleton_match", F.try_divide("_s", "_n"))

@@ -174,7 +174,7 @@ def query_graphs(t: Tables) -> tuple[DataFrame, DataFrame]:
     Even and odd order keys number the nodes in opposite orders, so
     equivalent graphs have unequal node ids.
     """
-    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = spread(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
     even = F.col("o_orderkey") % 2 == 0
     urgent = F.col("o_orderpriority") == "1-URGENT"
     ent = F.concat(F.lit("cust_"), (F.col("o_custkey") % 5).cast("string"))

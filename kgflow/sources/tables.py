@@ -47,5 +47,9 @@ def spread(df: DataFrame) -> DataFrame:
     fewer partitions than cores (a small file is one split).  Used before
     CPU-heavy per-row work; a large input already has enough splits and is
     left alone, so this costs nothing at scale."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:      # no RDD view (e.g. a remote session): leave as is
+        return df
+    return df.repartition(n) if have < n else df

@@ -93,7 +93,7 @@ def forms_comparable(spark, sf):
                  F.count(F.lit(1)).alias("n"))
 
 
-SQL_FORMS_COMPARABLE = f"""select sum(case when contains(raw_pred, '@@UNKNOWN@@') then 0 else 1 end) as n_comparable,
+SQL_FORMS_COMPARABLE = f"""select cast(sum(case when contains(raw_pred, '@@UNKNOWN@@') then 0 else 1 end) as bigint) as n_comparable,
   count(*) as n from ({FORMS_SQL})"""
 
 

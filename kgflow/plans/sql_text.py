@@ -126,7 +126,8 @@ rl as (select {b}id, j, unnest({ngr.replace('TOK', 'rt')}) as ng from (select {b
 rn as (select {b}id, n, g, max(c) as rc from (select {b}id, j, ng.n as n, ng.g as g, count(*) as c from rl group by all) group by all),
 cl as (select pn.*, least(pn.c, coalesce(rn.rc, 0)) as m from pn left join rn using ({b}id, n, g)),
 mt as (select {b}{sums_m} from cl {g}),
-tt as (select {b}sum(len(pt)) as translation_length, sum(coalesce(list_min(list_transform(rts, lambda r: len(r))), 0)) as reference_length,
+tt as (select {b}cast(sum(len(pt)) as bigint) as translation_length,
+       cast(sum(coalesce(list_min(list_transform(rts, lambda r: len(r))), 0)) as bigint) as reference_length,
        {sums_p} from (select {b}pt, rts, len(pt) as tl from tok) {g}),
 pr as (select {b}translation_length, reference_length, {prec} from tt join mt {j}),
 fin as (select *, translation_length::double / reference_length as length_ratio,

@@ -522,19 +522,29 @@ class Bindings:
         return self.df.agg(agg.cast("bigint").alias("n"))
 
 
-def with_inverses(triples: DataFrame, inverse: DataFrame) -> DataFrame:
+def with_inverses(triples: DataFrame, inverse: DataFrame, limit: int = 100000) -> DataFrame:
     """Add ``o p_inv s`` for every IRI triple whose ``p`` has an inverse.
 
-    ``inverse(p, p_inv)`` is a small fixed table (broadcast).  Only the new
-    triples are de-duplicated against the existing triples of the inverse
-    predicates, so the bulk of the graph is not shuffled.
+    ``inverse(p, p_inv)`` is schema-sized (one row per predicate); it is read
+    once (checked against ``limit``) and applied as a map literal, so the
+    predicate test reaches the triples' partitions / branches and no join on
+    a constant predicate is planned.  Only the new triples are de-duplicated
+    against the existing triples of the inverse predicates, so the bulk of
+    the graph is not shuffled.
     """
-    inv = F.broadcast(inverse.select("p", "p_inv"))
-    added = (triples.filter(F.col("o_kind") == "iri").join(inv, "p")
-             .select(F.col("o").alias("s"), F.col("p_inv").alias("p"), F.col("s").alias("o"),
+    pairs = [(r.p, r.p_inv) for r in inverse.select("p", "p_inv").distinct().limit(limit + 1).collect()]
+    if len(pairs) > limit:
+        raise ValueError(f"inverse table has more than {limit} pairs; it should list predicates")
+    if not pairs:
+        return triples
+    inv = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    srcs = sorted({a for a, _ in pairs})
+    dsts = sorted({b for _, b in pairs})
+    added = (triples.filter((F.col("o_kind") == "iri") & F.col("p").isin(*srcs))
+             .select(F.col("o").alias("s"), F.element_at(inv, F.col("p")).alias("p"), F.col("s").alias("o"),
                      "o_kind", "o_datatype", "o_lang").distinct())
-    existing = triples.join(F.broadcast(inverse.select(F.col("p_inv").alias("p")).distinct()), "p", "left_semi")
-    new = added.join(existing.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+    existing = triples.filter(F.col("p").isin(*dsts)).select("s", "p", "o")
+    new = added.join(existing, ["s", "p", "o"], "left_anti")
     return triples.unionByName(new.select(*triples.columns))
 
 

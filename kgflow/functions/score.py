@@ -45,6 +45,13 @@ def relation_hit(pred, golds) -> Column:
     return F.coalesce(F.exists(relations_list(golds), lambda r: r == p), F.lit(False))
 
 
+def attach_gold(gold: DataFrame, predictions: DataFrame, key: str = "idx") -> DataFrame:
+    """Align predictions with the gold by an explicit key (the reference zips
+    two lists by position and silently truncates).  The gold side drives a
+    left join, so a missing prediction stays in the denominator as a miss."""
+    return gold.join(predictions, key, "left")
+
+
 def exact_match(df: DataFrame, pred="pred", golds="golds") -> DataFrame:
     return df.agg(_ratio(exact_hit(pred, golds)).alias("accuracy"))
 

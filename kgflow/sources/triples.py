@@ -81,3 +81,9 @@ def write_triples(triples: DataFrame, path: str, mode: str = "overwrite") -> Non
     inside each file so row-group statistics prune subject lookups too."""
     (triples.repartition("p", "s").sortWithinPartitions("p", "s")
      .write.mode(mode).partitionBy("p").parquet(path))
+
+
+def read_triples(spark, path: str) -> DataFrame:
+    """Triples at rest (``write_triples``): ``filter(p == r)`` becomes a
+    partition filter, ``s`` lookups use row-group statistics."""
+    return spark.read.parquet(path)

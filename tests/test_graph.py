@@ -92,3 +92,17 @@ def test_lang_filter(spark):
     for s in ["p1", "p2", "p3", "p4"]:
         got |= {r.x for r in g.of("label", s).lang("en").answer().collect()}
     assert got == {"a", "b", "d"}
+
+
+def test_triples_at_rest_partition_pruning(spark, tmp_path):
+    from kgflow.sources.fixtures import kg_sources
+    from kgflow.sources.triples import read_triples, write_triples
+    lazy = KG(sources=kg_sources(Tables(spark, SF001)), spark=spark)
+    path = str(tmp_path / "triples")
+    write_triples(lazy.triples, path)
+    rest = KG(read_triples(spark, path))
+    q = lambda g: {r.x for r in g.having("in_region", "reg_1").step_in("in_nation").step_in("placed_by")
+                   .exclude_intermediates().answer().collect()}
+    assert q(rest) == q(lazy) and q(rest)
+    plan = rest.T("placed_by")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(p" in plan and "placed_by" in plan

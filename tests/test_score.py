@@ -114,3 +114,9 @@ def test_label_helpers(spark):
     df = spark.createDataFrame([([5, -100, 0, 7],)], "ids array<int>")
     r = df.select(M.unmask_labels("ids", 0).alias("u"), M.gen_len("ids", 0).alias("n")).first()
     assert list(r.u) == [5, 0, 0, 7] and r.n == 3
+
+
+def test_attach_gold_missing_prediction_is_a_miss(spark):
+    gold = spark.createDataFrame([(0, ["a"]), (1, ["b"]), (2, ["c"])], "idx long, golds array<string>")
+    pred = spark.createDataFrame([(0, "a"), (2, "x")], "idx long, pred string")
+    assert M.exact_match(M.attach_gold(gold, pred)).first().accuracy == 1 / 3

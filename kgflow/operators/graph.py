@@ -320,15 +320,16 @@ class KG:
         return ps if len(ps) <= limit else None
 
     @staticmethod
-    def predicates_by_step(steps: DataFrame, limit: int = 10000) -> dict[int, list[str]] | None:
-        """``step -> distinct predicates`` when the (step, predicate) pairs are
-        schema-sized (at most ``limit``); None means "do not prune"."""
-        rows = steps.select("step", "p").distinct().limit(limit + 1).collect()
+    def predicates_by_step(steps: DataFrame, limit: int = 10000) -> dict | None:
+        """``(step, inverse) -> distinct predicates`` when the step table names
+        a schema-sized set of them (at most ``limit`` pairs); None means "do
+        not prune"."""
+        rows = steps.select("step", "inverse", "p").distinct().limit(limit + 1).collect()
         if len(rows) > limit:
             return None
-        out: dict[int, list[str]] = {}
+        out: dict = {}
         for r in rows:
-            out.setdefault(int(r.step), []).append(r.p)
+            out.setdefault((int(r.step), bool(r.inverse)), []).append(r.p)
         return out
 
     def answer_paths(self, seeds: DataFrame, steps: DataFrame, max_steps: int,
@@ -337,26 +338,27 @@ class KG:
 
         ``seeds(query_id, x)``, ``steps(query_id, step, p, inverse)`` with steps
         numbered 1..n per query.  Returns the distinct ``(query_id, x)`` reached
-        after each query's last step.  Each round is two equi-joins on
-        ``(p, s)`` / ``(p, o)``; the frontier is de-duplicated per round so it
-        never exceeds the distinct node set of a query.
+        after each query's last step.  Each round joins the frontier with the
+        triples of the predicates (and directions) that round names, on
+        ``(p, s)`` forward or ``(p, o)`` inverse; the frontier is de-duplicated
+        per round so it never exceeds the distinct node set of a query.  The
+        lineage is cut every ``checkpoint_every`` rounds (reliable checkpoint).
         """
-        per_step = self.predicates_by_step(steps)
+        plan = self.predicates_by_step(steps)
         frontier = seeds.select("query_id", X).distinct()
         for k in range(1, max_steps + 1):
-            # each round reads only the predicates its step names
-            preds = per_step.get(k, []) if per_step is not None else None
-            tri = self.triples_for(preds).select("s", "p", "o")
             sk = steps.filter(F.col("step") == k).select("query_id", "p", "inverse")
             moving = frontier.join(sk, "query_id")
-            fwd = (moving.filter(~F.col("inverse"))
-                   .join(tri, (F.col(X) == tri.s) & (moving.p == tri.p))
-                   .select("query_id", F.col("o").alias(X)))
-            rev = (moving.filter(F.col("inverse"))
-                   .join(tri, (F.col(X) == tri.o) & (moving.p == tri.p))
-                   .select("query_id", F.col("s").alias(X)))
+            parts = []
+            for inverse, (key, out) in ((False, ("s", "o")), (True, ("o", "s"))):
+                if plan is not None and (k, inverse) not in plan:
+                    continue               # no query takes this direction in this round
+                preds = plan[(k, inverse)] if plan is not None else None
+                tri = self.triples_for(preds).select(F.col(key).alias("_k"), "p", F.col(out).alias("_v"))
+                m = moving.filter(F.col("inverse") == F.lit(inverse)).select("query_id", F.col(X).alias("_k"), "p")
+                parts.append(m.join(tri, ["_k", "p"]).select("query_id", F.col("_v").alias(X)))
             staying = frontier.join(sk.select("query_id").distinct(), "query_id", "left_anti")
-            frontier = fwd.unionByName(rev).unionByName(staying).distinct()
+            frontier = reduce(DataFrame.unionByName, parts + [staying]).distinct()
             if checkpoint_every and k % checkpoint_every == 0 and k < max_steps:
                 from kgflow.session import ensure_checkpoint_dir
                 ensure_checkpoint_dir(frontier.sparkSession)

@@ -165,3 +165,9 @@ def rewrite_mentions(c, mentions, ids, mode: str = "compat") -> Column:
     else:
         raise ValueError(mode)
     return F.aggregate(z, _c(c), step)
+
+
+def aliases_long(df, key: str, aliases: str, pos: str = "pos", out: str = "alias"):
+    """A wide alias list as a long table ``(key, pos, alias)`` (what the
+    reference consumes row by row with ``p in g``)."""
+    return df.select(key, F.posexplode(_c(aliases)).alias(pos, out))

@@ -118,9 +118,8 @@ SQL_SKELETON = f"select idx, {S.skeleton('gold')} as gold_skel, {S.skeleton('raw
 
 def forms_gold_aliases(spark, sf):
     """T10 -> T13: the alias list as a long table (one row per alternative)."""
-    f = _forms(spark, sf)
-    return f.select("idx", F.posexplode(T.gold_aliases("gold")).alias("pos", "alias")) \
-            .select("idx", F.col("pos").cast("bigint").alias("pos"), "alias")
+    f = _forms(spark, sf).select("idx", T.gold_aliases("gold").alias("golds"))
+    return T.aliases_long(f, "idx", "golds").select("idx", F.col("pos").cast("bigint").alias("pos"), "alias")
 
 
 SQL_GOLD_ALIASES = f"""select idx, cast(generate_subscripts(a, 1) - 1 as bigint) as pos, unnest(a) as alias

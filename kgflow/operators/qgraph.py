@@ -64,15 +64,20 @@ def with_reverse_edges(qedges: DataFrame, inverse: DataFrame) -> DataFrame:
 
 def pack(qnodes: DataFrame, qedges: DataFrame) -> DataFrame:
     """One row per graph: ``qid, nodes array<struct<nid, c>>, edges
-    array<struct<src, dst, relation>>`` with ``c`` the G2 label.  A query
-    graph has a handful of nodes, so the row is small; both sides are grouped
-    by ``qid`` and the join reuses that partitioning."""
-    n = node_labels(qnodes).groupBy("qid").agg(
-        F.collect_list(F.struct(F.col("nid").cast("long").alias("nid"), F.col("label").alias("c"))).alias("nodes"))
-    e = qedges.groupBy("qid").agg(F.collect_list(F.struct(
-        F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "relation")).alias("edges"))
-    empty = F.array().cast("array<struct<src:bigint,dst:bigint,relation:string>>")
-    return n.join(e, "qid", "left").select("qid", "nodes", F.coalesce("edges", empty).alias("edges"))
+    array<struct<src, dst, relation>>`` with ``c`` the G2 label.  Nodes and
+    edges are unioned and grouped by ``qid`` in one aggregation (one shuffle,
+    no join).  A query graph has a handful of nodes, so the row is small."""
+    n = node_labels(qnodes).select(
+        F.col("qid"), F.lit(True).alias("is_node"), F.col("nid").cast("long").alias("nid"), F.col("label").alias("c"),
+        F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"),
+        F.lit(None).cast("string").alias("relation"))
+    e = qedges.select(
+        F.col("qid"), F.lit(False).alias("is_node"), F.lit(None).cast("long").alias("nid"),
+        F.lit(None).cast("string").alias("c"), F.col("src").cast("long").alias("src"),
+        F.col("dst").cast("long").alias("dst"), F.col("relation"))
+    return n.unionByName(e).groupBy("qid").agg(
+        F.collect_list(F.when(F.col("is_node"), F.struct("nid", "c"))).alias("nodes"),
+        F.collect_list(F.when(~F.col("is_node"), F.struct("src", "dst", "relation"))).alias("edges"))
 
 
 def _barrier(df: DataFrame) -> DataFrame:

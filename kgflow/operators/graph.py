@@ -346,19 +346,30 @@ class KG:
         """
         plan = self.predicates_by_step(steps)
         frontier = seeds.select("query_id", X).distinct()
+        queries = seeds.select("query_id").distinct()
         for k in range(1, max_steps + 1):
             sk = steps.filter(F.col("step") == k).select("query_id", "p", "inverse")
-            moving = frontier.join(sk, "query_id")
-            parts = []
-            for inverse, (key, out) in ((False, ("s", "o")), (True, ("o", "s"))):
+            # queries without a step k keep their frontier: a marker row with a
+            # null predicate (from the seeds and steps only, not the frontier)
+            stay = queries.join(sk.select("query_id"), "query_id", "left_anti").select(
+                "query_id", F.lit(None).cast("string").alias("p"), F.lit(None).cast("boolean").alias("inverse"))
+            views = []
+            for inverse, (key, val) in ((False, ("s", "o")), (True, ("o", "s"))):
                 if plan is not None and (k, inverse) not in plan:
                     continue               # no query takes this direction in this round
                 preds = plan[(k, inverse)] if plan is not None else None
-                tri = self.triples_for(preds).select(F.col(key).alias("_k"), "p", F.col(out).alias("_v"))
-                m = moving.filter(F.col("inverse") == F.lit(inverse)).select("query_id", F.col(X).alias("_k"), "p")
-                parts.append(m.join(tri, ["_k", "p"]).select("query_id", F.col("_v").alias(X)))
-            staying = frontier.join(sk.select("query_id").distinct(), "query_id", "left_anti")
-            frontier = reduce(DataFrame.unionByName, parts + [staying]).distinct()
+                views.append(self.triples_for(preds).select(
+                    F.col(key).alias("_k"), "p", F.lit(inverse).alias("inverse"), F.col(val).alias("_v")))
+            moving = frontier.join(sk.unionByName(stay), "query_id")
+            if views:
+                edges = reduce(DataFrame.unionByName, views)
+                step = moving.join(edges, (moving[X] == edges["_k"]) & (moving["p"] == edges["p"])
+                                   & (moving["inverse"] == edges["inverse"]), "left")
+                nxt = F.when(moving["p"].isNull(), moving[X]).otherwise(edges["_v"])
+            else:
+                step, nxt = moving, F.when(F.col("p").isNull(), F.col(X))
+            # one reference of the previous frontier per round: the plan grows linearly
+            frontier = step.select("query_id", nxt.alias(X)).filter(F.col(X).isNotNull()).distinct()
             if checkpoint_every and k % checkpoint_every == 0 and k < max_steps:
                 from kgflow.session import ensure_checkpoint_dir
                 ensure_checkpoint_dir(frontier.sparkSession)

@@ -54,12 +54,21 @@ def edge_bundles(qedges: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list("relation")), ",").alias("relations"))
 
 
-def with_reverse_edges(qedges: DataFrame, inverse: DataFrame) -> DataFrame:
-    """A relation with a known inverse gets the reverse edge too."""
-    inv = F.broadcast(inverse.select(F.col("p").alias("relation"), "p_inv"))
-    rev = qedges.join(inv, "relation").select("qid", F.col("dst").alias("src"), F.col("src").alias("dst"),
-                                              F.col("p_inv").alias("relation"))
-    return qedges.select("qid", "src", "dst", "relation").unionByName(rev).distinct()
+def with_reverse_edges(qedges: DataFrame, inverse: DataFrame, limit: int = 100000) -> DataFrame:
+    """A relation with a known inverse gets the reverse edge too.  The
+    inverse table is schema-sized (one row per relation); it is read once,
+    checked against ``limit`` and applied as a map literal -- no join."""
+    pairs = [(r.p, r.p_inv) for r in inverse.select("p", "p_inv").distinct().limit(limit + 1).collect()]
+    if len(pairs) > limit:
+        raise ValueError(f"inverse table has more than {limit} pairs; it should list relations")
+    base = qedges.select("qid", "src", "dst", "relation")
+    if not pairs:
+        return base.distinct()
+    inv = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    rev = (base.filter(F.col("relation").isin(*sorted({a for a, _ in pairs})))
+           .select("qid", F.col("dst").alias("src"), F.col("src").alias("dst"),
+                   F.element_at(inv, F.col("relation")).alias("relation")))
+    return base.unionByName(rev).distinct()
 
 
 def pack(qnodes: DataFrame, qedges: DataFrame) -> DataFrame:

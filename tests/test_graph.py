@@ -106,3 +106,17 @@ def test_triples_at_rest_partition_pruning(spark, tmp_path):
     assert q(rest) == q(lazy) and q(rest)
     plan = rest.T("placed_by")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(p" in plan and "placed_by" in plan
+
+
+def test_answer_paths_mixed_directions_and_lengths(spark):
+    rows = [("a", "r", "b"), ("b", "r", "c"), ("c", "q", "d"), ("e", "q", "c"), ("b", "q", "f")]
+    g = _triples(spark, [(s, p, o, "iri", "") for s, p, o in rows])
+    seeds = spark.createDataFrame([(1, "a"), (2, "d"), (3, "b"), (4, "z")], "query_id long, x string")
+    steps = spark.createDataFrame(
+        [(1, 1, "r", False), (1, 2, "r", False), (1, 3, "q", False),       # a -r-> b -r-> c -q-> d
+         (2, 1, "q", True), (2, 2, "r", True),                             # d <-q- c <-r- b
+         (3, 1, "q", False),                                               # b -q-> f (one step only)
+         (4, 1, "r", False)],                                              # z has no edges: no answer
+        "query_id long, step int, p string, inverse boolean")
+    got = {(r.query_id, r.x) for r in g.answer_paths(seeds, steps, 3).collect()}
+    assert got == {(1, "d"), (2, "b"), (3, "f")}

@@ -148,9 +148,6 @@ class KG:
                                else self._spark.createDataFrame([], TRIPLE_SCHEMA))
         return self._branch[p]
 
-    def predicates(self) -> list[str] | None:
-        return sorted(self._sources) if self._sources is not None else None
-
     @property
     def triples(self) -> DataFrame:
         """The whole table."""
@@ -311,14 +308,6 @@ class KG:
                 out = out.distinct()
         return out
 
-    @staticmethod
-    def predicates_of(steps: DataFrame, limit: int = 10000) -> list[str] | None:
-        """Distinct predicates named by a step table, when there are at most
-        ``limit`` of them (a schema-sized list, one small aggregate); None
-        means "do not prune"."""
-        ps = [r.p for r in steps.select("p").distinct().limit(limit + 1).collect()]
-        return ps if len(ps) <= limit else None
-
     @staticmethod
     def predicates_by_step(steps: DataFrame, limit: int = 10000) -> dict | None:
         """``(step, inverse) -> distinct predicates`` when the step table names

@@ -212,14 +212,15 @@ from ({S.bleu_sql(_PAIRS_ROWS, detail=True)})"""
 
 
 def tok13a_conversations(spark, sf):
-    """M6: 13a token counts and the first tokens of each assistant turn."""
+    """M6: 13a token count of each whole assistant turn and a digest of its
+    complete token sequence."""
     p = _pairs(spark, sf)
     t = M.tok13a("pred")
     return p.select("id", F.size(t).cast("bigint").alias("n_tokens"),
-                    F.array_join(F.slice(t, 1, 12), " ").alias("head"))
+                    F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
-SQL_TOK13A = f"""select id, cast(len(t) as bigint) as n_tokens, array_to_string(t[1:12], ' ') as head
+SQL_TOK13A = f"""select id, cast(len(t) as bigint) as n_tokens, md5(array_to_string(t, ' ')) as tokens_md5
 from (select id, {S.tok13a('pred')} as t from ({_PAIRS_ROWS}))"""
 
 

@@ -39,10 +39,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the operator sets it to a shared filesystem and it is used
-    as is.  Only when it is unset (local tests) a private folder is created.
+    as is.  Where it is unset, a local master gets a private folder; any other is
+    refused, as its executors could not see this machine's folders.
     """
     current = spark.conf.get(CHECKPOINT_KEY, None)
     if not current:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="kgflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(CHECKPOINT_KEY, current)
     if spark.sparkContext.getCheckpointDir() is None:

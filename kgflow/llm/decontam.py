@@ -54,11 +54,13 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 
 def _word(raw: str):
     """(kind if not a name, form, capitalised, ends a sentence) of a raw word; no form: not a token."""
-    form = EDGE.sub("", raw)
+    form = raw if raw.isalpha() else EDGE.sub("", raw)
     ends = raw[-1:] in ".!?:;\"”»)\x00" if raw else True
+    low = form.lower()
+    if form.isalpha():
+        return (UNIT if low in UNITS else LITERAL), low, form[0].isupper() and form[1:].islower(), ends
     if not any(map(str.isalnum, form)) and form not in UNITS:
         return LITERAL, "", False, ends
-    low = form.lower()
     if NUMBER.fullmatch(form):
         return NUM, low, False, ends
     return (UNIT if low in UNITS else LITERAL), low, form[0].isupper() and form[1:].islower(), ends
@@ -88,35 +90,39 @@ class Canon:
         return n
 
     def tokens(self, texts: list[str]) -> Iterator[tuple]:
-        """Forms, kinds and hashes of each text's tokens.  A unit is one only after a number."""
+        """Each text's tokens: the word table's forms, the words' numbers in it, kinds and hashes.
+        A unit is one only after a number."""
         import xxhash
         if len(self.ids) > CACHE:
             self.clear()
         ids, rows = self.ids, []
         for text in texts:
             words = text.replace("\n", " \x00 ").split()        # a line's start is a sentence's
-            rows.append(np.array([ids[w] if w in ids else self.add(w) for w in words], dtype=np.int64))
-        cols = self.columns()
+            for w in words:
+                if w not in ids:
+                    self.add(w)
+            rows.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)))
+        all_kinds, all_caps, all_ends, all_hashes, all_full = self.columns()
         name_hash = np.uint64(xxhash.xxh64_intdigest("NAME\x00"))
         for at in rows:
-            if not len(at):
-                yield np.zeros(0, object), np.zeros(0, np.int8), np.zeros(0, np.uint64)
-                continue
-            forms, kinds, caps, ends, hashes, full = (c[at] for c in cols)
-            first = np.r_[True, ends[:-1]]
-            kinds = np.where(caps & ~first & (kinds == LITERAL), NAME, kinds)
-            forms, kinds, hashes = forms[full], kinds[full], hashes[full]
-            loose = (kinds == UNIT) & ~np.r_[False, kinds[:-1] == NUM][:len(kinds)]
-            hashes = np.where(kinds == NAME, name_hash, hashes)
-            for i in np.flatnonzero(loose):
-                hashes[i] = xxhash.xxh64_intdigest(f"\x00{forms[i]}")
-            yield forms, np.where(loose, LITERAL, kinds), hashes
+            full = all_full[at]
+            first = np.r_[True, all_ends[at[:-1]]][:len(at)]
+            name = (all_caps[at] & ~first)[full]
+            at = at[full]
+            kinds = all_kinds[at]
+            kinds[name & (kinds == LITERAL)] = NAME
+            hashes = all_hashes[at]
+            hashes[kinds == NAME] = name_hash
+            loose = np.flatnonzero((kinds == UNIT) & ~np.r_[False, kinds[:-1] == NUM][:len(kinds)])
+            for i in loose:
+                hashes[i] = xxhash.xxh64_intdigest(f"\x00{self.forms[at[i]]}")
+            kinds[loose] = LITERAL
+            yield self.forms, at, kinds, hashes
 
     def columns(self):
         if self._built != len(self.forms):
-            self._cols = (np.array(self.forms, dtype=object), np.array(self.kinds, dtype=np.int8), np.array(self.caps, dtype=bool),
-                          np.array(self.ends, dtype=bool), np.array(self.hashes, dtype=np.uint64),
-                          np.array([f != "" for f in self.forms], dtype=bool))
+            self._cols = (np.array(self.kinds, dtype=np.int8), np.array(self.caps, dtype=bool), np.array(self.ends, dtype=bool),
+                          np.array(self.hashes, dtype=np.uint64), np.array([f != "" for f in self.forms], dtype=bool))
             self._built = len(self.forms)
         return self._cols
 
@@ -132,8 +138,8 @@ def _roll(hashes: np.ndarray, w: int) -> np.ndarray:
 
 def windows(tokens, w: int, min_literals: int):
     """Start and hash of each window of ``w`` tokens with enough literals."""
-    forms, kinds, hashes = tokens
-    if len(forms) < w or w < 1:
+    _, _, kinds, hashes = tokens
+    if len(kinds) < w or w < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     lit = np.r_[0, np.cumsum(kinds == LITERAL)]
     ok = np.flatnonzero(lit[w:] - lit[:-w] >= min(min_literals, w))
@@ -141,9 +147,9 @@ def windows(tokens, w: int, min_literals: int):
 
 
 def _describe(tokens, s: int, w: int):
-    forms, kinds, _ = tokens
-    template = " ".join(KINDS[k] or f for f, k in zip(forms[s:s + w], kinds[s:s + w], strict=True))
-    return template, [f"{KINDS[k]}={f}" for f, k in zip(forms[s:s + w], kinds[s:s + w], strict=True) if k]
+    forms, at, kinds, _ = tokens
+    part = [(KINDS[k], forms[i]) for i, k in zip(at[s:s + w], kinds[s:s + w], strict=True)]
+    return " ".join(k or f for k, f in part), [f"{k}={f}" for k, f in part if k]
 
 
 WINDOWS = "pos int, w int, h long, template string, slots array<string>"
@@ -158,9 +164,9 @@ def bench_windows(bench: DataFrame, id_col: str, text_col: str, w: int, min_lite
         for pdf in batches:
             out = []
             for item, tok in zip(pdf["item"], canon.tokens(pdf["t"].tolist()), strict=True):
-                n = min(w, len(tok[0]))
+                n = min(w, len(tok[1]))
                 at, h = windows(tok, n, min_literals)
-                out += [(item, len(tok[0]), int(s), n, int(x), *_describe(tok, s, n)) for s, x in zip(at, h.view(np.int64), strict=True)]
+                out += [(item, len(tok[1]), int(s), n, int(x), *_describe(tok, s, n)) for s, x in zip(at, h.view(np.int64), strict=True)]
             yield pd.DataFrame(out, columns=["item", "n_tokens", "pos", "w", "h", "template", "slots"])
     return rows.mapInPandas(run, rows.select("item").schema.simpleString()[7:-1] + ",n_tokens int," + WINDOWS)
 

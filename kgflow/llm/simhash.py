@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgflow.llm.common import fresh, key128, staged, text_or_empty
+from kgflow.llm.common import fresh, key128, partitions, staged, text_or_empty
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 BAND, TILE = 32_768, 256
@@ -161,7 +161,8 @@ def links(fps: DataFrame, radius: int = RADIUS, band: int = BAND) -> DataFrame:
                 f.join(u, v)
         return pd.DataFrame(f.edges(), columns=["u", "v"], dtype=np.int64)
 
-    return left.unionByName(right).groupBy("p", "i", "q", "j").applyInPandas(compare, "u long, v long")
+    keys = ["p", "i", "q", "j"]        # an exchange of few bytes and much work: its tasks must not be merged by size
+    return left.unionByName(right).repartition(partitions(spark), *keys).groupBy(*keys).applyInPandas(compare, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

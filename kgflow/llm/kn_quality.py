@@ -171,7 +171,8 @@ def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
                .where("id is not null").groupBy("id").agg(F.bool_and("good").alias("good")).where("good").select("id"))
     text = text_or_empty(docs, text_col)
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), text.alias("t"))
-    counts = rows.select("id", "t").join(trusted, "id", "left_semi").select("t").mapInPandas(_count, "g long, c long")
+    # one way at every size: a sort-merge join (at scale Spark adds its own Bloom filter before the exchange)
+    counts = rows.select("id", "t").join(trusted.hint("merge"), "id", "left_semi").select("t").mapInPandas(_count, "g long, c long")
     model = probabilities(counts).toPandas()          # at most ORDER x A^ORDER rows
     table = log_table(model)
     schema = rows.select("id", "lang").schema.simpleString()[7:-1] + ",n_chars long,perplexity double"

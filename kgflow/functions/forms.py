@@ -61,7 +61,7 @@ def clean_prediction(c) -> Column:
     a = F.when(c.endswith(')"]') | c.endswith(")']"), F.left(c, n - 2)).otherwise(c)
     b = F.translate(a, "{}", "[]")
     surplus = F.greatest(_count(b, ")") - _count(b, "("), F.lit(0))
-    k = F.length(F.regexp_extract(b, r"((?: \))*)$", 1)) / 2
+    k = F.length(F.regexp_extract(b, r"((?: \))*)\z", 1)) / 2
     drop = F.least(surplus, F.greatest(k.cast("int") - 1, F.lit(0)))
     return F.left(b, F.length(b) - 2 * drop)
 

@@ -49,9 +49,9 @@ def split_side(key, dev_share: float = 0.2, seed: str = "0") -> Column:
 
 def training_pairs(df: DataFrame, target: str = "output") -> DataFrame:
     """Choose the target: ``output`` (logical form) or ``SPARQL`` (first
-    element of the list)."""
+    element of the list; null for an empty one)."""
     if target == "SPARQL":
-        return df.withColumn("target", F.element_at("SPARQL", 1))
+        return df.withColumn("target", F.try_element_at("SPARQL", F.lit(1)))
     return df.withColumn("target", F.col(target))
 
 

@@ -80,8 +80,8 @@ def infer_value_type(v) -> str:
 
 
 def typed(col: Column, vtype: str) -> Column:
-    if vtype == "integer":
-        return col.try_cast("bigint")
+    if vtype == "integer":        # decimals of the data compare with an integer bound, too
+        return col.try_cast("decimal(38,10)")
     if vtype == "float":
         return col.try_cast("double")
     if vtype == "date":
@@ -91,7 +91,7 @@ def typed(col: Column, vtype: str) -> Column:
 
 def typed_lit(v, vtype: str) -> Column:
     if vtype == "integer":
-        return F.lit(int(v)).cast("bigint")
+        return F.lit(str(int(v))).cast("decimal(38,10)")
     if vtype == "float":
         return F.lit(float(v))
     if vtype == "date":
@@ -168,8 +168,9 @@ class KG:
 
     # -- starting points ---------------------------------------------------
     def having(self, r: str, e: str) -> "Bindings":
-        """K1 / K6: ``?x r e`` (subjects whose ``r`` is the constant ``e``)."""
-        df = self.T(r).filter(F.col("o") == F.lit(e)).select(F.col("s").alias(X))
+        """K1 / K6: ``?x r e`` (subjects whose ``r`` is the node ``e``; a literal of the same
+        text is not that node, see K7)."""
+        df = self.T(r).filter((F.col("o") == F.lit(e)) & (F.col("o_kind") == "iri")).select(F.col("s").alias(X))
         return Bindings(self, df.withColumn(XLANG, F.lit(None).cast("string")))
 
     having_class_object = having
@@ -321,7 +322,7 @@ class KG:
             out.setdefault((int(r.step), bool(r.inverse)), []).append(r.p)
         return out
 
-    def answer_paths(self, seeds: DataFrame, steps: DataFrame, max_steps: int,
+    def answer_paths(self, seeds: DataFrame, steps: DataFrame, max_steps: int | None = None,
                      checkpoint_every: int = 4) -> DataFrame:
         """Multi-hop paths for a batch of queries in one job.
 
@@ -332,7 +333,12 @@ class KG:
         ``(p, s)`` forward or ``(p, o)`` inverse; the frontier is de-duplicated
         per round so it never exceeds the distinct node set of a query.  The
         lineage is cut every ``checkpoint_every`` rounds (reliable checkpoint).
+        The number of rounds is read from ``steps``; ``max_steps`` only guards it.
         """
+        longest = steps.agg(F.max("step")).first()[0] or 0
+        if max_steps is not None and longest > max_steps:
+            raise ValueError(f"a query has {longest} steps, more than {max_steps}")
+        max_steps = longest
         plan = self.predicates_by_step(steps)
         frontier = seeds.select("query_id", X).distinct()
         queries = seeds.select("query_id").distinct()
@@ -395,7 +401,7 @@ class Bindings:
         prev = self.df.drop(XLANG).withColumnRenamed(X, v)
         t = self.kg.T(r)
         if reverse:   # ?x r ?prev
-            t = t.select(F.col("o").alias(v), F.col("s").alias(X), F.lit(None).cast("string").alias(XLANG))
+            t = t.filter(F.col("o_kind") == "iri").select(F.col("o").alias(v), F.col("s").alias(X), F.lit(None).cast("string").alias(XLANG))
         else:         # ?prev r ?x
             t = t.select(F.col("s").alias(v), F.col("o").alias(X), _lang_of_object().alias(XLANG))
         return self._wrap(prev.join(t, v))
@@ -528,25 +534,29 @@ def with_inverses(triples: DataFrame, inverse: DataFrame, limit: int = 100000) -
     """Add ``o p_inv s`` for every IRI triple whose ``p`` has an inverse.
 
     ``inverse(p, p_inv)`` is schema-sized (one row per predicate); it is read
-    once (checked against ``limit``) and applied as a map literal, so the
-    predicate test reaches the triples' partitions / branches and no join on
-    a constant predicate is planned.  Only the new triples are de-duplicated
+    once and, up to ``limit`` pairs, applied as a map literal, so the predicate
+    test reaches the triples' partitions / branches; a longer table is joined.  A predicate
+    may have several inverses.  Only the new triples are de-duplicated
     against the existing triples of the inverse predicates, so the bulk of
     the graph is not shuffled.
     """
+    iris = triples.filter(F.col("o_kind") == "iri")
     pairs = [(r.p, r.p_inv) for r in inverse.select("p", "p_inv").distinct().limit(limit + 1).collect()]
-    if len(pairs) > limit:
-        raise ValueError(f"inverse table has more than {limit} pairs; it should list predicates")
-    if not pairs:
-        return triples
-    inv = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
-    srcs = sorted({a for a, _ in pairs})
-    dsts = sorted({b for _, b in pairs})
-    added = (triples.filter((F.col("o_kind") == "iri") & F.col("p").isin(*srcs))
-             .select(F.col("o").alias("s"), F.element_at(inv, F.col("p")).alias("p"), F.col("s").alias("o"),
-                     "o_kind", "o_datatype", "o_lang").distinct())
-    existing = triples.filter(F.col("p").isin(*dsts)).select("s", "p", "o")
-    new = added.join(existing, ["s", "p", "o"], "left_anti")
+    if len(pairs) > limit:            # not schema-sized: an ordinary join
+        inv = inverse.select(F.col("p").alias("_p"), "p_inv").distinct()
+        flipped = iris.join(inv, F.col("p") == F.col("_p")).withColumn("_to", F.col("p_inv"))
+        existing = triples
+    else:
+        to: dict[str, list[str]] = {}
+        for a, b in sorted(pairs):
+            to.setdefault(a, []).append(b)
+        if not to:
+            return triples
+        inv = F.create_map(*[x for a, bs in to.items() for x in (F.lit(a), F.array(*[F.lit(b) for b in bs]))])
+        flipped = iris.filter(F.col("p").isin(*to)).withColumn("_to", F.explode(F.element_at(inv, F.col("p"))))
+        existing = triples.filter(F.col("p").isin(*sorted({b for _, b in pairs})))
+    added = flipped.select(F.col("o").alias("s"), F.col("_to").alias("p"), F.col("s").alias("o"), "o_kind", "o_datatype", "o_lang").distinct()
+    new = added.join(existing.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
     return triples.unionByName(new.select(*triples.columns))
 
 

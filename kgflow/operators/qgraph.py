@@ -43,7 +43,8 @@ def node_labels(qnodes: DataFrame) -> DataFrame:
     cols = qnodes.columns
     fn = F.coalesce(F.col("function"), F.lit("none")) if "function" in cols else F.lit("none")
     tc = F.coalesce(F.col("tc"), F.lit("none")) if "tc" in cols else F.lit("none")
-    return qnodes.select("qid", "nid", F.md5(F.concat_ws(SEP, F.col("id").cast("string"), F.col("type"), fn, tc))
+    part = [F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("id", "type")]
+    return qnodes.select("qid", "nid", F.md5(F.concat_ws(SEP, *part, fn, tc))
                          .alias("label"))
 
 
@@ -51,23 +52,27 @@ def edge_bundles(qedges: DataFrame) -> DataFrame:
     """G1: ``qid, src, dst, relations`` with the sorted relation list of the
     parallel edges between a node pair."""
     return qedges.groupBy("qid", "src", "dst").agg(
-        F.array_join(F.array_sort(F.collect_list("relation")), ",").alias("relations"))
+        F.array_sort(F.collect_list("relation")).alias("relations"))
 
 
 def with_reverse_edges(qedges: DataFrame, inverse: DataFrame, limit: int = 100000) -> DataFrame:
     """A relation with a known inverse gets the reverse edge too.  The
-    inverse table is schema-sized (one row per relation); it is read once,
-    checked against ``limit`` and applied as a map literal -- no join."""
+    inverse table is schema-sized; it is read once and, up to ``limit`` pairs, applied as a
+    map literal; a longer one is joined.  A relation may have several inverses."""
     pairs = [(r.p, r.p_inv) for r in inverse.select("p", "p_inv").distinct().limit(limit + 1).collect()]
-    if len(pairs) > limit:
-        raise ValueError(f"inverse table has more than {limit} pairs; it should list relations")
     base = qedges.select("qid", "src", "dst", "relation")
-    if not pairs:
-        return base.distinct()
-    inv = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
-    rev = (base.filter(F.col("relation").isin(*sorted({a for a, _ in pairs})))
-           .select("qid", F.col("dst").alias("src"), F.col("src").alias("dst"),
-                   F.element_at(inv, F.col("relation")).alias("relation")))
+    if len(pairs) > limit:
+        inv = inverse.select(F.col("p").alias("relation"), F.col("p_inv").alias("_to")).distinct()
+        flipped = base.join(inv, "relation")
+    else:
+        to: dict[str, list[str]] = {}
+        for a, b in sorted(pairs):
+            to.setdefault(a, []).append(b)
+        if not to:
+            return base.distinct()
+        inv = F.create_map(*[x for a, bs in to.items() for x in (F.lit(a), F.array(*[F.lit(b) for b in bs]))])
+        flipped = base.filter(F.col("relation").isin(*to)).withColumn("_to", F.explode(F.element_at(inv, F.col("relation"))))
+    rev = flipped.select("qid", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("_to").alias("relation"))
     return base.unionByName(rev).distinct()
 
 

@@ -132,7 +132,7 @@ def kg_paths_batch(spark, sf):
     t = Tables(spark, sf)
     g = KG(sources=kg_sources(t), spark=spark)
     seeds, steps = _path_inputs(t)
-    return g.answer_paths(seeds, steps, 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return g.answer_paths(seeds, steps).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 SQL_PATHS_BATCH = with_triples("""
@@ -227,7 +227,7 @@ where a.p = 'label' and a.o = 'small widget' and a.o_lang = 'en' and b.p = 'cont
 def kg_intersect(spark, sf):
     """K9: orders of customers in one nation AND orders with status F."""
     g = kg(spark, sf)
-    b = g.having("in_nation", NATION).step_in("placed_by").intersect_on_x(g.having("status", "F"))
+    b = g.having("in_nation", NATION).step_in("placed_by").intersect_on_x(g.having_text("status", "F"))
     return b.exclude_intermediates().answer()
 
 

@@ -31,7 +31,7 @@ from ({QNODES_SQL})"""
 def query_edge_bundles(spark, sf):
     """G1."""
     _, e = _graphs(spark, sf)
-    return G.edge_bundles(e)
+    return G.edge_bundles(e).withColumn("relations", F.array_join("relations", ","))
 
 
 SQL_EDGE_BUNDLES = f"""select qid, src, dst, string_agg(relation, ',' order by relation) as relations

@@ -43,7 +43,7 @@ def test_valid_during_open_intervals(spark):
 
 def test_intersect_commutes(kg):
     a = kg.having("in_nation", "nat_3").step_in("placed_by")
-    b = kg.having("status", "F")
+    b = kg.having_text("status", "F")
     assert set(a.intersect_on_x(b).answer().collect()) == set(b.intersect_on_x(a).answer().collect())
 
 

@@ -42,17 +42,15 @@ def _cmp(a: Column, op: str, b: Column) -> Column:
 
 
 def short_datatype(dt: str | None) -> str:
-    """``http://...#date`` / ``xsd:date`` / ``date`` -> ``date``; a type naming
-    neither form reads as ``dateTime`` (the reference's forward branch)."""
+    """``http://...#date`` / ``xsd:date`` / ``date`` -> ``date``; any other type
+    without a prefix reads as ``dateTime`` (forward branch)."""
     if not dt:
         return ""
     if "#" in dt:
         return dt.split("#", 1)[1]
     if "xsd:" in dt:
         return dt.split("xsd:", 1)[1]
-    if re.fullmatch(r"[A-Za-z]+", dt):
-        return dt
-    return "dateTime"
+    return dt if dt in ("integer", "float", "date") else "dateTime"
 
 
 def normalise_literal(value: str, datatype: str, keep=("integer", "float", "dateTime", "date")) -> str:

@@ -120,3 +120,18 @@ def test_answer_paths_mixed_directions_and_lengths(spark):
         "query_id long, step int, p string, inverse boolean")
     got = {(r.query_id, r.x) for r in g.answer_paths(seeds, steps, 3).collect()}
     assert got == {(1, "d"), (2, "b"), (3, "f")}
+
+
+def test_bare_types():
+    from kgflow.operators.graph import normalise_literal, short_datatype
+    assert [short_datatype(t) for t in ("http://x#gYear", "xsd:date", "date", "gYear", None)] == ["gYear", "date", "date", "dateTime", ""]
+    assert normalise_literal("1999", "gYear") == "1999" and normalise_literal("1999", "xsd:gYear") == "1999-08:00"
+
+
+def test_integer_bound_keeps_decimals_and_literals_are_not_nodes(spark):
+    from kgflow.operators.graph import KG, TRIPLE_SCHEMA
+    rows = [(f"s{i}", "w", v, "literal", "decimal", "") for i, v in enumerate(["9.9", "12.5", "13", "99.9"])]
+    rows += [("a", "r", "n7", "iri", None, None), ("b", "r", "n7", "literal", "string", "")]
+    g = KG(spark.createDataFrame(rows, TRIPLE_SCHEMA))
+    assert {r.x for r in g.compare("w", "ge", 10).answer().collect()} == {"s1", "s2", "s3"}
+    assert {r.x for r in g.having("r", "n7").answer().collect()} == {"a"}

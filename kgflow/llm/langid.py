@@ -33,7 +33,7 @@ PER_LANG, SLICE = 800, 200
 STEPS, BATCH, TRAIN_T, RATE = 300, 192, 48, 0.02
 PAD = 256
 UNKNOWN = "und"
-MIN_SCORE = 0.35         # for recognised(): below, no language stands out
+MIN_SCORE = 0.3          # for recognised(): below, no language stands out (a mixed but clean text stays)
 
 
 def _sigmoid(x):

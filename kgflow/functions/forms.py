@@ -125,21 +125,16 @@ CONSTRAINED_RE = rf"JOIN \( R \[ (?:{_NAMES}) \] \)|JOIN \[ (?:{_NAMES}) \]"
 def gold_aliases(c, max_swaps: int = 2) -> Column:
     """Equivalent forms under the inverse-relation pattern.
 
-    0 constrained relations -> [g]; 1 -> [g, swap]; 2 -> [g, swap1, swap2,
-    both] (sequential replace, all occurrences); more than ``max_swaps`` ->
-    [g].  The 20-entry alias map is a literal map expression.
+    A form with 1 to ``max_swaps`` constrained relations gives itself and every form with some of them
+    swapped (in order: for each relation, all forms so far and then each with that relation replaced, all
+    occurrences); a form with none or more gives [g] (the reference's rule, at 2).  The 20-entry alias
+    map is a literal map expression.
     """
     g = _c(c)
     amap = F.create_map(*[F.lit(x) for kv in ALIASES for x in kv])
     rels = F.regexp_extract_all(g, F.lit(CONSTRAINED_RE), 0)
-    r1, r2 = F.element_at(rels, 1), F.element_at(rels, 2)
-    s1 = F.replace(g, r1, F.element_at(amap, r1))
-    s2 = F.replace(g, r2, F.element_at(amap, r2))
-    both = F.replace(s1, r2, F.element_at(amap, r2))
-    n = F.size(rels)
-    return (F.when(n == 1, F.array(g, s1))
-            .when((n == 2) & F.lit(max_swaps >= 2), F.array(g, s1, s2, both))
-            .otherwise(F.array(g)))
+    swapped = F.aggregate(rels, F.array(g), lambda acc, r: F.concat(acc, F.transform(acc, lambda f: F.replace(f, r, F.element_at(amap, r)))))
+    return F.when(F.size(rels) <= F.lit(max_swaps), swapped).otherwise(F.array(g))
 
 
 def clean_lisp(c) -> Column:

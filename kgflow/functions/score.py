@@ -278,17 +278,26 @@ def rouge_n(df: DataFrame, pred="pred", refs="refs", id_col="id", orders=(1, 2),
                .select(*keys, *[F.coalesce(F.col(str(n)), F.lit(0.0)).alias(f"rouge{n}") for n in orders])
 
 
-def _lcs(a: list, b: list) -> int:
-    """Length of the longest common subsequence (two-row dynamic programme)."""
-    if not a or not b:
-        return 0
-    prev = [0] * (len(b) + 1)
+def _lcs_rows(a: list, b: list):
+    """Rows of the longest-common-subsequence table as bit vectors (Python integers): after token i of
+    ``a``, bit j is 0 where the length grows at token j of ``b``.  One word operation covers many cells, and a
+    table of n x m cells takes n x m bits."""
+    where: dict = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
     for x in a:
-        cur = [0]
-        for j, y in enumerate(b, 1):
-            cur.append(prev[j - 1] + 1 if x == y else max(prev[j], cur[j - 1]))
-        prev = cur
-    return prev[-1]
+        hit = v & where.get(x, 0)
+        v = ((v + hit) | (v - hit)) & full
+        yield v
+
+
+def _lcs(a: list, b: list) -> int:
+    """Length of the longest common subsequence."""
+    v = (1 << len(b)) - 1
+    for v in _lcs_rows(a, b):
+        pass
+    return len(b) - v.bit_count()
 
 
 def _union_lcs_len(ref_sents, pred_sents) -> int:
@@ -312,17 +321,19 @@ def _union_lcs_len(ref_sents, pred_sents) -> int:
 
 
 def _lcs_positions(a: list, b: list) -> list[int]:
-    n, m = len(a), len(b)
-    t = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            t[i][j] = t[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(t[i - 1][j], t[i][j - 1])
-    out, i, j = [], n, m
+    """Places in ``a`` of one longest common subsequence: from the end, equal tokens pair up; otherwise
+    ``a`` is shortened unless that loses length."""
+    rows = [(1 << len(b)) - 1, *_lcs_rows(a, b)]
+
+    def length(i, j):
+        return j - (rows[i] & ((1 << j) - 1)).bit_count()
+
+    out, i, j = [], len(a), len(b)
     while i > 0 and j > 0:
         if a[i - 1] == b[j - 1]:
             out.append(i - 1)
             i, j = i - 1, j - 1
-        elif t[i - 1][j] >= t[i][j - 1]:
+        elif length(i - 1, j) == length(i, j):
             i -= 1
         else:
             j -= 1
@@ -432,6 +443,18 @@ def score_run(df: DataFrame, pred="pred", golds="golds", id_col="id", by: list[s
     return bleu_final(agg, by + ["accuracy", "skeleton_match", "relation_match"])
 
 
+def score_retrieval(df: DataFrame, pred="pred", golds="golds", id_col="id", by: list[str] | None = None, lcs: bool = True) -> DataFrame:
+    """M11, retrieval report: one row per run -- accuracy, corpus BLEU with its parts, mean ROUGE F1 in
+    percent (without ``lcs`` only ROUGE-1 and -2).  One pass over the rows and one aggregate."""
+    by = list(by or [])
+    kinds = ["rouge1", "rouge2"] + (["rougeL", "rougeLsum"] if lcs else [])
+    udf = _rouge_all_udf if lcs else _rouge_n_udf
+    rows = df.select(*by, exact_hit(pred, golds).cast("double").alias("h"), _bleu_row_udf(_c(pred), _c(golds)).alias("b"),
+                     udf(_c(pred), _c(golds)).alias("r")).select(*by, "h", "b.*", "r.*")
+    agg = rows.groupBy(*by).agg(F.avg("h").alias("accuracy"), *[F.round(F.avg(k) * 100, 4).alias(k) for k in kinds], *bleu_sums())
+    return bleu_final(agg, [*by, "accuracy", *kinds], detail=True)
+
+
 def conversion_rate(valid) -> Column:
     """Failing conversions count as empty output and stay in the
     denominator."""

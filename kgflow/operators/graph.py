@@ -23,7 +23,7 @@ import re
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 X, XLANG = "x", "x_lang"
@@ -281,30 +281,39 @@ class KG:
         rest = list(items)
         first = rest.pop(0)
         seen = self._vars(first)
+        if not seen and rest:          # a constant pattern first: it is a test on the others
+            return self._match([*rest, first], filters, keep, distinct)
         later = set().union(*[self._vars(i) for i in rest]) if rest else set()
         out = build(first, (keep or seen) | later)
+        unique = False                 # whether the rows are known to differ
         while rest:
-            idx = next((i for i, it in enumerate(rest) if self._vars(it) & seen), None)
+            idx = next((i for i, it in enumerate(rest) if self._vars(it) & seen or not self._vars(it)), None)
             if idx is None:
                 raise ValueError("disconnected graph pattern: refusing a cartesian product")
             item = rest.pop(idx)
             vs = self._vars(item)
+            if not vs:                 # two constants: an existence test, one row at most
+                there = build(item, set()).limit(1).select(F.lit(1).alias("_there"))
+                out = out.withColumn("_there", F.lit(1)).join(F.broadcast(there), "_there", "left_semi").drop("_there")
+                continue
             later = set().union(*[self._vars(i) for i in rest]) if rest else set()
             right = build(item, (keep if keep is not None else vs) | later | seen)
             out = out.join(right, sorted(vs & seen))
+            unique = False
             seen |= vs
             if keep is not None:
                 need = sorted(v for v in seen if v in keep or v in later)
                 if len(need) < len(out.columns):
                     out = out.select(*need)
                     if distinct:
-                        out = out.distinct()
+                        out, unique = out.distinct(), True
         for f in filters:
             out = out.filter(f)
-        if keep is not None:
+        if keep is not None and set(out.columns) - keep:
             out = out.select(*[v for v in out.columns if v in keep])
-            if distinct:
-                out = out.distinct()
+            unique = False
+        if keep is not None and distinct and not unique:
+            out = out.distinct()
         return out
 
     @staticmethod
@@ -333,19 +342,19 @@ class KG:
         lineage is cut every ``checkpoint_every`` rounds (reliable checkpoint).
         The number of rounds is read from ``steps``; ``max_steps`` only guards it.
         """
-        longest = steps.agg(F.max("step")).first()[0] or 0
+        # steps are renumbered without gaps, so a query moves in every round up to its last
+        order = Window.partitionBy("query_id").orderBy("step")
+        steps = steps.select("query_id", F.dense_rank().over(order).alias("step"), "p", "inverse")
+        ends = steps.groupBy("query_id").agg(F.max("step").alias("last"))
+        longest = ends.agg(F.max("last")).first()[0] or 0
         if max_steps is not None and longest > max_steps:
             raise ValueError(f"a query has {longest} steps, more than {max_steps}")
-        max_steps = longest
         plan = self.predicates_by_step(steps)
-        frontier = seeds.select("query_id", X).distinct()
-        queries = seeds.select("query_id").distinct()
-        for k in range(1, max_steps + 1):
+        frontier = (seeds.select("query_id", X).distinct().join(ends, "query_id", "left")
+                    .select("query_id", X, F.coalesce("last", F.lit(0)).alias("last")))
+        done = [frontier.filter("last = 0")]
+        for k in range(1, longest + 1):
             sk = steps.filter(F.col("step") == k).select("query_id", "p", "inverse")
-            # queries without a step k keep their frontier: a marker row with a
-            # null predicate (from the seeds and steps only, not the frontier)
-            stay = queries.join(sk.select("query_id"), "query_id", "left_anti").select(
-                "query_id", F.lit(None).cast("string").alias("p"), F.lit(None).cast("boolean").alias("inverse"))
             views = []
             for inverse, (key, val) in ((False, ("s", "o")), (True, ("o", "s"))):
                 if plan is not None and (k, inverse) not in plan:
@@ -353,21 +362,17 @@ class KG:
                 preds = plan[(k, inverse)] if plan is not None else None
                 views.append(self.triples_for(preds).select(
                     F.col(key).alias("_k"), "p", F.lit(inverse).alias("inverse"), F.col(val).alias("_v")))
-            moving = frontier.join(sk.unionByName(stay), "query_id")
-            if views:
-                edges = reduce(DataFrame.unionByName, views)
-                step = moving.join(edges, (moving[X] == edges["_k"]) & (moving["p"] == edges["p"])
-                                   & (moving["inverse"] == edges["inverse"]), "left")
-                nxt = F.when(moving["p"].isNull(), moving[X]).otherwise(edges["_v"])
-            else:
-                step, nxt = moving, F.when(F.col("p").isNull(), F.col(X))
-            # one reference of the previous frontier per round: the plan grows linearly
-            frontier = step.select("query_id", nxt.alias(X)).filter(F.col(X).isNotNull()).distinct()
-            if checkpoint_every and k % checkpoint_every == 0 and k < max_steps:
+            # an inner join, so that AQE can split a hub's edges as well as a large frontier
+            moving = frontier.filter(F.col("last") >= k).join(sk, "query_id")
+            edges = reduce(DataFrame.unionByName, views)
+            step = moving.join(edges, (moving[X] == edges["_k"]) & (moving["p"] == edges["p"]) & (moving["inverse"] == edges["inverse"]))
+            frontier = step.select("query_id", F.col("_v").alias(X), "last").filter(F.col(X).isNotNull()).distinct()
+            if checkpoint_every and k % checkpoint_every == 0 and k < longest:
                 from kgflow.session import ensure_checkpoint_dir
                 ensure_checkpoint_dir(frontier.sparkSession)
                 frontier = frontier.checkpoint()   # reliable, in spark.checkpoint.dir
-        return frontier
+            done.append(frontier.filter(F.col("last") == k))
+        return reduce(DataFrame.unionByName, done).select("query_id", X)
 
 
 def _lang_of_object() -> Column:
@@ -443,9 +448,8 @@ class Bindings:
 
         Keep ``x`` if (no start OR some start <= hi) AND (no end OR some end >= lo);
         a year Y gives hi = Y-12-31 and lo = Y-01-01, ``NOW`` gives ``now`` for
-        both.  Written as one anti-join against the subjects that violate a
-        side: an aggregated per-subject min/max with a count, so a value that
-        does not parse as a date still counts as present and never satisfies.
+        both.  Written as one anti-join against the bound subjects that violate a
+        side; a value that does not parse as a date still counts as present and never satisfies.
         """
         start_p, end_p = end_property(p_from)
         if str(at).upper() == "NOW":
@@ -453,14 +457,14 @@ class Bindings:
         else:
             y = str(at).split("^^")[0]
             hi, lo = f"{y}-12-31", f"{y}-01-01"
-        starts = (self.kg.T(start_p).groupBy(F.col("s").alias(X))
-                  .agg(F.min(F.col("o").try_cast("date")).alias("m"))
-                  .filter(~F.coalesce(F.col("m") <= F.lit(hi).cast("date"), F.lit(False))))
-        ends = (self.kg.T(end_p).groupBy(F.col("s").alias(X))
-                .agg(F.max(F.col("o").try_cast("date")).alias("m"))
-                .filter(~F.coalesce(F.col("m") >= F.lit(lo).cast("date"), F.lit(False))))
-        bad = starts.select(X).unionByName(ends.select(X))
-        return self._wrap(self.df.join(bad, X, "left_anti"))
+        day, when = F.col("o").try_cast("date"), {True: (start_p, lambda d: d <= F.lit(hi).cast("date")), False: (end_p, lambda d: d >= F.lit(lo).cast("date"))}
+        sides = [self.kg.T(p).select(F.col("s").alias(X), F.lit(first).alias("first"), F.coalesce(fits(day), F.lit(False)).alias("fits"))
+                 for first, (p, fits) in when.items()]
+        # only the bound subjects' intervals are grouped, both sides in one aggregate
+        bound = sides[0].unionByName(sides[1]).join(self.df.select(X), X, "left_semi")
+        bad = bound.groupBy(X).agg(F.max(F.when(F.col("first"), F.col("fits"))).alias("starts"),
+                                   F.max(F.when(~F.col("first"), F.col("fits"))).alias("ends")).filter("not starts or not ends")
+        return self._wrap(self.df.join(bad.select(X), X, "left_anti"))
 
     def _arg(self, path: list, descending: bool) -> "Bindings":
         df = self.df.drop(XLANG)
@@ -582,3 +586,10 @@ def narrow_class(df: DataFrame, subtype: DataFrame, cls: str, relation_cls: str,
     j = df.join(st, (F.col(relation_cls) == F.col("_sub")) & (F.col(cls) == F.col("_sup")), "left")
     return (j.withColumn(out, F.when(F.col("_sub").isNotNull(), F.col(relation_cls)).otherwise(F.col(cls)))
             .drop("_sub", "_sup"))
+
+
+def explicit_class(explicit, explicit_kind, other, other_kind) -> Column:
+    """K27 for AND / ARG: of two class nodes that become one, the class that the form names
+    (the first) wins; otherwise the other node stays as it is."""
+    a, ak, b, bk = (F.col(c) if isinstance(c, str) else c for c in (explicit, explicit_kind, other, other_kind))
+    return F.when((ak == "class") & (bk == "class"), a).otherwise(b)

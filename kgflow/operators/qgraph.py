@@ -18,7 +18,8 @@ equivalence classes -- a group-by, no pairs.
 
 from __future__ import annotations
 
-import itertools
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,34 +152,88 @@ def wl_buckets_packed(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3) ->
     return _buckets(refine_packed(pack(qnodes, qedges), rounds)).select("qid", "bucket", "discrete")
 
 
+def _stable(colour: dict, edges: list) -> dict:
+    """Colours refined until no class splits any more; a colour is a hash of what it was made of."""
+    while True:
+        seen: dict = {n: [] for n in colour}
+        for s, d, r in edges:
+            seen[s].append(f">{r}:{colour[d]}")
+            seen[d].append(f"<{r}:{colour[s]}")
+        finer = {n: hashlib.md5("|".join([c, *sorted(seen[n])]).encode()).hexdigest() for n, c in colour.items()}
+        if len(set(finer.values())) == len(set(colour.values())):
+            return colour
+        colour = finer
+
+
+def _components(nodes: list, edges: list) -> list[list]:
+    near: dict = {n: [] for n in nodes}
+    for s, d, _ in edges:
+        near[s].append(d)
+        near[d].append(s)
+    out, met = [], set()
+    for n in nodes:
+        if n not in met:
+            part, todo = [], [n]
+            met.add(n)
+            while todo:
+                part.append(x := todo.pop())
+                todo += (new := set(near[x]) - met)
+                met |= new
+            out.append(part)
+    return out
+
+
+def _canonical(colour: dict, edges: list) -> str:
+    """The same text for isomorphic coloured graphs only.
+
+    After refinement, nodes alone in their class are settled: how the others are tied to them is part of
+    the others' colours.  What is left falls into components, canonised one by one.  In a component whose
+    colours still tie, a node of the smallest class is singled out and the rest refined again, the least text
+    of all choices wins; of nodes that may be swapped without a change, one is tried."""
+    colour = _stable(colour, edges)
+    of: dict = {}
+    for n, c in colour.items():
+        of.setdefault(c, []).append(n)
+    tied = [n for c in of.values() if len(c) > 1 for n in c]
+    shape = ",".join(sorted(colour.values())) + "#" + ";".join(sorted(f"{colour[s]}>{r}>{colour[d]}" for s, d, r in edges))
+    loose, parts = set(tied), []
+    for part in _components(tied, [e for e in edges if e[0] in loose and e[1] in loose]):
+        inside = set(part)
+        own = sorted(e for e in edges if e[0] in inside and e[1] in inside)
+        mine = {n: colour[n] for n in part}
+        if len(set(mine.values())) == len(mine):           # apart now: its colours name its nodes
+            parts.append(_canonical(mine, own))
+            continue
+        sizes: dict = {}
+        for n in part:
+            sizes.setdefault(mine[n], []).append(n)
+        pick = min((c for c in sizes if len(sizes[c]) > 1), key=lambda c: (len(sizes[c]), c))
+        tried: list = []
+        for n in sizes[pick]:
+            if not any(_swappable(n, t, own) for t in tried):
+                tried.append(n)
+        parts.append(min(_canonical({**mine, n: mine[n] + "*"}, own) for n in tried))
+    return shape + "{" + "&".join(sorted(parts)) + "}"
+
+
+def _swappable(a, b, edges: list) -> bool:
+    """Whether exchanging two nodes leaves the (sorted) edges as they are."""
+    to = {a: b, b: a}
+    return sorted((to.get(s, s), to.get(d, d), r) for s, d, r in edges) == edges
+
+
 def _exact_certificate(nodes: list[tuple[int, str]], edges: list[tuple[int, int, str]]) -> str:
-    """Smallest colour-labelled edge list over the orderings that keep the
-    refined colour classes in place (exact for the tied classes)."""
-    nodes = sorted(nodes, key=lambda t: (t[1], t[0]))
-    classes = [[n for n, _ in grp] for _, grp in itertools.groupby(nodes, key=lambda t: t[1])]
-    colour_seq = ",".join(c for _, c in nodes)
-    best = None
-    for perm in itertools.product(*[itertools.permutations(c) for c in classes]):
-        pos = {n: i for i, n in enumerate(itertools.chain.from_iterable(perm))}
-        key = sorted((pos[s], pos[d], r) for s, d, r in edges)
-        if best is None or key < best:
-            best = key
-    return colour_seq + "#" + ";".join(f"{s}>{d}:{r}" for s, d, r in best or [])
+    return _canonical(dict(nodes), edges)
 
 
 _CERT = T.StructType([T.StructField("qid", T.LongType()), T.StructField("cert", T.StringType())])
 
 
 def _cert_batches(it):
-    """Discrete graphs pass their Spark-computed certificate through; graphs
-    with tied colours get the exact search."""
-    import hashlib
+    """Graphs with tied colours: the canonical text's hash."""
     for pdf in it:
         out = []
-        for disc, dc, ns, es in zip(pdf["discrete"], pdf["dcert"], pdf["tn"], pdf["edges"]):
-            if disc:
-                out.append(dc)
-                continue
+        for ns, es in zip(pdf["tn"], pdf["edges"]):
             nd = [(int(n["nid"]), n["colour"]) for n in ns]
             ed = [(int(e["src"]), int(e["dst"]), e["relation"]) for e in (es if es is not None else [])]
             out.append("x:" + hashlib.md5(_exact_certificate(nd, ed).encode("utf-8")).hexdigest())
@@ -197,8 +252,7 @@ def certificates(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3) -> DataF
     # reuse); the refinement itself is row-local and cheap to repeat.
     d = b.filter("discrete").select(F.col("qid").cast("long").alias("qid"), discrete_cert.alias("cert"))
     tied = b.filter(~F.col("discrete")).select(
-        F.col("qid").cast("long").alias("qid"), F.lit(False).alias("discrete"),
-        F.lit(None).cast("string").alias("dcert"),
+        F.col("qid").cast("long").alias("qid"),
         F.transform("nodes", lambda n: F.struct(n["nid"].alias("nid"), n["c"].alias("colour"))).alias("tn"),
         "edges")
     return d.unionByName(tied.mapInPandas(_cert_batches, _CERT))

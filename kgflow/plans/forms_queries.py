@@ -174,6 +174,18 @@ from (select {_RATES} from ({_cleaned_sql()})) r,
 ({S.bleu_sql(f"select idx as id, pred, golds as refs from ({_cleaned_sql()})")}) b"""
 
 
+def retrieval_report(spark, sf):
+    """M11, retrieval form: accuracy, BLEU with its parts, ROUGE-1 and -2 of the cleaned forms in one pass."""
+    b = M.score_retrieval(_cleaned(spark, sf), "pred", "golds", "idx", lcs=False)
+    return b.withColumns({c: F.round(c, DIGITS) for c in ("bleu", "brevity_penalty")})
+
+
+SQL_RETRIEVAL = f"""select r.accuracy, g.rouge1, g.rouge2, b.* replace (round(b.bleu, 12) as bleu, round(b.brevity_penalty, 12) as brevity_penalty)
+from (select avg(case when list_contains(golds, pred) then 1.0 else 0.0 end) as accuracy from ({_cleaned_sql()})) r,
+({S.rouge_n_sql(f"select idx as id, pred, golds as refs from ({_cleaned_sql()})")}) g,
+({S.bleu_sql(f"select idx as id, pred, golds as refs from ({_cleaned_sql()})", detail=True)}) b"""
+
+
 def forms_conversion_rate(spark, sf):
     """A cleaned form counts as converted when its parentheses balance and
     it is a parenthesised expression; failures stay in the denominator."""
@@ -332,6 +344,7 @@ QUERIES = {
     "forms_mentions_rewrite": (forms_mentions_rewrite, SQL_MENTIONS_REWRITE),
     "forms_match_rates": (forms_match_rates, SQL_MATCH_RATES),
     "forms_clean_score": (forms_clean_score, SQL_CLEAN_SCORE),
+    "retrieval_report": (retrieval_report, SQL_RETRIEVAL),
     "forms_conversion_rate": (forms_conversion_rate, SQL_CONVERSION_RATE),
     "bleu_conversations": (bleu_conversations, SQL_BLEU_CONV),
     "tok13a_conversations": (tok13a_conversations, SQL_TOK13A),

@@ -6,7 +6,7 @@ has no row position, so every reader returns an explicit ``idx``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,17 @@ PREDICTIONS = T.StructType([
 CONTEXT_FIELD = "ent_type_dict"
 
 
+def _array_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Objects of one JSON array per file with an ``idx`` that counts on over the files in the order of
+    their names.  A file that is not such an array fails the job."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json(
+        "value", T.ArrayType(schema), {"mode": "FAILFAST"}).alias("a"))
+    sizes = raw.select("file", F.size("a").alias("n"))
+    before = sizes.select("file", (F.coalesce(F.sum("n").over(Window.orderBy("file")), F.lit(0)) - F.col("n")).alias("before"))   # one row per file
+    rows = raw.join(F.broadcast(before), "file").select("before", F.posexplode("a").alias("pos", "e"))
+    return rows.select((F.col("before") + F.col("pos")).cast("long").alias("idx"), "e.*")
+
+
 def read_examples(spark: SparkSession, path: str, fmt: str = "array") -> DataFrame:
     """QA examples with a stable index.
 
@@ -33,10 +44,7 @@ def read_examples(spark: SparkSession, path: str, fmt: str = "array") -> DataFra
     example sets it ships.  ``fmt='jsonl'``: one object per line, split across
     tasks; ``idx`` then comes from an ``idx`` field in the data."""
     if fmt == "array":
-        raw = spark.read.text(path, wholetext=True)
-        arr = F.from_json("value", T.ArrayType(EXAMPLE))
-        return raw.select(F.posexplode(arr).alias("idx", "e")).select(
-            F.col("idx").cast("long"), "e.input", "e.output", "e.SPARQL")
+        return _array_rows(spark, path, EXAMPLE)
     if fmt == "jsonl":
         schema = T.StructType([T.StructField("idx", T.LongType())] + EXAMPLE.fields)
         return spark.read.schema(schema).json(path)
@@ -63,11 +71,21 @@ def write_entity_index(vectors: DataFrame, aliases: DataFrame, path: str, mode:
     aliases.write.mode(mode).partitionBy("class").parquet(f"{path}/aliases")
 
 
-def read_contexts(spark: SparkSession, path: str, field: str = CONTEXT_FIELD) -> DataFrame:
-    """Augmented contexts (JSON lines) with a mention -> definition map."""
-    schema = T.StructType([T.StructField("idx", T.LongType()), T.StructField("input", T.StringType()),
-                           T.StructField("output", T.StringType()),
-                           T.StructField(field, T.MapType(T.StringType(), T.StringType()))])
+def read_contexts(spark: SparkSession, path: str, field: str = CONTEXT_FIELD, fmt: str = "jsonl") -> DataFrame:
+    """Augmented contexts with a mention -> definition map ``contexts``.  ``fmt='jsonl'``: one object per
+    line with its ``idx``; ``'array'``: one JSON array per file, numbered; ``'tsv'``: a tab-separated table
+    whose first column is the index and whose ``class_pred`` is the map as JSON text."""
+    entry = T.StructType([T.StructField("input", T.StringType()), T.StructField("output", T.StringType()),
+                          T.StructField(field, T.MapType(T.StringType(), T.StringType()))])
+    if fmt == "array":
+        return _array_rows(spark, path, entry).withColumnRenamed(field, "contexts")
+    if fmt == "tsv":
+        rows = spark.read.option("header", True).option("sep", "\t").option("multiLine", True).option("escape", '"').csv(path)
+        return rows.withColumnsRenamed({rows.columns[0]: "idx"}).withColumns({
+            "idx": F.col("idx").cast("long"), "contexts": F.from_json("class_pred", T.MapType(T.StringType(), T.StringType()))}).drop("class_pred")
+    if fmt != "jsonl":
+        raise ValueError(fmt)
+    schema = T.StructType([T.StructField("idx", T.LongType()), *entry.fields])
     return spark.read.schema(schema).json(path).withColumnRenamed(field, "contexts")
 
 

@@ -49,13 +49,18 @@ def match_rates_stream(cleaned: DataFrame) -> DataFrame:
         F.sum(M.relation_hit("pred", "golds").cast("long")).alias("relation"))
 
 
-def start(df: DataFrame, name: str, sink: str = "memory", output_mode: str = "complete",
+def start(df: DataFrame, name: str, sink: str | None = None, output_mode: str | None = None,
           checkpoint: str | None = None, path: str | None = None) -> StreamingQuery:
     """Start a query with its checkpoint under the shared ``spark.checkpoint.dir``
-    (exactly-once restart after an executor or driver loss)."""
+    (exactly-once restart after an executor or driver loss).  Default: Parquet files in ``path``; without a path the
+    ``memory`` sink, which holds the whole result on the driver and is refused by default on a cluster."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
-    w = (df.writeStream.queryName(name).outputMode(output_mode)
+    if sink is None:
+        sink = "parquet" if path else "memory"
+        if sink == "memory" and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("give a path: the memory sink holds the whole result on the driver")
+    w = (df.writeStream.queryName(name).outputMode(output_mode or ("complete" if sink == "memory" else "append"))
          .option("checkpointLocation", checkpoint or f"{base.rstrip('/')}/stream-{name}"))
     if sink == "memory":
         return w.format("memory").start()

@@ -64,3 +64,25 @@ def test_streaming_equals_batch(spark, tmp_path):
         q.stop()
     batch = ST.match_rates_stream(ST.clean_stream(spark.read.parquet(src))).first()
     assert (got.n, got.exact, got.skeleton, got.relation) == (batch.n, batch.exact, batch.skeleton, batch.relation)
+
+
+def test_arrays_number_on_over_files_and_fail_when_broken(spark, tmp_path):
+    import pytest
+    for name, n in (("a.json", 2), ("b.json", 3), ("c.json", 0)):
+        (tmp_path / name).write_text(json.dumps([{"input": f"{name}{i}", "output": "o", "SPARQL": []} for i in range(n)]))
+    rows = S.read_examples(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [(r.idx, r.input) for r in rows] == [(0, "a.json0"), (1, "a.json1"), (2, "b.json0"), (3, "b.json1"), (4, "b.json2")]
+    (tmp_path / "d.json").write_text("[{")
+    with pytest.raises(Exception):
+        S.read_examples(spark, str(tmp_path)).collect()
+
+
+def test_contexts_as_array_and_tsv(spark, tmp_path):
+    ex = [{"input": "q", "output": "o", "ent_type_dict": {"m": "d"}}, {"input": "r", "output": "p", "ent_type_dict": {}}]
+    (tmp_path / "x.json").write_text(json.dumps(ex))
+    rows = S.read_contexts(spark, str(tmp_path / "x.json"), fmt="array").orderBy("idx").collect()
+    assert [(r.idx, r.input, r.contexts) for r in rows] == [(0, "q", {"m": "d"}), (1, "r", {})]
+    import pandas as pd
+    pd.DataFrame({"question": ["q, 1", "r"], "class_pred": [json.dumps({"m": "d"}), "{}"]}).to_csv(tmp_path / "x.tsv", sep="\t")
+    rows = S.read_contexts(spark, str(tmp_path / "x.tsv"), fmt="tsv").orderBy("idx").collect()
+    assert [(r.idx, r.question, r.contexts) for r in rows] == [(0, "q, 1", {"m": "d"}), (1, "r", {})]

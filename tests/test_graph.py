@@ -135,3 +135,32 @@ def test_integer_bound_keeps_decimals_and_literals_are_not_nodes(spark):
     g = KG(spark.createDataFrame(rows, TRIPLE_SCHEMA))
     assert {r.x for r in g.compare("w", "ge", 10).answer().collect()} == {"s1", "s2", "s3"}
     assert {r.x for r in g.having("r", "n7").answer().collect()} == {"a"}
+
+
+def test_answer_paths_steps_with_gaps_and_without_steps(spark):
+    g = _triples(spark, [("a", "r", "b", "iri", ""), ("b", "r", "c", "iri", "")])
+    seeds = spark.createDataFrame([(1, "a"), (2, "q")], "query_id long, x string")
+    steps = spark.createDataFrame([(1, 1, "r", False), (1, 5, "r", False)], "query_id long, step int, p string, inverse boolean")
+    assert {(r.query_id, r.x) for r in g.answer_paths(seeds, steps).collect()} == {(1, "c"), (2, "q")}
+
+
+def test_constant_patterns_are_tests(spark):
+    g = _triples(spark, [("a", "r", "b", "iri", ""), ("b", "q", "c", "iri", "")])
+    for pats in ([("?x", "r", "b"), ("b", "q", "c")], [("b", "q", "c"), ("?x", "r", "b")]):
+        assert [r.x for r in g.match(pats, select=["x"], distinct=True).collect()] == ["a"]
+    assert g.match([("?x", "r", "b"), ("b", "q", "z")], select=["x"]).count() == 0
+
+
+def test_explicit_class(spark):
+    from kgflow.operators.graph import explicit_class
+    df = spark.createDataFrame([("A", "class", "B", "class"), ("A", "class", "e", "entity"), ("x", "entity", "B", "class")], "a string, ak string, b string, bk string")
+    assert [r[0] for r in df.select(explicit_class("a", "ak", "b", "bk")).collect()] == ["A", "e", "B"]
+
+
+def test_batched_paths_join_inner(spark):
+    """A hub's edges can be split: no outer join with the edges on its right."""
+    g = _triples(spark, [("a", "r", "b", "iri", "")])
+    seeds = spark.createDataFrame([(1, "a")], "query_id long, x string")
+    steps = spark.createDataFrame([(1, 1, "r", False), (1, 2, "r", True)], "query_id long, step int, p string, inverse boolean")
+    plan = g.answer_paths(seeds, steps)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") <= plan.count("coalesce(last")       # only the join with the query ends

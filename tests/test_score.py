@@ -120,3 +120,36 @@ def test_attach_gold_missing_prediction_is_a_miss(spark):
     gold = spark.createDataFrame([(0, ["a"]), (1, ["b"]), (2, ["c"])], "idx long, golds array<string>")
     pred = spark.createDataFrame([(0, "a"), (2, "x")], "idx long, pred string")
     assert M.exact_match(M.attach_gold(gold, pred)).first().accuracy == 1 / 3
+
+
+def test_lcs_bits_against_table():
+    import random
+    from kgflow.functions.score import _lcs, _lcs_positions
+    rnd = random.Random(5)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(9))] for _ in range(2))
+        best = 0
+        for bits in range(1 << len(a)):
+            sub = [x for i, x in enumerate(a) if bits >> i & 1]
+            it = iter(b)
+            if all(x in it for x in sub):
+                best = max(best, len(sub))
+        at = _lcs_positions(a, b)
+        it = iter(b)
+        assert _lcs(a, b) == best == len(at) and at == sorted(set(at)) and all(a[i] in it for i in at)
+
+
+def test_lcs_of_long_texts():
+    from kgflow.functions.score import _lcs, _lcs_positions
+    a, b = [str(i % 911) for i in range(12000)], [str(i % 877) for i in range(12000)]
+    assert _lcs(a, a) == 12000 and len(_lcs_positions(a, b)) == _lcs(a, b)
+
+
+def test_retrieval_report(spark):
+    from kgflow.functions import score as M
+    df = spark.createDataFrame([(1, "a b c d e", ["a b c d e"]), (2, "a b", ["a c", "b"]), (3, None, ["x"])], "id long, pred string, golds array<string>")
+    r = M.score_retrieval(df).first()
+    one = M.bleu(df, "pred", "golds", "id", detail=True).first()
+    per = M.rouge_summary(M.rouge_scores(df, "pred", "golds"), ["rouge1", "rougeL"]).first()
+    assert round(r.accuracy, 6) == round(1 / 3, 6) and r.bleu == one.bleu and r.translation_length == one.translation_length
+    assert (r.rouge1, r.rougeL) == (per.rouge1, per.rougeL)

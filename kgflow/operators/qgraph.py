@@ -12,7 +12,7 @@ equivalence classes -- a group-by, no pairs.
 * G4: when refinement separates every node of a graph (the usual case for
   query graphs) the colour-labelled edge list *is* canonical and the
   certificate is computed in Spark.  Only graphs with tied colours go to a
-  per-graph exact search in Arrow batches (one row per graph, packed by
+  canonical form in Arrow batches (one row per graph, packed by
   id, so a graph is never split).
 """
 

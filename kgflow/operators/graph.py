@@ -346,10 +346,10 @@ class KG:
         order = Window.partitionBy("query_id").orderBy("step")
         steps = steps.select("query_id", F.dense_rank().over(order).alias("step"), "p", "inverse")
         ends = steps.groupBy("query_id").agg(F.max("step").alias("last"))
-        longest = ends.agg(F.max("last")).first()[0] or 0
+        plan = self.predicates_by_step(steps)
+        longest = max((k for k, _ in plan), default=0) if plan is not None else ends.agg(F.max("last")).first()[0]
         if max_steps is not None and longest > max_steps:
             raise ValueError(f"a query has {longest} steps, more than {max_steps}")
-        plan = self.predicates_by_step(steps)
         frontier = (seeds.select("query_id", X).distinct().join(ends, "query_id", "left")
                     .select("query_id", X, F.coalesce("last", F.lit(0)).alias("last")))
         done = [frontier.filter("last = 0")]

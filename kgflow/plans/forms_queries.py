@@ -165,7 +165,7 @@ SQL_MATCH_RATES = f"select {_RATES} from ({_cleaned_sql()})"
 def forms_clean_score(spark, sf):
     """Flagship T1 -> T4 -> T10 -> M11: accuracy, BLEU, skeleton and relation match."""
     c = _cleaned(spark, sf)
-    r = M.score_run(c, "pred", "golds", "idx")
+    r = M.score_run(c, "pred", "golds")
     return r.withColumn("bleu", F.round("bleu", DIGITS))
 
 
@@ -176,7 +176,7 @@ from (select {_RATES} from ({_cleaned_sql()})) r,
 
 def retrieval_report(spark, sf):
     """M11, retrieval form: accuracy, BLEU with its parts, ROUGE-1 and -2 of the cleaned forms in one pass."""
-    b = M.score_retrieval(_cleaned(spark, sf), "pred", "golds", "idx", lcs=False)
+    b = M.score_retrieval(_cleaned(spark, sf), "pred", "golds", lcs=False)
     return b.withColumns({c: F.round(c, DIGITS) for c in ("bleu", "brevity_penalty")})
 
 

@@ -153,3 +153,44 @@ def test_retrieval_report(spark):
     per = M.rouge_summary(M.rouge_scores(df, "pred", "golds"), ["rouge1", "rougeL"]).first()
     assert round(r.accuracy, 6) == round(1 / 3, 6) and r.bleu == one.bleu and r.translation_length == one.translation_length
     assert (r.rouge1, r.rougeL) == (per.rouge1, per.rougeL)
+
+
+def test_ngram_counts_on_edge_rows(spark):
+    """Null and empty sides, null references, repeated n-grams, no reference, any order; \x1c splits as white space."""
+    rows = [(1, None, ["a b"]), (2, "a a a a b", ["a a b b", "a a a", None]), (3, "a b", None), (4, "a b", []), (5, "", [""]),
+            (6, "a\x1cb a\x1cb c", ["a b c", "a b a b"]), (7, "x " * 3000, ["x " * 2000 + "y", "x"])]
+    assert M.bleu_parts(spark.createDataFrame([], "id long, pred string, refs array<string>")).count() == 0
+    df = spark.createDataFrame(rows, "id long, pred string, refs array<string>")
+    parts = {r.id: r for r in M.bleu_parts(df).collect()}
+    rouge = {r.id: r for r in M.rouge_n(df, orders=(1, 3)).collect()}
+    for i, p, rs in rows:
+        pt, rts = _tok13a(p or ""), [_tok13a(r or "") for r in rs or []]
+        for n in range(1, 5):
+            merged = Counter()
+            for r in rts:
+                merged |= _ngr(r, n)
+            assert parts[i][f"m{n}"] == sum((_ngr(pt, n) & merged).values()), (i, n)
+            assert parts[i][f"poss{n}"] == max(len(pt) - n + 1, 0)
+        assert (parts[i].tl, parts[i].rl) == (len(pt), min(map(len, rts), default=0))
+        pt, rts = _rouge_tok(p or ""), [_rouge_tok(r or "") for r in rs or []]
+        for n in (1, 3):
+            best = 0.0
+            for r in rts:
+                hits = sum((_ngr(pt, n) & _ngr(r, n)).values())
+                best = max(best, _f(hits / max(len(pt) - n + 1, 1), hits / max(len(r) - n + 1, 1)))
+            assert abs(rouge[i][f"rouge{n}"] - best) < 1e-12, (i, n)
+
+
+def test_ngram_counts_do_not_depend_on_slices(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    rnd = random.Random(8)
+    t = pa.array([[rnd.choice("abc") for _ in range(rnd.randrange(9))] for _ in range(50)], pa.list_(pa.string()))
+    r = pa.array([[[rnd.choice("abc") for _ in range(rnd.randrange(9))] for _ in range(rnd.randrange(3))] for _ in range(50)],
+                 pa.list_(pa.list_(pa.string())))
+    whole = [c for _, _, c in M._overlaps(t, r, 4)]
+    for size in (1, 17, 100):
+        monkeypatch.setattr(M, "SLICE_TOKENS", size)
+        parts = [[c for _, _, c in M._overlaps(a, b, 4)] for a, b in M._slices(t, r)]
+        assert all((np.concatenate(x) == w).all() for x, w in zip(zip(*parts), whole))
+    assert len(parts) > 3

@@ -251,6 +251,14 @@ def rouge_l_conversations(spark, sf):
     return M.rouge_summary(per, ["rougeL", "rougeLsum"])
 
 
+def rouge_l_rows(spark, sf):
+    """M8: ROUGE-L F1 of every answered turn."""
+    return M.rouge_l(_pairs(spark, sf), "pred", "refs", keep=["id"]).select("id", F.round("rougeL", DIGITS).alias("rouge_l"))
+
+
+SQL_ROUGE_L_ROWS = S.rouge_l_sql(_PAIRS_ROWS)
+
+
 def token_lengths(spark, sf):
     """M9 + M10 on F7: labels unmasked (-100 -> pad), mean non-pad length per
     user.  Counted as an aggregate, never collected into per-user arrays."""
@@ -350,6 +358,7 @@ QUERIES = {
     "tok13a_conversations": (tok13a_conversations, SQL_TOK13A),
     "rouge_conversations": (rouge_conversations, SQL_ROUGE_CONV),
     "rouge_l_conversations": (rouge_l_conversations, None),
+    "rouge_l_rows": (rouge_l_rows, SQL_ROUGE_L_ROWS),
     "token_lengths": (token_lengths, SQL_TOKEN_LENGTHS),
     "prompts_fill": (prompts_fill, SQL_PROMPTS_FILL),
     "prompts_split": (prompts_split, SQL_PROMPTS_SPLIT),

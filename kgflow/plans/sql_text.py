@@ -161,3 +161,20 @@ f as (select id, n, max(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 en
 w as (select id, {per} from f group by id)
 select {piv} from w
 """
+
+
+def rouge_l_sql(rows_cte: str) -> str:
+    """Per-row ROUGE-L F1 of the best reference.  One recursion step per reference token: row i of the
+    table of longest common subsequences is the running maximum of (cell above-left + 1 where the tokens are equal,
+    else cell above)."""
+    return f"""
+with recursive rows as ({rows_cte}),
+tok as (select id, {tok_rouge('pred')} as pt, generate_subscripts(refs, 1) as j, unnest(list_transform(refs, lambda r: {tok_rouge('r')})) as rt from rows),
+l as (select id, j, 0 as i, list_transform(pt, lambda x: 0) as v from tok
+      union all
+      select id, j, i + 1, list_transform(range(1, len(c) + 1), lambda k: list_max(c[1:k]))
+      from (select l.id, l.j, l.i, list_transform(range(1, len(pt) + 1), lambda k: case when pt[k] = rt[i + 1] then coalesce(v[k - 1], 0) + 1 else v[k] end) as c
+            from l join tok using (id, j) where l.i < len(tok.rt))),
+s as (select id, coalesce(v[len(pt)], 0) / len(pt) as p, coalesce(v[len(pt)], 0) / len(rt) as r from l join tok using (id, j) where l.i = len(tok.rt))
+select id, round(max(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end), 12) as rouge_l from s group by id
+"""

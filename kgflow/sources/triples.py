@@ -78,8 +78,10 @@ def union_triples(parts: list[DataFrame]) -> DataFrame:
 
 def write_triples(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write triples at rest: one Parquet folder per predicate, rows sorted by ``s``
-    inside each file so row-group statistics prune subject lookups too."""
-    (triples.repartition("p", "s").sortWithinPartitions("p", "s")
+    inside each file so row-group statistics prune subject lookups too.  Tasks hold
+    ranges of ``(p, s)``: a large predicate is spread over many tasks, small ones share
+    one, and there are at most tasks + predicates files, each with its own range of ``s``."""
+    (triples.repartitionByRange("p", "s").sortWithinPartitions("p", "s")
      .write.mode(mode).partitionBy("p").parquet(path))
 
 

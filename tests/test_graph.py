@@ -100,6 +100,10 @@ def test_triples_at_rest_partition_pruning(spark, tmp_path):
     lazy = KG(sources=kg_sources(Tables(spark, SF001)), spark=spark)
     path = str(tmp_path / "triples")
     write_triples(lazy.triples, path)
+    files = sum(1 for _ in (tmp_path / "triples").glob("p=*/*.parquet"))
+    preds = sum(1 for _ in (tmp_path / "triples").glob("p=*"))
+    assert files <= int(spark.conf.get("spark.sql.shuffle.partitions")) + preds
+    assert read_triples(spark, path).count() == lazy.triples.count()
     rest = KG(read_triples(spark, path))
     q = lambda g: {r.x for r in g.having("in_region", "reg_1").step_in("in_nation").step_in("placed_by")
                    .exclude_intermediates().answer().collect()}

@@ -86,8 +86,8 @@ def _split_ws(s: Column) -> Column:
 
 
 def tok13a(c) -> Column:
-    """M6: mteval-13a tokenisation -> array<string>."""
-    s = _c(c)
+    """M6: mteval-13a tokenisation -> array<string>; a null text has no tokens."""
+    s = F.coalesce(_c(c), F.lit(""))
     for a, b in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"),
                  ("&lt;", "<"), ("&gt;", ">")):
         s = F.replace(s, F.lit(a), F.lit(b))
@@ -98,8 +98,8 @@ def tok13a(c) -> Column:
 
 
 def tok_rouge(c) -> Column:
-    """ROUGE tokenisation: lower case, non-[a-z0-9] runs become spaces."""
-    s = F.regexp_replace(F.lower(_c(c)), "[^a-z0-9]+", " ")
+    """ROUGE tokenisation: lower case, non-[a-z0-9] runs become spaces; a null text has no tokens."""
+    s = F.regexp_replace(F.lower(F.coalesce(_c(c), F.lit(""))), "[^a-z0-9]+", " ")
     return _split_ws(s)
 
 
@@ -197,8 +197,7 @@ def _tokenised(df: DataFrame, keep: list, pred, refs, tok) -> DataFrame:
     """``keep`` with ``_p`` (tokens) and ``_r`` (tokens of each reference); null texts are empty, null
     ``refs`` no reference."""
     texts = F.coalesce(_c(refs), F.array().cast("array<string>"))
-    return df.select(*keep, tok(F.coalesce(_c(pred), F.lit(""))).alias("_p"),
-                     F.transform(texts, lambda r: tok(F.coalesce(r, F.lit("")))).alias("_r"))
+    return df.select(*keep, tok(pred).alias("_p"), F.transform(texts, tok).alias("_r"))
 
 
 # --- BLEU --------------------------------------------------------------------

@@ -65,8 +65,8 @@ from (select p_partkey, p_name,
 
 TEXT_PAIRS_SQL = """
 select u.conv_id, u.turn, u.text as gold, a.text as pred from conversations u
-join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1
-where u.role = 'user' and a.role = 'assistant'
+left join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
+where u.role = 'user'
 """
 
 TRAINING_SQL = """

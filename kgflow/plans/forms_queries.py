@@ -209,7 +209,7 @@ def _pairs(spark, sf):
     return p.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "pred", F.array("gold").alias("refs"))
 
 
-_PAIRS_ROWS = f"select concat_ws(':', conv_id, turn) as id, pred, [gold] as refs from ({TEXT_PAIRS_SQL})"
+_PAIRS_ROWS = f"select concat_ws(':', conv_id, turn) as id, coalesce(pred, '') as pred, [gold] as refs from ({TEXT_PAIRS_SQL})"
 
 
 def bleu_conversations(spark, sf):
@@ -332,7 +332,7 @@ def prompts_infer(spark, sf):
 def sentences_pairs(spark, sf):
     """Sentence-per-line form of the assistant turns (before ROUGE-Lsum)."""
     p = _pairs(spark, sf)
-    return p.select("id", P.sentences("pred").alias("lines"))
+    return p.select("id", P.sentences(F.coalesce("pred", F.lit(""))).alias("lines"))
 
 
 SQL_SENTENCES = f"select id, regexp_replace(pred, '([.!?])[ \\t]+', '\\1\n', 'g') as lines from ({_PAIRS_ROWS})"

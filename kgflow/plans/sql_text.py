@@ -175,6 +175,6 @@ l as (select id, j, 0 as i, list_transform(pt, lambda x: 0) as v from tok
       select id, j, i + 1, list_transform(range(1, len(c) + 1), lambda k: list_max(c[1:k]))
       from (select l.id, l.j, l.i, list_transform(range(1, len(pt) + 1), lambda k: case when pt[k] = rt[i + 1] then coalesce(v[k - 1], 0) + 1 else v[k] end) as c
             from l join tok using (id, j) where l.i < len(tok.rt))),
-s as (select id, coalesce(v[len(pt)], 0) / len(pt) as p, coalesce(v[len(pt)], 0) / len(rt) as r from l join tok using (id, j) where l.i = len(tok.rt))
+s as (select id, coalesce(v[len(pt)], 0) / greatest(len(pt), 1) as p, coalesce(v[len(pt)], 0) / greatest(len(rt), 1) as r from l join tok using (id, j) where l.i = len(tok.rt))
 select id, round(max(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end), 12) as rouge_l from s group by id
 """

@@ -140,12 +140,13 @@ def qa_forms(t: Tables) -> DataFrame:
 
 
 def text_pairs(t: Tables) -> DataFrame:
-    """each user turn paired with the assistant turn that answers it."""
+    """each user turn and the assistant turn that answers it; without one ``pred`` is null, which
+    scores as a miss."""
     c = t.conversations
     u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("gold"))
     a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                       F.col("text").alias("pred"))
-    return u.join(a, ["conv_id", "turn"])
+    return u.join(a, ["conv_id", "turn"], "left")
 
 
 def training_pairs_fixture(t: Tables) -> DataFrame:

@@ -1,39 +1,53 @@
-"""Op 5: quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
-
-Units are characters folded to ``A`` symbols (a-z, upper case, accented letters by base, digits,
-space, some punctuation, the rest), so the model has at most A^ORDER entries whatever the corpus.
-
-1. Trusted documents (labelled quality 1 and not toxic; all of them) are counted: each task
-   sums its n-grams in one array and emits them once, Spark sums them by n-gram.
-2. Lower orders use continuation counts (distinct left extensions).  Totals, the numbers of
-   extensions seen once, twice and more, and the discounts come from grouped counts; each order's
-   probabilities join its context table and the order below, all sharded by context.
-3. Documents are scored against the model shard by shard: the n-gram table (proven bound A^ORDER
-   rows) is held by context range, a task joins the sorted n-grams of its documents
-   with one shard after the other and sums log probabilities per document; the documents
-   are read once and not shuffled.
-4. Thresholds are quantiles of the trusted documents' perplexity within each language
+"""Op 5: quality by an interpolated modified Kneser-Ney model of the words of trusted text.
+
+Units are words (runs of letters, case kept), single digits and single other signs, unfolded and
+named by 64-bit hashes; white space parts units.  The model grows with the trusted text and is only ever a Spark table.
+
+1. Trusted documents (labelled quality 1 and not toxic; all of them) are counted: n-grams of ``WORDS``
+   units (starts padded), summed per batch in the task, then by Spark.
+2. A hash of its text puts each document in one of two halves; a document is scored by the model of the trusted
+   documents of the other half.  So no document is judged by its own n-grams or its copies', and trusted documents'
+   perplexities, which set the thresholds, compare with the others'.
+3. Lower orders use continuation counts (distinct left extensions).  Totals, the numbers of extensions
+   seen once, twice and more, and the discounts come from grouped counts; each order's
+   probabilities join its context table and the order below.
+4. The log probability of a text is a sum over the n-grams and contexts that the model has: the weight of the empty context for every
+   unit, each seen context's log weight, and for each seen n-gram what its log probability exceeds the lower order's
+   by.  Documents' n-grams and contexts of every order, summed per document, join that table by key in
+   one shuffle and are summed per document.
+5. Thresholds are quantiles of the trusted documents' perplexity (per unit) within each language
    (``low``, ``high``); languages without trusted documents use those over all.  Documents
    outside are not kept.
 
 Cases: null, empty and white texts have no perplexity and are not kept; a null lang is a language
 of its own; unlabelled documents are scored like others; with no trusted text nothing can be judged:
-perplexity null, kept if not blank; repeated ids or rows are scored each; other columns are ignored.
+perplexity null, kept if not blank; if all trusted text falls in one half, one model of it scores all; repeated ids or rows
+are scored each; other columns are ignored.
+
+``ngrams`` to ``document_logs`` are the former model of folded characters; ``quality`` does not use them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgflow.llm.common import staged, text_or_empty
 
 ORDER = 4
+WORDS = 3                            # order of the model of words
 LOW, HIGH = 0.001, 0.995
+CACHE = 1 << 18
+CHUNK = 1 << 20                      # characters counted side by side
+START = 1                            # unit before a text's first
+UNIT = re.compile(r"[^\W\d_]+|\S")
 SHARDS = 8
 # fixed values: symbol classes
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -163,36 +177,173 @@ def document_logs(texts: list[str], shards: list[np.ndarray]) -> tuple[np.ndarra
     return total, n
 
 
+class Units(dict):
+    """Unit -> 64-bit hash, a bounded table."""
+
+    def __missing__(self, unit: str) -> int:
+        import xxhash
+        h = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"))
+        self[unit] = h = h - (1 << 64) if h >> 63 else h
+        return h
+
+    def padded(self, texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' units one after the other, each text after order - 1 starts: unit, text, whether it is a unit."""
+        if len(self) > CACHE:
+            self.clear()
+        rows = [UNIT.findall(t) for t in texts]
+        size = np.array([len(r) for r in rows], dtype=np.int64) + order - 1
+        text = np.repeat(np.arange(len(rows)), size)
+        real = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size) >= order - 1
+        seq = np.full(len(text), START, dtype=np.int64)
+        seq[real] = np.fromiter(map(self.__getitem__, chain.from_iterable(rows)), dtype=np.int64, count=int(real.sum()))
+        return seq, text, real
+
+
+def xxhash64(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs; its result is the seed of the next column."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(a, k):
+        return (a << np.uint64(k)) | (a >> np.uint64(64 - k))
+    h = seed + p5 + np.uint64(8) ^ turn(x.view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def keys(seq: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
+    """Key of the ``n`` units that end at each place, from the n-th on."""
+    h = seed[n - 1:]
+    for j in range(n):
+        h = xxhash64(seq[j:len(seq) - n + 1 + j], h)
+    return h.view(np.int64)
+
+
+def _chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    which = (pdf["t"].str.len().cumsum() // CHUNK).to_numpy()
+    for _, part in pdf.groupby(which, sort=False):
+        yield part
+
+
+def _seeds(model: pd.Series) -> np.ndarray:
+    return xxhash64(model.to_numpy(dtype=np.int64), np.full(len(model), 42, dtype=np.uint64))
+
+
+def word_counts(rows: DataFrame, order: int = WORDS) -> DataFrame:
+    """``model``, ``t`` -> ``model``, ``u0`` to the last unit of the n-gram, ``c``; summed per batch."""
+    us = [f"u{i}" for i in range(order)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        units = Units()
+        for pdf in batches:
+            for part in _chunks(pdf):
+                seq, text, real = units.padded(part["t"].tolist(), order)
+                end = np.flatnonzero(real)
+                if len(end):
+                    _, at, c = np.unique(keys(seq, _seeds(part["model"])[text], order)[end - order + 1], return_index=True, return_counts=True)
+                    yield pd.DataFrame({"model": part["model"].to_numpy()[text[end[at]]], **{u: seq[end[at] - order + 1 + i] for i, u in enumerate(us)}, "c": c})
+    return rows.mapInPandas(run, "model long," + "".join(f"{u} long," for u in us) + "c long")
+
+
+def word_requests(rows: DataFrame, order: int = WORDS) -> DataFrame:
+    """``tk``, ``model``, ``t`` -> ``tk``, ``key``, ``n`` (times as an n-gram), ``m`` (times as a context), once per text and key."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        units = Units()
+        for pdf in batches:
+            for part in _chunks(pdf):
+                seq, text, real = units.padded(part["t"].tolist(), order)
+                seeds, tk = _seeds(part["model"]), part["tk"].to_numpy()
+                total = np.bincount(text[real], minlength=len(part))
+                some = np.flatnonzero(total)
+                if not len(some):
+                    continue
+                out = [(some, seeds.view(np.int64)[some], np.zeros(len(some), dtype=np.int64), total[some])]
+                before = np.r_[real[1:] & (text[1:] == text[:-1]), False]
+                for n in range(1, order + 1):
+                    key = keys(seq, seeds[text], n)
+                    is_n, is_m = real[n - 1:], before[n - 1:] & (n < order)
+                    at = np.flatnonzero(is_n | is_m)
+                    at = at[np.lexsort((key[at], text[n - 1:][at]))]
+                    k, d = key[at], text[n - 1:][at]
+                    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+                    out.append((d[first], k[first], np.add.reduceat(is_n[at].astype(np.int64), first), np.add.reduceat(is_m[at].astype(np.int64), first)))
+                d, k, n, m = map(np.concatenate, zip(*out, strict=True))
+                yield pd.DataFrame({"tk": tk[d], "key": k, "n": n.astype(np.int32), "m": m.astype(np.int32)})
+    return rows.mapInPandas(run, "tk long, key long, n int, m int")
+
+
+def _discounts(of: dict[int, int]) -> list[float]:
+    n1, n2, n3, n4 = (of.get(k, 0) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    return [min(max(k - (k + 1) * y * b / a if a else 0.5 * k, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+
+def word_model(counts: DataFrame, order: int = WORDS) -> tuple[DataFrame, list[int]]:
+    """``word_counts`` -> the table (key, gain, back, units) and the models that have text.  ``gain``: log probability of the n-gram less
+    what its context's weight and the order below give; ``back``: log weight of a context; ``units`` 1: the empty context.  A key may have two rows."""
+    spark = counts.sparkSession
+    us = [f"u{i}" for i in range(order)]
+    level = {order: staged(counts.groupBy("model", *us).agg(F.sum("c").alias("c")), "kn-counts")}
+    for n in range(order - 1, 0, -1):
+        level[n] = staged(level[n + 1].groupBy("model", *us[order - n:]).agg(F.count(F.lit(1)).alias("c")), f"kn-counts{n}")
+    models = sorted(r.model for r in level[1].select("model").distinct().collect())                   # at most two
+
+    def by_model(values: dict[int, Column]) -> Column:
+        return reduce(lambda c, m: F.when(F.col("model") == m, values[m]).otherwise(c), models, F.lit(None).cast("double"))
+
+    def key(*cols: str) -> Column:
+        return F.xxhash64(F.col("model"), *cols).alias("key")
+
+    zero, table, lower = F.lit(0.0), None, None
+    for n in range(1, order + 1):
+        own, c = us[order - n:], level[n]
+        of: dict = {m: {} for m in models}
+        for r in c.where("c <= 4").groupBy("model", "c").agg(F.count(F.lit(1)).alias("n")).collect():          # at most eight rows
+            of[r.model][r.c] = r.n
+        d = {m: _discounts(x) for m, x in of.items()}
+        disc = by_model({m: F.when(F.col("c") == 1, x[0]).when(F.col("c") == 2, x[1]).otherwise(x[2]) for m, x in d.items()})
+        ctx = c.groupBy("model", *own[:-1]).agg(F.sum("c").alias("total"), F.sum(disc).alias("freed"), F.count(F.lit(1)).alias("types"))
+        if n == 1:
+            ctx = spark.createDataFrame([tuple(r) for r in ctx.collect()], ctx.schema)                 # at most two rows
+            back = F.col("freed") / F.col("total") / (F.col("types") + 1)                    # an even share for each unit and for all unknown ones
+            part = c.join(F.broadcast(ctx), "model").withColumn("below", back)
+            rows = ctx.select(key(), zero.alias("gain"), F.log(back).alias("back"), F.lit(1).alias("units"))
+        else:
+            part = (c.join(ctx.hint("merge"), ["model", *own[:-1]])
+                    .join(lower.select("model", *own[1:], F.col("p").alias("low")).hint("merge"), ["model", *own[1:]])
+                    .withColumn("below", F.col("freed") / F.col("total") * F.col("low")))
+            rows = ctx.select(key(*own[:-1]), zero.alias("gain"), F.log(F.col("freed") / F.col("total")).alias("back"), F.lit(0).alias("units"))
+        lower = part.select("model", *own, ((F.col("c") - disc) / F.col("total") + F.col("below")).alias("p"), "below")
+        lower = staged(lower, f"kn-p{n}") if n < order else lower
+        rows = rows.unionByName(lower.select(key(*own), F.log(F.col("p") / F.col("below")).alias("gain"), zero.alias("back"), F.lit(0).alias("units")))
+        table = rows if table is None else table.unionByName(rows)
+    return table, models
+
+
 def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", text_col: str = "text",
             lang_col: str = "lang") -> DataFrame:
     """``id``, ``lang``, ``n_chars``, ``perplexity``, ``low``, ``high``, ``keep`` per row; see the module."""
-    spark = docs.sparkSession
     trusted = (labels.select(labels[id_col].alias("id"), (F.coalesce(labels["quality"] == 1, F.lit(False)) & ~F.coalesce(labels["toxic"] == 1, F.lit(False))).alias("good"))
                .where("id is not null").groupBy("id").agg(F.bool_and("good").alias("good")).where("good").select("id"))
     text = text_or_empty(docs, text_col)
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), text.alias("t"))
-    # one way at every size: a sort-merge join (at scale Spark adds its own Bloom filter before the exchange)
-    counts = rows.select("id", "t").join(trusted.hint("merge"), "id", "left_semi").select("t").mapInPandas(_count, "g long, c long")
-    model = probabilities(counts).toPandas()          # at most ORDER x A^ORDER rows
-    table = log_table(model)
-    schema = rows.select("id", "lang").schema.simpleString()[7:-1] + ",n_chars long,perplexity double"
-    if table is None:
-        scored = rows.select("id", "lang", F.char_length("t").cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"),
-                             (F.length(F.trim("t")) > 0).alias("full"))
-        return scored.select("id", "lang", "n_chars", "perplexity", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
-                             F.col("full").alias("keep"))
-    held = spark.sparkContext.broadcast(shard(table))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for s in range(0, len(pdf), 500):
-                f = pdf.iloc[s:s + 500]
-                total, n = document_logs(f["t"].tolist(), held.value)
-                blank = np.array([not t.strip() for t in f["t"]])
-                ppl = np.where(blank | (n == 0), np.nan, np.exp(-total / np.maximum(n, 1)))
-                yield pd.DataFrame({"id": f["id"], "lang": f["lang"], "n_chars": n, "perplexity": pd.array(np.where(np.isnan(ppl), None, ppl), dtype="Float64")})
-
-    scored = staged(rows.mapInPandas(run, schema), "kn-scored")
+    # one way at every size: sort-merge joins (at scale Spark adds its own Bloom filter before the exchange)
+    rows = rows.withColumn("tk", F.xxhash64("t"))
+    other = F.lit(1) - F.pmod("tk", F.lit(2))
+    taught = rows.join(trusted.hint("merge"), "id", "left_semi").select((F.lit(1) - other).cast("long").alias("model"), "t")
+    table, models = word_model(word_counts(taught))
+    if not models:
+        return rows.select("id", "lang", F.char_length("t").cast("long").alias("n_chars"), *(F.lit(None).cast("double").alias(c) for c in ("perplexity", "low", "high")),
+                           (F.length(F.trim("t")) > 0).alias("keep"))
+    model = other if len(models) == 2 else F.lit(models[0])
+    asked = word_requests(rows.select("tk", model.cast("long").alias("model"), "t"))
+    # equal texts add up in both sums alike
+    sums = (asked.join(table.hint("merge"), "key").groupBy("tk")
+            .agg(F.sum(F.col("n") * F.col("gain") + F.col("m") * F.col("back")).alias("logs"), F.sum(F.col("m") * F.col("units")).alias("n")))
+    scored = (rows.select("id", "lang", "tk", F.char_length("t").cast("long").alias("n_chars")).join(sums.hint("merge"), "tk", "left")
+              .select("id", "lang", "n_chars", F.exp(-F.col("logs") / F.col("n")).alias("perplexity")))
+    scored = staged(scored, "kn-scored")
     known = scored.join(trusted, "id", "left_semi").where("perplexity is not null")
     qs = F.percentile_approx("perplexity", [low, high], 10000)
     by_lang = known.groupBy(F.col("lang").alias("l")).agg(qs.alias("q"))

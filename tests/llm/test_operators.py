@@ -237,6 +237,58 @@ def test_document_logs_join_all_shards():
     assert np.allclose(total, want, rtol=1e-5) and n.tolist() == [7, 0, 13, 1]
 
 
+def brute_word_logs(taught, text):
+    """Log probability of a text's units by dictionaries."""
+    N, start = kn_quality.WORDS, kn_quality.START
+
+    def grams(t):
+        u = [start] * (N - 1) + re.findall(kn_quality.UNIT, t)
+        return [tuple(u[i:i + N]) for i in range(len(u) - N + 1)]
+    c = {N: Counter(g for t in taught for g in grams(t))}
+    for n in range(N - 1, 0, -1):
+        c[n] = Counter(g[1:] for g in c[n + 1])
+
+    def prob(g):
+        n = len(g)
+        if n == 0:
+            return 1 / (len(c[1]) + 1)
+        d = kn_quality._discounts(Counter(c[n].values()))
+        ext = [v for x, v in c[n].items() if x[:-1] == g[:-1]]
+        if not ext:
+            return prob(g[1:])
+        own, total = c[n][g], sum(ext)
+        return (own - d[min(own, 3) - 1] if own else 0) / total + sum(d[min(v, 3) - 1] for v in ext) / total * prob(g[1:])
+    return [np.log(prob(g)) for g in grams(text)]
+
+
+def word_quality(spark, texts, trusted, langs=None):
+    docs = spark.createDataFrame([(i, t, langs[i] if langs else "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+    return {r.id: r for r in kn_quality.quality(docs, labels).collect()}
+
+
+def test_word_model_matches_dictionaries(spark):
+    rng = random.Random(15)
+    words = "the cat sat on a mat and dog log house is green 1 27 . ,".split()
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 30))) for _ in range(40)] + ["unseen zebra the cat", "the", "unseen", "", " \n", "the", "the"]
+    got = word_quality(spark, texts, range(30))
+    half = {r.id: r.h for r in spark.createDataFrame(list(enumerate(texts)), "id long, t string").selectExpr("id", "pmod(xxhash64(t), 2) as h").collect()}
+    for i, t in enumerate(texts):
+        want = brute_word_logs([texts[j] for j in range(30) if half[j] != half[i]], t)
+        assert got[i].perplexity is None if not want else np.isclose(got[i].perplexity, np.exp(-np.mean(want)), rtol=1e-9)
+        assert want or not got[i].keep
+
+
+def test_quality_sees_shuffled_words(spark):
+    rng = random.Random(16)
+    nouns, verbs, ends = "cat dog farmer baker child bird".split(), "sees helps follows greets".split(), "today quietly again".split()
+    good = [" ".join(f"The {rng.choice(nouns)} {rng.choice(verbs)} the old {rng.choice(nouns)} {rng.choice(ends)}." for _ in range(12)) for _ in range(120)]
+    shuffled = [" ".join(rng.sample(t.split(), len(t.split()))) for t in good[100:]]
+    got = word_quality(spark, good + shuffled, range(100))
+    assert sum(got[i].keep for i in range(100, 120)) >= 18
+    assert not any(got[i].keep for i in range(120, 140))
+
+
 # ---- 6
 def brute_lines(rows):
     def key(x):

@@ -1,7 +1,8 @@
 """Op 5: quality by an interpolated modified Kneser-Ney model of the words of trusted text.
 
-Units are words (runs of letters, case kept), single digits and single other signs, unfolded and
-named by 64-bit hashes; white space parts units.  The model grows with the trusted text and is only ever a Spark table.
+Units are words (runs of letters, case kept), single digits and single other signs, unfolded in every script and
+named by 64-bit hashes; white space parts units, and in scripts without spaces each character is one.  The model grows with
+the trusted text and is only ever a Spark table.
 
 1. Trusted documents (labelled quality 1 and not toxic; all of them) are counted: n-grams of ``WORDS``
    units (starts padded), summed per batch in the task, then by Spark.
@@ -47,7 +48,9 @@ LOW, HIGH = 0.001, 0.995
 CACHE = 1 << 18
 CHUNK = 1 << 20                      # characters counted side by side
 START = 1                            # unit before a text's first
-UNIT = re.compile(r"[^\W\d_]+|\S")
+# fixed value: scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han), where each character is a unit
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNIT = re.compile(rf"[^\W\d_{UNSPACED}]+|\S")
 SHARDS = 8
 # fixed values: symbol classes
 LETTERS = "abcdefghijklmnopqrstuvwxyz"

@@ -289,6 +289,25 @@ def test_quality_sees_shuffled_words(spark):
     assert not any(got[i].keep for i in range(120, 140))
 
 
+def test_quality_judges_every_script(spark):
+    rng = random.Random(17)
+    frames = {"ru": ("{} видит старый {} и тихо говорит.", "Кот Дом Мальчик Сосед Учитель".split(), "дом сад лес город".split()),
+              "el": ("{} βλέπει το παλιό {} και μιλάει.", "Γιάννης Νίκος Δάσκαλος Γείτονας".split(), "σπίτι δάσος χωριό".split()),
+              "zh": ("{}今天看见了那个旧的{}，很高兴。", "老师 学生 邻居 孩子".split(), "房子 花园 城市".split()),
+              "ar": ("{} يرى {} القديم ويتكلم بهدوء.", "الولد المعلم الجار".split(), "البيت الشارع السوق".split())}
+    texts, langs, bad, bad_langs = [], [], [], []
+    for lang, (frame, a, b) in frames.items():
+        texts += (good := [" ".join(frame.format(rng.choice(a), rng.choice(b)) for _ in range(12)) for _ in range(60)])
+        langs += [lang] * 60
+        for t in good[:5]:
+            bad += ["".join(rng.sample(t, len(t)))]                                  # the same characters, shuffled
+            bad_langs += [lang]
+    got = word_quality(spark, texts + bad, range(len(texts)), langs + bad_langs)
+    assert sum(got[i].keep for i in range(len(texts))) >= 0.9 * len(texts)
+    assert not any(got[i].keep for i in range(len(texts), len(texts) + len(bad)))
+    assert len(re.findall(kn_quality.UNIT, "don’t 漢字 かな 12")) == 9
+
+
 # ---- 6
 def brute_lines(rows):
     def key(x):

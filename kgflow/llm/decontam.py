@@ -6,8 +6,9 @@ NUM, NAME and UNIT, whose surface forms are kept as slot values.  A document is
 contaminated by an item if windows of ``window`` template tokens match, the slot values of the
 matched windows agree, and the matched windows cover enough of the item.
 
-1. The benchmark's windows (those with at least ``min_literals`` literal tokens; a shorter
-   item is one window) are made like the documents' and staged.
+1. The benchmark's windows (a shorter item is one window) are made like the documents' and staged.
+   Those with at least ``min_literals`` literal tokens match by template, thin ones by their words and
+   slot values as they are, so every item has windows over all its tokens.
 2. Their hashes fill a Bloom filter of fixed size, which every task over the documents holds;
    only document windows that may match leave the task, with their template and slots.
    A larger benchmark lets more through, nothing less.
@@ -20,8 +21,8 @@ matched windows agree, and the matched windows cover enough of the item.
    or the whole item if that is shorter.
 
 Cases: null and empty texts match nothing; ids may be null or repeated (``k1``, ``k2`` name the
-text); items without a window (no literal tokens)
-are never found; an empty table or benchmark gives no rows; other columns are ignored.
+text); items without a token are never found, items
+shorter than ``min_literals`` with a slot only as they are; an empty table or benchmark gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ h hr hrs hour hours day days week weeks month months year years mph kmh km/h m/s
 pa kpa bar c f k °c °f % percent $ € £ dollar dollars euro euros cent cents usd eur gbp""".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?%?", re.I)
 EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
+THIN = np.uint64(0xD1B54A32D192ED03)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,7 +77,7 @@ class Canon:
 
     def clear(self):
         self.ids.clear()
-        self.forms, self.kinds, self.caps, self.ends, self.hashes = [], [], [], [], []
+        self.forms, self.kinds, self.caps, self.ends, self.hashes, self.exact = [], [], [], [], [], []
         self._built = -1
 
     def add(self, raw: str) -> int:
@@ -87,10 +89,11 @@ class Canon:
         self.caps.append(cap)
         self.ends.append(ends)
         self.hashes.append(xxhash.xxh64_intdigest(f"{KINDS[kind]}\x00{'' if kind else form}"))
+        self.exact.append(xxhash.xxh64_intdigest(f"\x00{form}"))
         return n
 
     def tokens(self, texts: list[str]) -> Iterator[tuple]:
-        """Each text's tokens: the word table's forms, the words' numbers in it, kinds and hashes.
+        """Each text's tokens: the word table's forms, the words' numbers in it, kinds, hashes and hashes of the forms.
         A unit is one only after a number."""
         import xxhash
         if len(self.ids) > CACHE:
@@ -102,7 +105,7 @@ class Canon:
                 if w not in ids:
                     self.add(w)
             rows.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)))
-        all_kinds, all_caps, all_ends, all_hashes, all_full = self.columns()
+        all_kinds, all_caps, all_ends, all_hashes, all_exact, all_full = self.columns()
         name_hash = np.uint64(xxhash.xxh64_intdigest("NAME\x00"))
         for at in rows:
             full = all_full[at]
@@ -114,15 +117,15 @@ class Canon:
             hashes = all_hashes[at]
             hashes[kinds == NAME] = name_hash
             loose = np.flatnonzero((kinds == UNIT) & ~np.r_[False, kinds[:-1] == NUM][:len(kinds)])
-            for i in loose:
-                hashes[i] = xxhash.xxh64_intdigest(f"\x00{self.forms[at[i]]}")
+            exact = all_exact[at]
+            hashes[loose] = exact[loose]
             kinds[loose] = LITERAL
-            yield self.forms, at, kinds, hashes
+            yield self.forms, at, kinds, hashes, exact
 
     def columns(self):
         if self._built != len(self.forms):
             self._cols = (np.array(self.kinds, dtype=np.int8), np.array(self.caps, dtype=bool), np.array(self.ends, dtype=bool),
-                          np.array(self.hashes, dtype=np.uint64), np.array([f != "" for f in self.forms], dtype=bool))
+                          np.array(self.hashes, dtype=np.uint64), np.array(self.exact, dtype=np.uint64), np.array([f != "" for f in self.forms], dtype=bool))
             self._built = len(self.forms)
         return self._cols
 
@@ -137,22 +140,27 @@ def _roll(hashes: np.ndarray, w: int) -> np.ndarray:
 
 
 def windows(tokens, w: int, min_literals: int):
-    """Start and hash of each window of ``w`` tokens with enough literals."""
-    _, _, kinds, hashes = tokens
+    """Start, hash and thinness of each window of ``w`` tokens."""
+    _, _, kinds, hashes, exact = tokens
     if len(kinds) < w or w < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     lit = np.r_[0, np.cumsum(kinds == LITERAL)]
-    ok = np.flatnonzero(lit[w:] - lit[:-w] >= min(min_literals, w))
-    return ok, _roll(hashes, w)[ok]
+    thin = lit[w:] - lit[:-w] < min(min_literals, w)
+    h = _roll(hashes, w)
+    if thin.any():
+        h = np.where(thin, _roll(exact, w) ^ THIN, h)
+    return np.arange(len(h)), h, thin
 
 
-def _describe(tokens, s: int, w: int):
-    forms, at, kinds, _ = tokens
+def _describe(tokens, s: int, w: int, thin: bool):
+    forms, at, kinds = tokens[:3]
     part = [(KINDS[k], forms[i]) for i, k in zip(at[s:s + w], kinds[s:s + w], strict=True)]
+    if thin:                       # only numbers are slots wherever the window stands
+        return "= " + " ".join(f for _, f in part), [f"{k}={f}" for k, f in part if k == "NUM"]
     return " ".join(k or f for k, f in part), [f"{k}={f}" for k, f in part if k]
 
 
-WINDOWS = "pos int, w int, h long, template string, slots array<string>"
+WINDOWS = "pos int, w int, h long, thin boolean, template string, slots array<string>"
 
 
 def bench_windows(bench: DataFrame, id_col: str, text_col: str, w: int, min_literals: int) -> DataFrame:
@@ -165,9 +173,9 @@ def bench_windows(bench: DataFrame, id_col: str, text_col: str, w: int, min_lite
             out = []
             for item, tok in zip(pdf["item"], canon.tokens(pdf["t"].tolist()), strict=True):
                 n = min(w, len(tok[1]))
-                at, h = windows(tok, n, min_literals)
-                out += [(item, len(tok[1]), int(s), n, int(x), *_describe(tok, s, n)) for s, x in zip(at, h.view(np.int64), strict=True)]
-            yield pd.DataFrame(out, columns=["item", "n_tokens", "pos", "w", "h", "template", "slots"])
+                found = windows(tok, n, min_literals)
+                out += [(item, len(tok[1]), int(s), n, int(x.view(np.int64)), thin, *_describe(tok, s, n, thin)) for s, x, thin in zip(*found, strict=True)]
+            yield pd.DataFrame(out, columns=["item", "n_tokens", "pos", "w", "h", "thin", "template", "slots"])
     return rows.mapInPandas(run, rows.select("item").schema.simpleString()[7:-1] + ",n_tokens int," + WINDOWS)
 
 
@@ -199,15 +207,15 @@ def doc_windows(rows: DataFrame, bloom, lengths: list[int], min_literals: int) -
                 for key, tok in zip(names[lo:lo + 500], canon.tokens([known[k] for k in names[lo:lo + 500]]), strict=True):
                     found = []
                     for w in lengths:
-                        at, h = windows(tok, w, min_literals)
+                        at, h, thin = windows(tok, w, min_literals)
                         hit = np.ones(len(h), dtype=bool)
                         for b in _probes(h):
                             hit &= (words[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
-                        found += [(int(s), w, int(x), *_describe(tok, s, w)) for s, x in zip(at[hit], h[hit].view(np.int64), strict=True)]
+                        found += [(int(s), w, int(x), e, *_describe(tok, s, w, e)) for s, x, e in zip(at[hit], h[hit].view(np.int64), thin[hit], strict=True)]
                     known[key] = found
             for i, (k1, k2) in zip(pdf["id"], keys, strict=True):
                 out += [(i, k1, k2, *f) for f in known[k1, k2]]
-            f = pd.DataFrame(out, columns=["id", "k1", "k2", "pos", "w", "h", "template", "slots"])
+            f = pd.DataFrame(out, columns=["id", "k1", "k2", "pos", "w", "h", "thin", "template", "slots"])
             f["id"] = f["id"].astype(pdf["id"].dtype)
             yield f
     return rows.mapInPandas(run, rows.select("id").schema.simpleString()[7:-1] + ",k1 long,k2 long," + WINDOWS)
@@ -253,17 +261,20 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, min_li
     rows = docs.select(docs[id_col].alias("id"), *key128(text), text.alias("t"))
     found = doc_windows(rows, _bloom(spark, items), lengths, min_literals)
     b = items.select("item", "n_tokens", F.col("pos").alias("item_pos"), "h", "template", F.col("slots").alias("item_slots"))
-    hits = found.join(b, ["h", "template"])
+    hits = found.join(b, ["h", "template"])           # the template tells thin windows from others
     # rows of equal id and text are one case; each row is reported below
     per = hits.groupBy("id", "k1", "k2", "item", "n_tokens", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.collect_set(F.struct("item_pos", "w", "item_slots", "slots")).alias("m"))
+        F.collect_set(F.struct("item_pos", "w", "item_slots", "slots", "thin")).alias("m"))
 
     @F.pandas_udf("cover array<int>, exact boolean")
     def check(m: pd.Series) -> pd.DataFrame:
         out = []
         for ms in m:
+            plain = [not x["thin"] for x in ms]
             ms = [(x["item_pos"], x["w"], list(x["item_slots"]), list(x["slots"])) for x in ms]
-            out.append((sorted(covered(ms)), all(x[2] == x[3] for x in ms)))
+            # a clash with a thin window takes nothing from the templates
+            best = max(covered(ms), covered([x for x, p in zip(ms, plain, strict=True) if p]), key=len)
+            out.append((sorted(best), all(x[2] == x[3] for x in ms)))
         return pd.DataFrame(out, columns=["cover", "exact"])
 
     per = per.select("id", "k1", "k2", "item", "n_tokens", check("m").alias("c"))

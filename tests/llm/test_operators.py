@@ -184,6 +184,22 @@ def test_decontamination_against_plain_search(spark, small):
         assert any(" ".join(x[k:k + 6]) in texts[d] for k in range(len(x) - 5))
 
 
+def found_items(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.id, r.item) for r in decontam.contaminated(docs, bench).collect()}
+
+
+def test_decontamination_finds_items_of_numbers_and_names(spark):
+    rng = random.Random(14)
+    filler = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(20)) + "."
+    items = ["Compute 12 + 7 * 3 - 5 / 2 + 9 * 4 - 16 / 8 + 21", "What is 12 times 15?",
+             "Anna Meyer, Paul Schmidt, Karl Braun, Lisa Vogel und Otto Kern fahren am 3. Mai 2021 von Berlin nach Hamburg, Bremen, Kiel und Rostock.",
+             "please add up these small whole numbers 1 2 3 4 5"]
+    texts = [f"{filler} {t} {filler}" for t in items] + [f"{filler} {t.replace('12', '13').replace('Anna', 'Eva').replace(' 4 ', ' 6 ')} {filler}" for t in items]
+    assert found_items(spark, items, texts) == {(0, 0), (1, 1), (2, 2), (3, 3), (6, 2)}         # other values in thin windows are other items
+
+
 # ---- 5
 def test_kneser_ney_sums_to_one_and_matches_dictionaries(spark):
     texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog"]

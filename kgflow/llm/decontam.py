@@ -2,13 +2,16 @@
 
 Texts become template tokens: words are stripped of outer punctuation and lower-cased;
 numbers, names (capitalised words inside a sentence) and units become the typed placeholders
-NUM, NAME and UNIT, whose surface forms are kept as slot values.  A document is
+NUM, NAME and UNIT, whose surface forms are kept as slot values.  A capitalised word at a sentence's
+start may be a name or not and is read both ways: a document's windows with all of them as literals and
+with all as names, an item's in every combination; so what precedes a copy does not matter.  A document is
 contaminated by an item if windows of ``window`` template tokens match, the slot values of the
 matched windows agree, and the matched windows cover enough of the item.
 
 1. The benchmark's windows (a shorter item is one window) are made like the documents' and staged.
    Those with at least ``min_literals`` literal tokens match by template, thin ones by their words and
-   slot values as they are, so every item has windows over all its tokens.
+   slot values as they are (also those thin only with all doubtful words as names), so every item has windows
+   over all its tokens.
 2. Their hashes fill a Bloom filter of fixed size, which every task over the documents holds;
    only document windows that may match leave the task, with their template and slots.
    A larger benchmark lets more through, nothing less.
@@ -29,9 +32,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +53,8 @@ kilometer kilometers kilometre kilometres mg g kg t lb lbs oz gram grams kilogra
 pounds ounce ounces ml l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes
 h hr hrs hour hours day days week weeks month months year years mph kmh km/h m/s hz khz mhz ghz w kw mw v kv a ma j kj kcal cal
 pa kpa bar c f k °c °f % percent $ € £ dollar dollars euro euros cent cents usd eur gbp""".split())
+KIND_HASHES = [xxhash.xxh64_intdigest(f"{k}\x00") for k in KINDS]
+NAME_HASH = np.uint64(KIND_HASHES[NAME])
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?%?", re.I)
 EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
 THIN = np.uint64(0xD1B54A32D192ED03)
@@ -78,24 +85,24 @@ class Canon:
     def clear(self):
         self.ids.clear()
         self.forms, self.kinds, self.caps, self.ends, self.hashes, self.exact = [], [], [], [], [], []
-        self._built = -1
+        self._cols = tuple(np.zeros(0, dtype=t) for t in (np.int8, bool, bool, np.uint64, np.uint64, bool))
 
     def add(self, raw: str) -> int:
-        import xxhash
         kind, form, cap, ends = _word(raw)
         self.ids[raw] = n = len(self.forms)
         self.forms.append(form)
         self.kinds.append(kind)
         self.caps.append(cap)
         self.ends.append(ends)
-        self.hashes.append(xxhash.xxh64_intdigest(f"{KINDS[kind]}\x00{'' if kind else form}"))
-        self.exact.append(xxhash.xxh64_intdigest(f"\x00{form}"))
+        h = xxhash.xxh64_intdigest("\x00" + form)
+        self.exact.append(h)
+        self.hashes.append(KIND_HASHES[kind] if kind else h)
         return n
 
     def tokens(self, texts: list[str]) -> Iterator[tuple]:
-        """Each text's tokens: the word table's forms, the words' numbers in it, kinds, hashes and hashes of the forms.
+        """Each text's tokens: the word table's forms, the words' numbers in it, kinds, hashes, hashes of the forms
+        and whether it may as well be a name.
         A unit is one only after a number."""
-        import xxhash
         if len(self.ids) > CACHE:
             self.clear()
         ids, rows = self.ids, []
@@ -106,61 +113,102 @@ class Canon:
                     self.add(w)
             rows.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)))
         all_kinds, all_caps, all_ends, all_hashes, all_exact, all_full = self.columns()
-        name_hash = np.uint64(xxhash.xxh64_intdigest("NAME\x00"))
         for at in rows:
             full = all_full[at]
             first = np.r_[True, all_ends[at[:-1]]][:len(at)]
-            name = (all_caps[at] & ~first)[full]
+            caps = all_caps[at][full]
+            name = caps & ~first[full]
             at = at[full]
             kinds = all_kinds[at]
             kinds[name & (kinds == LITERAL)] = NAME
             hashes = all_hashes[at]
-            hashes[kinds == NAME] = name_hash
+            hashes[kinds == NAME] = NAME_HASH
             loose = np.flatnonzero((kinds == UNIT) & ~np.r_[False, kinds[:-1] == NUM][:len(kinds)])
             exact = all_exact[at]
             hashes[loose] = exact[loose]
+            either = caps & ~name & (kinds == LITERAL)
             kinds[loose] = LITERAL
-            yield self.forms, at, kinds, hashes, exact
+            yield self.forms, at, kinds, hashes, exact, either
 
     def columns(self):
-        if self._built != len(self.forms):
-            self._cols = (np.array(self.kinds, dtype=np.int8), np.array(self.caps, dtype=bool), np.array(self.ends, dtype=bool),
-                          np.array(self.hashes, dtype=np.uint64), np.array(self.exact, dtype=np.uint64), np.array([f != "" for f in self.forms], dtype=bool))
-            self._built = len(self.forms)
+        n = len(self._cols[0])
+        if n < len(self.forms):              # the new words only
+            new = (self.kinds[n:], self.caps[n:], self.ends[n:], self.hashes[n:], self.exact[n:], [f != "" for f in self.forms[n:]])
+            self._cols = tuple(np.concatenate([c, np.array(x, dtype=c.dtype)]) for c, x in zip(self._cols, new, strict=True))
         return self._cols
 
 
+def _sum(hashes: np.ndarray, w: int) -> np.ndarray:
+    """Sum of hash i of each window times MULT to the power w - 1 - i, by halves."""
+    if w == 1:
+        return hashes
+    half = w // 2 if w % 2 == 0 else 1
+    left = _sum(hashes, w - half)
+    right = left if half == w - half else hashes
+    return left[:len(hashes) - w + 1] * np.uint64(pow(int(MULT), half, 1 << 64)) + right[w - half:]
+
+
 def _roll(hashes: np.ndarray, w: int) -> np.ndarray:
-    out = np.zeros(len(hashes) - w + 1, dtype=np.uint64)
-    for i in range(w):
-        out = out * MULT + hashes[i:len(hashes) - w + 1 + i]
+    out = _sum(hashes, w).copy()
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
 
 
-def windows(tokens, w: int, min_literals: int):
-    """Start, hash and thinness of each window of ``w`` tokens."""
-    _, _, kinds, hashes, exact = tokens
-    if len(kinds) < w or w < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    lit = np.r_[0, np.cumsum(kinds == LITERAL)]
-    thin = lit[w:] - lit[:-w] < min(min_literals, w)
-    h = _roll(hashes, w)
-    if thin.any():
-        h = np.where(thin, _roll(exact, w) ^ THIN, h)
-    return np.arange(len(h)), h, thin
+PLAIN, NAMED, EXACT = 0, 1, 2        # readings of a window: doubtful words as literals, some as names, thin
+
 
+def _sums(flags: np.ndarray, w: int) -> np.ndarray:
+    n = np.r_[0, np.cumsum(flags)]
+    return n[w:] - n[:-w]
 
-def _describe(tokens, s: int, w: int, thin: bool):
-    forms, at, kinds = tokens[:3]
+
+def windows(tokens, w: int, min_literals: int):
+    """Start, hash and reading of the windows of ``w`` tokens, doubtful words all as literals and all as names."""
+    _, _, kinds, hashes, exact, either = tokens
+    if len(kinds) < w or w < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    need = min(min_literals, w)
+    lit, names = _sums(kinds == LITERAL, w), _sums(either, w)
+    out = []
+    for reading, ok, of in ((PLAIN, lit >= need, hashes), (NAMED, (names > 0) & (lit - names >= need), np.where(either, NAME_HASH, hashes)),
+                            (EXACT, lit - names < need, exact)):
+        at = np.flatnonzero(ok)
+        if reading == EXACT and 8 * len(at) < len(ok):         # few: roll them alone
+            if len(at):
+                h = _roll(exact[at[:, None] + np.arange(w)].ravel(), w)[::w]
+                out.append((at, h ^ THIN, np.full(len(at), reading, dtype=np.int8)))
+        elif len(at):
+            h = _roll(of, w)[at]
+            out.append((at, h ^ THIN if reading == EXACT else h, np.full(len(at), reading, dtype=np.int8)))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def all_windows(tokens, w: int, min_literals: int) -> Iterator[tuple]:
+    """Start, hash, reading and kinds of the windows of an item, doubtful words in every combination."""
+    at, h, reading = windows(tokens, w, min_literals)
+    _, _, kinds, hashes, _, either = tokens
+    for s, x, r in zip(at, h, reading, strict=True):
+        yield s, x, r, np.where(either, NAME, kinds) if r == NAMED else kinds
+    for s in range(len(kinds) - w + 1):
+        doubtful = s + np.flatnonzero(either[s:s + w])
+        for some in chain.from_iterable(combinations(doubtful, n) for n in range(1, len(doubtful))):       # none and all are above
+            k, z = kinds.copy(), hashes[s:s + w].copy()
+            k[list(some)] = NAME
+            z[np.array(some) - s] = NAME_HASH
+            if (k[s:s + w] == LITERAL).sum() >= min(min_literals, w):
+                yield s, _roll(z, w)[0], NAMED, k
+
+
+def _describe(tokens, kinds, s: int, w: int, reading: int):
+    forms, at = tokens[:2]
     part = [(KINDS[k], forms[i]) for i, k in zip(at[s:s + w], kinds[s:s + w], strict=True)]
-    if thin:                       # only numbers are slots wherever the window stands
+    if reading == EXACT:           # only numbers are slots wherever the window stands
         return "= " + " ".join(f for _, f in part), [f"{k}={f}" for k, f in part if k == "NUM"]
     return " ".join(k or f for k, f in part), [f"{k}={f}" for k, f in part if k]
 
 
-WINDOWS = "pos int, w int, h long, thin boolean, template string, slots array<string>"
+WINDOWS = "pos int, w int, h long, reading byte, template string, slots array<string>"
 
 
 def bench_windows(bench: DataFrame, id_col: str, text_col: str, w: int, min_literals: int) -> DataFrame:
@@ -173,9 +221,8 @@ def bench_windows(bench: DataFrame, id_col: str, text_col: str, w: int, min_lite
             out = []
             for item, tok in zip(pdf["item"], canon.tokens(pdf["t"].tolist()), strict=True):
                 n = min(w, len(tok[1]))
-                found = windows(tok, n, min_literals)
-                out += [(item, len(tok[1]), int(s), n, int(x.view(np.int64)), thin, *_describe(tok, s, n, thin)) for s, x, thin in zip(*found, strict=True)]
-            yield pd.DataFrame(out, columns=["item", "n_tokens", "pos", "w", "h", "thin", "template", "slots"])
+                out += [(item, len(tok[1]), int(s), n, int(x.view(np.int64)), r, *_describe(tok, k, s, n, r)) for s, x, r, k in all_windows(tok, n, min_literals)]
+            yield pd.DataFrame(out, columns=["item", "n_tokens", "pos", "w", "h", "reading", "template", "slots"])
     return rows.mapInPandas(run, rows.select("item").schema.simpleString()[7:-1] + ",n_tokens int," + WINDOWS)
 
 
@@ -183,6 +230,15 @@ def _probes(h: np.ndarray):
     return h & np.uint64((1 << BLOOM_BITS) - 1), (h >> np.uint64(32)) & np.uint64((1 << BLOOM_BITS) - 1)
 
 
+def _maybe(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the filter may hold."""
+    at = np.arange(len(h))
+    for k in (0, 1):
+        b = _probes(h[at] if k else h)[k]
+        at = at[(words[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return at
+
+
 def _bloom(spark, wins: DataFrame):
     """Filter words (64 bits each) of the window hashes: at most 2^(BLOOM_BITS - 6) rows."""
     mask = (1 << BLOOM_BITS) - 1
@@ -207,15 +263,16 @@ def doc_windows(rows: DataFrame, bloom, lengths: list[int], min_literals: int) -
                 for key, tok in zip(names[lo:lo + 500], canon.tokens([known[k] for k in names[lo:lo + 500]]), strict=True):
                     found = []
                     for w in lengths:
-                        at, h, thin = windows(tok, w, min_literals)
-                        hit = np.ones(len(h), dtype=bool)
-                        for b in _probes(h):
-                            hit &= (words[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
-                        found += [(int(s), w, int(x), e, *_describe(tok, s, w, e)) for s, x, e in zip(at[hit], h[hit].view(np.int64), thin[hit], strict=True)]
+                        at, h, reading = windows(tok, w, min_literals)
+                        hit = _maybe(words, h)
+                        if len(hit):
+                            kinds = tok[2], np.where(tok[5], NAME, tok[2]), tok[2]
+                            found += [(int(s), w, int(x), r, *_describe(tok, kinds[r], s, w, r))
+                                      for s, x, r in zip(at[hit], h[hit].view(np.int64), reading[hit], strict=True)]
                     known[key] = found
             for i, (k1, k2) in zip(pdf["id"], keys, strict=True):
                 out += [(i, k1, k2, *f) for f in known[k1, k2]]
-            f = pd.DataFrame(out, columns=["id", "k1", "k2", "pos", "w", "h", "thin", "template", "slots"])
+            f = pd.DataFrame(out, columns=["id", "k1", "k2", "pos", "w", "h", "reading", "template", "slots"])
             f["id"] = f["id"].astype(pdf["id"].dtype)
             yield f
     return rows.mapInPandas(run, rows.select("id").schema.simpleString()[7:-1] + ",k1 long,k2 long," + WINDOWS)
@@ -260,19 +317,20 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, min_li
     text = text_or_empty(docs, text_col)
     rows = docs.select(docs[id_col].alias("id"), *key128(text), text.alias("t"))
     found = doc_windows(rows, _bloom(spark, items), lengths, min_literals)
-    b = items.select("item", "n_tokens", F.col("pos").alias("item_pos"), "h", "template", F.col("slots").alias("item_slots"))
-    hits = found.join(b, ["h", "template"])           # the template tells thin windows from others
+    b = items.select("item", "n_tokens", F.col("reading").alias("item_reading"), F.col("pos").alias("item_pos"), "h", "template", F.col("slots").alias("item_slots"))
+    hits = found.join(b, ["h", "template"])           # the template tells exact windows from others
     # rows of equal id and text are one case; each row is reported below
     per = hits.groupBy("id", "k1", "k2", "item", "n_tokens", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.collect_set(F.struct("item_pos", "w", "item_slots", "slots", "thin")).alias("m"))
+        F.collect_set(F.struct("item_pos", "w", "item_slots", "slots",
+                             ((F.col("reading") == PLAIN) & (F.col("item_reading") == PLAIN)).alias("plain"))).alias("m"))
 
     @F.pandas_udf("cover array<int>, exact boolean")
     def check(m: pd.Series) -> pd.DataFrame:
         out = []
         for ms in m:
-            plain = [not x["thin"] for x in ms]
+            plain = [x["plain"] for x in ms]
             ms = [(x["item_pos"], x["w"], list(x["item_slots"]), list(x["slots"])) for x in ms]
-            # a clash with a thin window takes nothing from the templates
+            # a clash with another reading takes nothing from the plain one
             best = max(covered(ms), covered([x for x, p in zip(ms, plain, strict=True) if p]), key=len)
             out.append((sorted(best), all(x[2] == x[3] for x in ms)))
         return pd.DataFrame(out, columns=["cover", "exact"])

@@ -200,6 +200,16 @@ def test_decontamination_finds_items_of_numbers_and_names(spark):
     assert found_items(spark, items, texts) == {(0, 0), (1, 1), (2, 2), (3, 3), (6, 2)}         # other values in thin windows are other items
 
 
+def test_decontamination_does_not_depend_on_what_precedes(spark):
+    items = ["Tom has 3 apples. Sam has 5 pears. Tom eats 2 apples. Sam buys 4 pears. How much fruit do Tom and Sam have now?",
+             "What is the capital city of France and its river?",
+             "Every morning the baker sells fresh bread. Tom then counts the coins slowly"]
+    fruit, capital, baker = items
+    texts = [fruit.replace("Tom", "Anna").replace("Sam", "Ben"), f"Here is one more, {capital} Nobody knows", f"and one more {capital}", f"It said: {capital}", f"we ask {capital.lower()}",
+             f"he said every{baker[5:].replace('Tom', 'Eva')}", f"{capital[:-1]} system of lakes", "What is the largest small town of France and its river?"]
+    assert found_items(spark, items, texts) == {(0, 0), (1, 1), (2, 1), (3, 1), (5, 2), (6, 1)}
+
+
 # ---- 5
 def test_kneser_ney_sums_to_one_and_matches_dictionaries(spark):
     texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog"]

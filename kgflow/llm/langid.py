@@ -33,7 +33,9 @@ PER_LANG, SLICE = 800, 200
 STEPS, BATCH, TRAIN_T, RATE = 300, 192, 48, 0.02
 PAD = 256
 UNKNOWN = "und"
-MIN_SCORE = 0.3          # for recognised(): below, no language stands out (a mixed but clean text stays)
+# for recognised(): below, no language stands out (a mixed but clean text stays).  With three or fewer learned languages the
+# best scores at least 1/3, so only UNKNOWN texts (no letter) go
+MIN_SCORE = 0.3
 
 
 def _sigmoid(x):
@@ -273,8 +275,8 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id",
 
 
 def recognised(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are in some learned language; other columns don't pass through
-    Python.  With nothing to learn from, every row that has a letter stays."""
+    """The rows of ``docs`` that have a letter and score ``min_score`` for some learned language; text in an unlearned one mostly
+    scores that, too, and stays.  Other columns don't pass through Python.  With nothing to learn from, every row that has a letter stays."""
     net = train(training_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
     text = text_or_empty(docs, text_col)
     if net is None:

@@ -3,10 +3,14 @@ contract's columns from the operator's output.  ``name -> (callable, SQL or None
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgflow.llm import decontam, kn_quality, langid, line_dedup, mixing, multi_index, sharding, simhash, token_counts, url_filter
+from kgflow.llm import (collocations, decontam, kn_quality, langid, line_dedup, mixing, multi_index, packing, runs, sharding, simhash, token_counts,
+                        url_filter)
 from kgflow.llm.common import key128, read, text_or_empty
 
 
@@ -82,6 +86,43 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(read(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def planted(doc_id: str | None, n: int) -> np.ndarray | None:
+    """The contract's planted repetitions: the numbers of the words to read."""
+    h = zlib.crc32(doc_id.encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    at = np.arange(n)
+    at[a:] = a + (at[a:] - a) % p
+    return at
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = runs.periodic_runs(read(spark, sf, "documents"), positions=planted)
+
+    def better(best, x):                     # by length / period exactly; runs come by start, then period
+        return F.when(best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"]), x).otherwise(best)
+
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    best = F.aggregate("runs", none, better)
+    lines = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    rows = rows.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                       F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                       "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf)
@@ -109,5 +150,8 @@ QUERIES = {
     "op8_mixing": (op8_mixing, None),
     "op9_language_id": (op9_language_id, None),
     "op10_simhash": (op10_simhash, None),
+    "op11_collocations": (op11_collocations, None),
+    "op12_packing": (op12_packing, None),
+    "op13_periodic_runs": (op13_periodic_runs, None),
     "pipeline": (pipeline, None),
 }

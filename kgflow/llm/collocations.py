@@ -28,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +37,9 @@ from kgflow.llm.common import LOWER, UPPER, ascii_lower, staged, text_or_empty
 MAX_WORDS, MIN_COUNT, COVER, TOP = 3, 10, 50, 2000
 SALT = 16
 SEGMENT = 1024
-CHUNK = 1 << 22                      # words summed side by side
+CHUNK = 1 << 21                      # words summed side by side
 SLICE = 1 << 20                      # characters split side by side
-VOCABULARY = 1 << 20                 # words of a chunk
+VOCABULARY = 1 << 19                 # words of a chunk
 UND = "und"
 END_CLASS = r".,;:!?\x0A-\x0D"       # fixed value: signs that end a piece
 TOKEN = re.compile(rf"[^\x20\x09{END_CLASS}]+|[{END_CLASS}]")
@@ -72,83 +72,129 @@ def _slices(text: str) -> Iterator[str]:
 
 
 class Vocabulary(dict):
-    """Raw word -> number (from 1 on) of its lower-cased form in this chunk and language; signs that end a piece are 0."""
+    """Raw word -> number (from 1 on) of its lower-cased form in one language; signs that end a piece are 0."""
 
-    def __init__(self, chunk: "Chunk"):
+    def __init__(self, names: "Names", lang: int):
         super().__init__((c, 0) for c in ".,;:!?\n\x0b\x0c\r")
-        self.chunk, self.of = chunk, {}
+        self.names, self.lang, self.of = names, lang, {}
 
     def __missing__(self, raw: str) -> int:
-        word = raw.translate(FOLD)
+        word = raw.lower() if raw.isascii() else raw.translate(FOLD)
         n = self.of.get(word)
         if n is None:
-            n = self.of[word] = self.chunk.add(word)
+            n = self.of[word] = len(self.names.words)
+            self.names.words.append(_hash(word))
+            self.names.langs.append(self.lang)
         self[raw] = n
         return n
 
 
+class Names:
+    """Numbered words of a task (a bounded table): hash and language of each."""
+
+    def __init__(self):
+        self.words, self.langs, self.of = [0], [0], {}
+
+    def language(self, lang: int) -> Vocabulary:
+        known = self.of.get(lang)
+        if known is None:
+            known = self.of[lang] = Vocabulary(self, lang)
+        return known
+
+
 class Chunk:
     """Words of many texts and the sums of the K-grams that begin at each."""
 
-    def __init__(self, k: int):
-        self.k, self.words, self.names, self.langs, self.vocabularies, self.parts = k, 0, [0], [0], {}, []
-
-    def add(self, word: str) -> int:
-        self.names.append(_hash(word))
-        self.langs.append(self.lang)
-        return len(self.names) - 1
+    def __init__(self, k: int, names: Names):
+        self.k, self.names, self.words, self.parts = k, names, 0, []
 
     def feed(self, text: str, lang: int) -> None:
-        self.lang = lang
-        known = self.vocabularies.get(lang)
-        if known is None:
-            known = self.vocabularies[lang] = Vocabulary(self)
         tokens = TOKEN.findall(text)
-        self.parts.append(np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens)))
-        self.parts.append(np.zeros(1, dtype=np.int64))
+        self.parts.append(np.fromiter(map(self.names.language(lang).__getitem__, tokens), dtype=np.int32, count=len(tokens)))
+        self.parts.append(np.zeros(1, dtype=np.int32))
         self.words += len(tokens)
 
     def full(self) -> bool:
-        return self.words >= CHUNK or len(self.names) >= VOCABULARY
+        return self.words >= CHUNK or len(self.names.words) >= VOCABULARY
 
-    def sums(self) -> pd.DataFrame:
+    def sums(self) -> dict[str, np.ndarray]:
+        """``g``, ``u0`` .., ``c``: the K words from every word on (0 beyond the piece), summed."""
         k = self.k
-        a = np.concatenate([*self.parts, np.zeros(k, dtype=np.int64)])
+        a = np.concatenate([*self.parts, np.zeros(k, dtype=np.int32)])
+        self.parts = []
         at = np.flatnonzero(a)
-        grams = [a[at]]
+        bits = max(len(self.names.words).bit_length(), 1)
+        held = 63 // bits                                # words that fit one number
+        word = a[at]
+        codes, code, live = [], word.astype(np.int64), np.ones(len(at), dtype=bool)
         for j in range(1, k):
-            grams.append(np.where(grams[-1] > 0, a[at + j], 0))
-        bits, code = max(len(self.names).bit_length(), 1), grams[0]
-        used = bits
-        for g in grams[1:]:
-            if used + bits > 63:
-                _, code = np.unique(code, return_inverse=True)
-                used = max(len(at).bit_length(), 1)
-            code, used = (code << bits) | g, used + bits
-        _, first, c = np.unique(code, return_index=True, return_counts=True)
-        names, langs = np.array(self.names, dtype=np.int64), np.array(self.langs, dtype=np.int64)
-        return pd.DataFrame({"g": langs[grams[0][first]], **{f"u{j}": names[x[first]] for j, x in enumerate(grams)}, "c": c})
+            live &= a[at + j] > 0
+            word = np.where(live, a[at + j], 0)
+            if j % held == 0:
+                codes.append(code)
+                code = word.astype(np.int64)
+            else:
+                code = (code << bits) | word
+        codes.append(code)
+        del a, at, word, live
+        if len(codes) == 1:
+            code.sort()
+            new = np.flatnonzero(np.r_[len(code) > 0, code[1:] != code[:-1]])
+            c, codes = np.diff(np.r_[new, len(code)]), [code[new]]
+        else:
+            order = np.lexsort(codes[::-1])
+            codes = [x[order] for x in codes]
+            new = np.flatnonzero(np.r_[len(order) > 0, np.logical_or.reduce([x[1:] != x[:-1] for x in codes])])
+            c, codes = np.diff(np.r_[new, len(order)]), [x[new] for x in codes]
+        names, langs, out = np.array(self.names.words, dtype=np.int64), np.array(self.names.langs, dtype=np.int64), {}
+        for j in range(k):
+            in_code = min(held, k - j // held * held)
+            u = (codes[j // held] >> (bits * (in_code - 1 - j % held))) & ((1 << bits) - 1)
+            if j == 0:
+                out["g"] = langs[u]
+            out[f"u{j}"] = names[u]
+        return out | {"c": c.astype(np.int64)}
 
 
 def edges(rows: DataFrame, k: int) -> DataFrame:
     """``lang`` (hash), ``t`` -> ``g``, ``u0`` .. ``u{k-1}``, ``c``; summed per chunk."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(c: Chunk) -> Iterator[pd.DataFrame]:
-            if c.words:
-                out = c.sums()
-                for s in range(0, len(out), 1 << 18):
-                    yield out.iloc[s:s + (1 << 18)]
-
-        chunk = Chunk(k)
-        for pdf in batches:
-            for lang, text in zip(pdf["lang"].tolist(), pdf["t"].tolist(), strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+            if chunk.words:
+                out = chunk.sums()
+                for s in range(0, len(out["c"]), 1 << 18):
+                    yield pa.RecordBatch.from_pydict({n: pa.array(x[s:s + (1 << 18)]) for n, x in out.items()})
+
+        chunk = Chunk(k, Names())
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist(), strict=True):
                 for part in _slices(text):
                     chunk.feed(part, lang)
                     if chunk.full():
                         yield from flush(chunk)
-                        chunk = Chunk(k)
+                        chunk = Chunk(k, chunk.names if len(chunk.names.words) < VOCABULARY else Names())
         yield from flush(chunk)
-    return rows.mapInPandas(run, "g long, " + "".join(f"u{j} long, " for j in range(k)) + "c long")
+    return rows.mapInArrow(run, "g long, " + "".join(f"u{j} long, " for j in range(k)) + "c long")
+
+
+def words(rows: DataFrame) -> DataFrame:
+    """``lang`` (hash), ``t`` -> ``g``, ``word`` (as written): every word at least once, mostly once a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = {}
+        for batch in batches:
+            new: dict[int, set[str]] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                fresh = new.setdefault(lang, set())
+                for part in _slices(text):
+                    fresh.update(TOKEN.findall(part))
+            for lang, fresh in new.items():
+                old = seen.setdefault(lang, set())
+                fresh -= old
+                old |= fresh
+                yield pa.RecordBatch.from_pydict({"g": pa.array([lang] * len(fresh), pa.int64()), "word": pa.array(list(fresh), pa.string())})
+            if sum(map(len, seen.values())) > VOCABULARY:
+                seen = {}
+    return rows.mapInArrow(run, "g long, word string")
 
 
 def flows(edge_rows: DataFrame, k: int, min_count: int) -> DataFrame:
@@ -291,8 +337,7 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
 
 def _with_words(few: DataFrame, rows: DataFrame, total: DataFrame, top: int) -> DataFrame:
     wanted = few.select("g", F.explode("ws").alias("w")).distinct()
-    seen = (rows.select(F.xxhash64("lang").alias("g"), F.explode(F.split(ascii_lower(F.col("t")), rf"[\x20\x09{END_CLASS}]+")).alias("word"))
-            .withColumn("w", spark_hash(F.col("word"))).join(wanted, ["g", "w"], "left_semi").groupBy("g", "w").agg(F.first("word").alias("word")))
+    seen = (words(rows.select(F.xxhash64("lang").alias("lang"), "t")).withColumn("word", ascii_lower(F.col("word"))).withColumn("w", spark_hash(F.col("word"))).join(wanted, ["g", "w"], "left_semi").groupBy("g", "w").agg(F.first("word").alias("word")))
     spelt = (few.withColumn("p", F.monotonically_increasing_id()).select("p", "g", "a", "l", "r", "score", F.posexplode("ws").alias("i", "w")).join(seen, ["g", "w"])
              .groupBy("p", "g", "a", "l", "r", "score").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase")))
     langs = rows.select("lang").distinct().select(F.xxhash64("lang").alias("g"), "lang")

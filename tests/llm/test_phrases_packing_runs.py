@@ -7,7 +7,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from llm_rows import SF001, none, odd, odd_rows  # noqa: F401
@@ -72,21 +71,26 @@ def test_phrases(spark, phrase_rows, kw):
 
 def test_phrases_small_chunks(phrase_rows, monkeypatch):
     rows = [(collocations._hash(lang or "und"), t or "") for t, lang in phrase_rows]
-    monkeypatch.setattr(collocations, "SLICE", 40)
-    parts, chunk = [], collocations.Chunk(3)
-    for lang, t in rows:
-        for s in collocations._slices(t):
-            chunk.feed(s, lang)
-            if chunk.words > 100:
-                parts.append(chunk.sums())
-                chunk = collocations.Chunk(3)
-    parts.append(chunk.sums())
-    cut = pd.concat(parts).groupby(["g", "u0", "u1", "u2"])["c"].sum()
-    one = collocations.Chunk(3)
-    for lang, t in rows:
-        one.feed(t, lang)
-    want = one.sums().set_index(["g", "u0", "u1", "u2"])["c"]
-    assert cut.sort_index().equals(want.sort_index())
+
+    def summed(k, limit):
+        total, chunk = Counter(), collocations.Chunk(k, collocations.Names())
+        for lang, t in rows:
+            for s in collocations._slices(t):
+                chunk.feed(s, lang)
+                if chunk.words > limit:
+                    out = chunk.sums()
+                    total.update(dict(zip(zip(*[out[n].tolist() for n in out if n != "c"], strict=True), out["c"].tolist(), strict=True)))
+                    chunk = collocations.Chunk(k, collocations.Names() if len(chunk.names.words) > 30 else chunk.names)
+        out = chunk.sums()
+        total.update(dict(zip(zip(*[out[n].tolist() for n in out if n != "c"], strict=True), out["c"].tolist(), strict=True)))
+        return total
+
+    for k in (1, 2, 3, 7):
+        whole = summed(k, 1 << 30)
+        with monkeypatch.context() as m:
+            m.setattr(collocations, "SLICE", 40)
+            assert summed(k, 100) == whole
+        assert sum(whole.values()) == sum(len(re.findall(r"[^ \t.,;:!?\n-\r]+", t)) for _, t in rows)
 
 
 def test_phrases_long_path_is_compacted(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -52,3 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, which every executor reaches."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kgflow/{name}-{uuid.uuid4().hex}"

@@ -89,3 +89,29 @@ def read_triples(spark, path: str) -> DataFrame:
     """Triples at rest (``write_triples``): ``filter(p == r)`` becomes a
     partition filter, ``s`` lookups use row-group statistics."""
     return spark.read.parquet(path)
+
+
+PART, PART_PREFIX, OTHER = "part", "p_", "other"
+LAYOUT = "s string, p string, o string, o_kind string, o_datatype string, o_lang string, part string"
+
+
+def partition_of(p: Column) -> Column:
+    """Partition of a predicate that has one of its own."""
+    return F.concat(F.lit(PART_PREFIX), p)
+
+
+def write_layouts(triples: DataFrame, path: str, tail_rows: int = 100_000, mode: str = "overwrite", **options) -> None:
+    """Two copies at rest, ``by_s`` sorted by ``(p, s)`` and ``by_o`` sorted by ``(p, o)``, so that subject and object lookups both
+    skip row groups by their statistics.  A predicate with fewer than ``tail_rows`` triples goes to the partition ``other``, so a long tail of rare
+    predicates makes no small files; the others have a partition each.  Tasks hold ranges, so a large predicate is many files."""
+    large = triples.groupBy("p").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= tail_rows).select(F.col("p").alias("_p"))
+    rows = (triples.select(*TRIPLE_COLUMNS).join(large, F.col("p") == F.col("_p"), "left")
+            .select(*TRIPLE_COLUMNS, F.when(F.col("_p").isNotNull(), partition_of(F.col("p"))).otherwise(F.lit(OTHER)).alias(PART)))
+    for by in ("s", "o"):
+        (rows.repartitionByRange(PART, "p", by).sortWithinPartitions(PART, "p", by)
+         .write.mode(mode).options(**options).partitionBy(PART).parquet(f"{path}/by_{by}"))
+
+
+def read_layout(spark, path: str, by: str) -> DataFrame:
+    """One copy of ``write_layouts``, with its partition column."""
+    return spark.read.schema(LAYOUT).parquet(f"{path}/by_{by}")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kgflow.plans import forms_queries, kg_more_queries, kg_queries, link_queries, qgraph_queries
+from kgflow.plans import file_queries, forms_queries, kg_more_queries, kg_queries, link_queries, qgraph_queries
 
 CATALOG: dict = {}
-for _mod in (kg_queries, kg_more_queries, forms_queries, link_queries, qgraph_queries):
+for _mod in (kg_queries, kg_more_queries, forms_queries, file_queries, link_queries, qgraph_queries):
     CATALOG.update(_mod.QUERIES)

@@ -51,24 +51,42 @@ def read_examples(spark: SparkSession, path: str, fmt: str = "array") -> DataFra
     raise ValueError(fmt)
 
 
-def read_predictions(spark: SparkSession, path: str, schema: T.StructType = PREDICTIONS) -> DataFrame:
-    """Prediction CSV (pandas index as first column, quoted multi-line cells)."""
+def read_predictions(spark: SparkSession, path: str, schema: T.StructType = PREDICTIONS, fmt: str = "csv") -> DataFrame:
+    """Predictions.  ``fmt='csv'``: the reference's CSV (pandas index as first column, quoted cells that may span lines).  Spark cannot
+    split such a file: one task reads it, at some 50 MB a second, so keep files below 1 GB (a folder of many files reads in parallel).
+    ``fmt='jsonl'``: one object per line, as ``write_results(..., fmt="json")`` makes it, split at any line: the form for large runs."""
+    if fmt == "jsonl":
+        return spark.read.schema(schema).json(path)
+    if fmt != "csv":
+        raise ValueError(fmt)
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
             .option("escape", '"').csv(path))
 
 
+VECTORS = "row_id long, cluster_id long, embedding array<float>, class string"
+ALIASES = "cluster_id long, alias string, class string"
+
+
 def load_entity_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """S3: the entity index at rest -- ``vectors(class, row_id, cluster_id,
     embedding)`` and ``aliases(class, cluster_id, alias)``, Parquet partitioned
     by ``class`` (the reference opens three files per class per mention)."""
-    vectors = spark.read.parquet(f"{path}/vectors")
-    aliases = spark.read.parquet(f"{path}/aliases")
+    vectors = spark.read.schema(VECTORS).parquet(f"{path}/vectors")
+    aliases = spark.read.schema(ALIASES).parquet(f"{path}/aliases")
     return vectors, aliases
 
 
+def with_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``rows`` (with ``class`` and ``cluster_id``, such as linked mentions or the vectors) with a row per alias of their cluster; cluster ids count
+    per class, so both join.  A cluster without aliases keeps one row with a null."""
+    names = aliases.select(F.col("class").alias("_class"), F.col("cluster_id").alias("_cluster"), "alias")
+    return rows.join(names, (F.col("class") == F.col("_class")) & (F.col("cluster_id") == F.col("_cluster")), "left").drop("_class", "_cluster")
+
+
 def write_entity_index(vectors: DataFrame, aliases: DataFrame, path: str, mode: str = "overwrite") -> None:
-    vectors.write.mode(mode).partitionBy("class").parquet(f"{path}/vectors")
-    aliases.write.mode(mode).partitionBy("class").parquet(f"{path}/aliases")
+    for df, schema, name in ((vectors, VECTORS, "vectors"), (aliases, ALIASES, "aliases")):
+        typed = [F.col(c).cast(t).alias(c) for c, t in (f.split() for f in schema.split(", "))]
+        df.select(*typed).write.mode(mode).partitionBy("class").parquet(f"{path}/{name}")
 
 
 def read_contexts(spark: SparkSession, path: str, field: str = CONTEXT_FIELD, fmt: str = "jsonl") -> DataFrame:

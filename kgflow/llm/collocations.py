@@ -13,7 +13,7 @@ Nodes are the K - 1 words, edges the K words (K = ``max_words``) that follow eac
 4. Candidates: the K-grams of the paths, and frequent shorter grams.  A gram goes if a gram one word longer around it has
    ``cover`` percent of its count (a longer one still implies that one); nodes inside a path always go.
 5. Every cut of a candidate gets the counts of its two parts by joins with the frequent grams; parts are never rarer than the whole, so all are
-   there.  Scores are exact decimals.  Ranks come from a per-language top-k that Spark prunes in every task.
+   there.  Scores are exact decimals.  Ranks come from a top-k of parts of a language, then of the language.
 6. Only the ranked phrases' words are looked up in the texts again.
 
 Counts are exact but for collisions of 64-bit word hashes within a language (about 3e-8 at a million words).
@@ -37,9 +37,10 @@ from kgflow.llm.common import LOWER, UPPER, ascii_lower, staged, text_or_empty
 MAX_WORDS, MIN_COUNT, COVER, TOP = 3, 10, 50, 2000
 SALT = 16
 SEGMENT = 1024
-CHUNK = 1 << 21                      # words summed side by side
+PARTS = 32                           # of a language's candidates
+CHUNK = 3 << 19                      # words summed side by side
 SLICE = 1 << 20                      # characters split side by side
-VOCABULARY = 1 << 19                 # words of a chunk
+VOCABULARY = 3 << 17                 # words remembered in a task
 UND = "und"
 END_CLASS = r".,;:!?\x0A-\x0D"       # fixed value: signs that end a piece
 TOKEN = re.compile(rf"[^\x20\x09{END_CLASS}]+|[{END_CLASS}]")
@@ -329,9 +330,13 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
         cand = cand.join(around, ["g", *us[:n]], "left").where(F.coalesce(F.col("around") * 100 < F.col("f") * cover, F.lit(True)))
         found = found.unionByName(_scored(cand.select("g", *us[:n], F.col("f").alias("a")), common, k, n, {}))
 
-    # ties at the end of the list are decided by the words, so all of them stay until those are known
-    best = Window.partitionBy("g").orderBy(F.desc("score"), F.desc("a"))
-    few = staged(found.withColumn("rk", F.rank().over(best)).where(F.col("rk") <= top).drop("rk"), "collocations")
+    # ties at the end of the list are decided by the words, so all of them stay until those are known; a language's candidates are ranked in
+    # parts first, so that no task sees all of them
+    found = found.withColumn("part", F.pmod(F.xxhash64("ws"), F.lit(PARTS)))
+    for by in (["g", "part"], ["g"]):
+        best = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"))
+        found = found.withColumn("rk", F.rank().over(best)).where(F.col("rk") <= top).drop("rk")
+    few = staged(found.drop("part"), "collocations")
     return _with_words(few, rows, total, top)
 
 

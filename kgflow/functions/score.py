@@ -9,6 +9,8 @@ took three times as long.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgflow.functions.forms import relations, relations_list, skeleton, skeleton_list
+from kgflow.session import ensure_checkpoint_dir
 
 
 def _c(c) -> Column:
@@ -103,8 +106,10 @@ def tok_rouge(c) -> Column:
     return _split_ws(s)
 
 
-#: tokens counted at once: bounds the memory of a batch of long texts (a longer row stands alone)
+#: tokens counted at once: bounds the memory of a batch of long texts (a longer row stands alone; see ``huge_chars``)
 SLICE_TOKENS = 1 << 20
+#: tokens of a piece of a huge text
+PIECE_TOKENS = 1 << 16
 
 
 def _lengths(lists: pa.Array) -> np.ndarray:
@@ -200,6 +205,48 @@ def _tokenised(df: DataFrame, keep: list, pred, refs, tok) -> DataFrame:
     return df.select(*keep, tok(pred).alias("_p"), F.transform(texts, tok).alias("_r"))
 
 
+# --- huge texts -------------------------------------------------------------
+
+def _huge(pred, refs, chars: int) -> Column:
+    """Whether a row's texts together have more than ``chars`` characters."""
+    sizes = F.transform(F.coalesce(_c(refs), F.array().cast("array<string>")), lambda r: F.coalesce(F.length(r), F.lit(0)).cast("long"))
+    return F.coalesce(F.length(_c(pred)), F.lit(0)) + F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x) > chars
+
+
+def _gram_at(n: int):
+    return lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_t", i, n), " ").alias("gram"))
+
+
+def _gram_rows(texts: DataFrame, keys: list[str], tokens: str, max_n: int, piece: int) -> DataFrame:
+    """``keys``, ``n``, ``gram``, ``c``: the n-grams of ``tokens`` of every order, counted.  A text is cut into ranges of
+    ``piece`` tokens that overlap by ``max_n`` - 1, so the ranges of one text go to many tasks and each n-gram begins in one range."""
+    size = F.size(tokens)
+    cut = texts.select(*keys, size.alias("_size"), tokens, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(size / F.lit(piece)) - 1, F.lit(0)))).alias("_at"))
+    cut = (cut.select(*keys, "_at", F.slice(tokens, (F.col("_at") * piece + 1).cast("int"), piece + max_n - 1).alias("_t"))
+           .repartition(*keys, "_at"))                # ranges, not texts, are dealt to the tasks
+    grams = []
+    for n in range(1, max_n + 1):
+        begins = F.least(F.size("_t") - (n - 1), F.lit(piece))
+        at = F.when(begins > 0, F.sequence(F.lit(1), begins)).otherwise(F.array().cast("array<int>"))
+        grams.append(F.transform(at, _gram_at(n)))
+    rows = cut.select(*keys, F.explode(F.concat(*grams)).alias("g")).select(*keys, "g.n", "g.gram")
+    return rows.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _huge_overlaps(rows: DataFrame, max_n: int, piece: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``_row``, ``_p``, ``_r`` -> per row and order the matches clipped by the best reference (``_row``, ``n``, ``m``), and per
+    reference those in common (``_row``, ``ref``, ``n``, ``m``, ``size``).  Counts meet by (row, n-gram) in a shuffle; no task holds a text's n-grams."""
+    mine = _gram_rows(rows.select("_row", "_p"), ["_row"], "_p", max_n, piece)
+    refs = rows.select("_row", F.posexplode("_r").alias("ref", "_t"))
+    theirs = _gram_rows(refs.select("_row", "ref", F.col("_t").alias("_x")), ["_row", "ref"], "_x", max_n, piece).withColumnRenamed("c", "rc")
+    both = mine.join(theirs, ["_row", "n", "gram"]).withColumn("hit", F.least("c", "rc"))
+    clipped = both.groupBy("_row", "n", "gram").agg(F.max("hit").alias("hit")).groupBy("_row", "n").agg(F.sum("hit").alias("m"))
+    common = both.groupBy("_row", "ref", "n").agg(F.sum("hit").alias("m"))
+    orders = F.array(*[F.lit(n) for n in range(1, max_n + 1)])
+    sizes = refs.select("_row", "ref", F.size("_t").alias("size"), F.explode(orders).alias("n"))
+    return clipped, sizes.join(common, ["_row", "ref", "n"], "left").select("_row", "ref", "n", F.coalesce("m", F.lit(0)).alias("m"), "size")
+
+
 # --- BLEU --------------------------------------------------------------------
 
 def _bleu_columns(max_order: int = 4) -> list[Column]:
@@ -210,12 +257,31 @@ def _bleu_columns(max_order: int = 4) -> list[Column]:
 
 
 def bleu_parts(df: DataFrame, pred="pred", refs="refs", id_col="id", by: list[str] | None = None,
-               max_order: int = 4) -> DataFrame:
+               max_order: int = 4, huge_chars: int | None = None, piece: int = PIECE_TOKENS) -> DataFrame:
     """Per-row additive BLEU statistics: lengths, possible and clipped matches
     per order.  Summing them over any grouping and applying ``bleu_final``
-    gives corpus BLEU for that group.  No shuffle."""
+    gives corpus BLEU for that group.  No shuffle; but rows with more than ``huge_chars`` characters, if that is given, are cut
+    into ranges of ``piece`` tokens whose n-gram counts are shuffled, so that one huge text is many tasks' work."""
     keys = [*(by or []), id_col]
-    return _tokenised(df, keys, pred, refs, tok13a).select(*keys, *_bleu_columns(max_order)).select("*", "_m.*").drop("_m")
+
+    def at_once(rows: DataFrame) -> DataFrame:
+        return _tokenised(rows, keys, pred, refs, tok13a).select(*keys, *_bleu_columns(max_order)).select("*", "_m.*").drop("_m")
+
+    if huge_chars is None:
+        return at_once(df)
+    huge = _huge(pred, refs, huge_chars)
+    rows = _numbered(_tokenised(df.where(huge), keys, pred, refs, tok13a))
+    clipped, _ = _huge_overlaps(rows, max_order, piece)
+    m = clipped.groupBy("_row").agg(*[F.sum(F.when(F.col("n") == k, F.col("m"))).alias(f"m{k}") for k in range(1, max_order + 1)])
+    lengths = rows.select("_row", *keys, *_bleu_columns(max_order)[:-1])
+    long = lengths.join(m, "_row", "left").select(*lengths.columns[1:], *[F.coalesce(f"m{k}", F.lit(0)).cast("long").alias(f"m{k}") for k in range(1, max_order + 1)])
+    return at_once(df.where(~huge)).unionByName(long)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Tokenised rows with a number ``_row``, fixed by a checkpoint: two plans read them."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
 
 
 def bleu_sums(max_order: int = 4) -> list[Column]:
@@ -242,33 +308,51 @@ def bleu_final(agg: DataFrame, keep: list[str], max_order: int = 4, detail: bool
 
 
 def bleu(df: DataFrame, pred="pred", refs="refs", id_col="id", by: list[str] | None = None,
-         max_order: int = 4, detail: bool = False) -> DataFrame:
+         max_order: int = 4, detail: bool = False, huge_chars: int | None = None, piece: int = PIECE_TOKENS) -> DataFrame:
     """M4 / M5: corpus BLEU with several references (clipped n-gram precision
     summed over the corpus, brevity penalty against the shortest reference,
     no smoothing).  ``by`` scores several runs in one pass.  ``detail`` adds
-    the precisions, brevity penalty, length ratio and lengths."""
+    the precisions, brevity penalty, length ratio and lengths; ``huge_chars`` as in ``bleu_parts``."""
     by = list(by or [])
-    parts = bleu_parts(df, pred, refs, id_col, by, max_order)
+    parts = bleu_parts(df, pred, refs, id_col, by, max_order, huge_chars, piece)
     return bleu_final(parts.groupBy(*by).agg(*bleu_sums(max_order)), by, max_order, detail)
 
 
 # --- ROUGE -------------------------------------------------------------------
 
 def rouge_n(df: DataFrame, pred="pred", refs="refs", id_col="id", orders=(1, 2),
-            by: list[str] | None = None) -> DataFrame:
-    """M7 per row: ROUGE-N F1 against the best reference (per N), no stemming, any N."""
+            by: list[str] | None = None, huge_chars: int | None = None, piece: int = PIECE_TOKENS) -> DataFrame:
+    """M7 per row: ROUGE-N F1 against the best reference (per N), no stemming, any N; ``huge_chars`` as in ``bleu_parts``."""
     keys = [*(by or []), id_col]
-    return _tokenised(df, keys, pred, refs, tok_rouge).select(*keys, _rouge_n_struct(orders).alias("_s")).select(*keys, "_s.*")
 
+    def at_once(rows: DataFrame) -> DataFrame:
+        return _tokenised(rows, keys, pred, refs, tok_rouge).select(*keys, _rouge_n_struct(orders).alias("_s")).select(*keys, "_s.*")
 
-def _lcs_rows(a: list, b: list):
-    """Rows of the longest-common-subsequence table as bit vectors (Python integers): after token i of
-    ``a``, bit j is 0 where the length grows at token j of ``b``.  One word operation covers many cells, and a
-    table of n x m cells takes n x m bits."""
+    if huge_chars is None:
+        return at_once(df)
+    huge = _huge(pred, refs, huge_chars)
+    rows = _numbered(_tokenised(df.where(huge), keys, pred, refs, tok_rouge))
+    _, per_ref = _huge_overlaps(rows, max(orders), piece)
+    scored = per_ref.join(rows.select("_row", F.size("_p").alias("mine")), "_row")
+    p = F.col("m") / F.greatest(F.col("mine") - F.col("n") + 1, F.lit(1))
+    r = F.col("m") / F.greatest(F.col("size") - F.col("n") + 1, F.lit(1))
+    f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+    best = scored.withColumn("f", f).groupBy("_row").agg(*[F.max(F.when(F.col("n") == n, F.col("f"))).alias(f"rouge{n}") for n in orders])
+    long = rows.select("_row", *keys).join(best, "_row", "left").select(*keys, *[F.coalesce(f"rouge{n}", F.lit(0.0)).alias(f"rouge{n}") for n in orders])
+    return at_once(df.where(~huge)).unionByName(long)
+
+
+def _places(b: list) -> dict:
     where: dict = {}
     for j, y in enumerate(b):
         where[y] = where.get(y, 0) | 1 << j
-    full = v = (1 << len(b)) - 1
+    return where
+
+
+def _lcs_rows(a: list, where: dict, v: int, full: int):
+    """Rows of the longest-common-subsequence table as bit vectors (Python integers): after token i of
+    ``a``, bit j is 0 where the length grows at token j of ``b`` (``where``: bits of each of its tokens).  One word operation covers many
+    cells; ``v`` is the row before the first."""
     for x in a:
         hit = v & where.get(x, 0)
         v = ((v + hit) | (v - hit)) & full
@@ -277,8 +361,8 @@ def _lcs_rows(a: list, b: list):
 
 def _lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence."""
-    v = (1 << len(b)) - 1
-    for v in _lcs_rows(a, b):
+    full = v = (1 << len(b)) - 1
+    for v in _lcs_rows(a, _places(b), full, full):
         pass
     return len(b) - v.bit_count()
 
@@ -305,18 +389,34 @@ def _union_lcs_len(ref_sents, pred_sents) -> int:
 
 def _lcs_positions(a: list, b: list) -> list[int]:
     """Places in ``a`` of one longest common subsequence: from the end, equal tokens pair up; otherwise
-    ``a`` is shortened unless that loses length."""
-    rows = [(1 << len(b)) - 1, *_lcs_rows(a, b)]
-
-    def length(i, j):
-        return j - (rows[i] & ((1 << j) - 1)).bit_count()
-
-    out, i, j = [], len(a), len(b)
+    ``a`` is shortened unless that loses length.
+
+    The table is never held: one row in sqrt(len(a)) is kept on the way forward, and a stretch between two of them is made
+    again when the way back comes to it.  That is 2 sqrt(n) rows of m bits, and the work twice that of the length alone; common ends, which pair up
+    whatever lies between, are taken off first."""
+    n, m = len(a), len(b)
+    tail = 0
+    while tail < min(n, m) and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    out, i, j = list(range(n - 1, n - 1 - tail, -1)), n - tail, m - tail
+    if not i or not j:
+        return out[::-1]
+    step, where, full = max(1, math.isqrt(i)), _places(b[:j]), (1 << j) - 1
+    kept, v = [full], full
+    for k, v in enumerate(_lcs_rows(a[:i], where, full, full), 1):
+        if k % step == 0:
+            kept.append(v)
+    low, rows = i + 1, []                        # rows of the stretch that begins at row ``low``
     while i > 0 and j > 0:
         if a[i - 1] == b[j - 1]:
             out.append(i - 1)
             i, j = i - 1, j - 1
-        elif length(i - 1, j) == length(i, j):
+            continue
+        if i - 1 < low:                          # rows i - 1 and i lie in one stretch
+            low = (i - 1) // step * step
+            rows = [kept[low // step], *_lcs_rows(a[low:min(i, low + step)], where, kept[low // step], full)]
+        cells = (1 << j) - 1
+        if (rows[i - 1 - low] & cells).bit_count() == (rows[i - low] & cells).bit_count():
             i -= 1
         else:
             j -= 1

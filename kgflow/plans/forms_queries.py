@@ -257,6 +257,37 @@ def rouge_l_rows(spark, sf):
 
 
 SQL_ROUGE_L_ROWS = S.rouge_l_sql(_PAIRS_ROWS)
+SQL_ROUGE_L_CONV = S.rouge_l_summary_sql(_PAIRS_ROWS)
+
+
+def _documents(spark, sf):
+    """Every document as the prediction of the next one."""
+    d = Tables(spark, sf).documents
+    refs = d.select((F.col("doc_id") - 1).alias("id"), F.array("text").alias("refs"))
+    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("pred")).join(refs, "id")
+
+
+HUGE = 6000              # characters beyond which these queries' rows are cut into ranges
+_DOCUMENT_ROWS = "select a.doc_id as id, a.text as pred, [b.text] as refs from documents a join documents b on b.doc_id = a.doc_id + 1"
+
+
+def bleu_documents(spark, sf):
+    """M4 on long texts: rows of more than ``HUGE`` characters by ranges of tokens and shuffled n-gram counts, the others at once."""
+    b = M.bleu(_documents(spark, sf), "pred", "refs", "id", detail=True, huge_chars=HUGE, piece=500)
+    return b.withColumn("bleu", F.round("bleu", DIGITS)).withColumn("brevity_penalty", F.round("brevity_penalty", DIGITS))
+
+
+SQL_BLEU_DOCUMENTS = f"""select * replace (round(bleu, 12) as bleu, round(brevity_penalty, 12) as brevity_penalty)
+from ({S.bleu_sql(_DOCUMENT_ROWS, detail=True)})"""
+
+
+def rouge_documents(spark, sf):
+    """M7 on long texts, cut as in ``bleu_documents``."""
+    per = M.rouge_n(_documents(spark, sf), "pred", "refs", "id", huge_chars=HUGE, piece=500)
+    return M.rouge_summary(per, ["rouge1", "rouge2"])
+
+
+SQL_ROUGE_DOCUMENTS = S.rouge_n_sql(_DOCUMENT_ROWS)
 
 
 def token_lengths(spark, sf):
@@ -357,7 +388,9 @@ QUERIES = {
     "bleu_conversations": (bleu_conversations, SQL_BLEU_CONV),
     "tok13a_conversations": (tok13a_conversations, SQL_TOK13A),
     "rouge_conversations": (rouge_conversations, SQL_ROUGE_CONV),
-    "rouge_l_conversations": (rouge_l_conversations, None),
+    "rouge_l_conversations": (rouge_l_conversations, SQL_ROUGE_L_CONV),
+    "bleu_documents": (bleu_documents, SQL_BLEU_DOCUMENTS),
+    "rouge_documents": (rouge_documents, SQL_ROUGE_DOCUMENTS),
     "rouge_l_rows": (rouge_l_rows, SQL_ROUGE_L_ROWS),
     "token_lengths": (token_lengths, SQL_TOKEN_LENGTHS),
     "prompts_fill": (prompts_fill, SQL_PROMPTS_FILL),

@@ -178,3 +178,40 @@ l as (select id, j, 0 as i, list_transform(pt, lambda x: 0) as v from tok
 s as (select id, coalesce(v[len(pt)], 0) / greatest(len(pt), 1) as p, coalesce(v[len(pt)], 0) / greatest(len(rt), 1) as r from l join tok using (id, j) where l.i = len(tok.rt))
 select id, round(max(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end), 12) as rouge_l from s group by id
 """
+
+
+def _sentences(e: str) -> str:
+    lines = f"string_split(regexp_replace(lower({e}), '[^a-z0-9\\n]+', ' ', 'g'), chr(10))"
+    return f"list_filter(list_transform({lines}, lambda x: {split_ws('x')}), lambda t: len(t) > 0)"
+
+
+def rouge_l_summary_sql(rows_cte: str) -> str:
+    """Mean ROUGE-L and ROUGE-Lsum F1 in percent.  For Lsum every reference sentence meets every prediction sentence: a table of common
+    subsequences row by row, then the way back through it; the places found in a reference sentence are united over the prediction's sentences, and a token counts at
+    most as often as the prediction has it."""
+    return f"""
+with recursive rows as ({rows_cte}),
+texts as (select id, coalesce(pred, '') as pred, generate_subscripts(refs, 1) as j, unnest(refs) as ref from rows),
+ps as (select id, generate_subscripts(s, 1) as l, unnest(s) as pt from (select id, {_sentences("coalesce(pred, '')")} as s from rows)),
+rs as (select id, j, generate_subscripts(s, 1) as k, unnest(s) as rt from (select id, j, {_sentences('ref')} as s from texts)),
+pairs as materialized (select row_number() over () as q, id, j, k, rt, pt from rs join ps using (id)),
+l as (select q, 0 as i, list_transform(pt, lambda x: 0) as v from pairs
+      union all
+      select q, i + 1, list_transform(range(1, len(c) + 1), lambda n: list_max(c[1:n]))
+      from (select l.q, l.i, list_transform(range(1, len(pt) + 1), lambda n: case when pt[n] = rt[i + 1] then coalesce(v[n - 1], 0) + 1 else v[n] end) as c
+            from l join pairs using (q) where l.i < len(rt))),
+w as (select q, len(rt) as i, len(pt) as n, 0 as hit from pairs
+      union all
+      select w.q, case when rt[w.i] = pt[w.n] or b.v[w.n] = a.v[w.n] then w.i - 1 else w.i end,
+        case when rt[w.i] = pt[w.n] or b.v[w.n] <> a.v[w.n] then w.n - 1 else w.n end, case when rt[w.i] = pt[w.n] then w.i else 0 end
+      from w join pairs using (q) join l a on a.q = w.q and a.i = w.i join l b on b.q = w.q and b.i = w.i - 1 where w.i > 0 and w.n > 0),
+places as (select distinct id, j, k, hit, rt[hit] as tok from w join pairs using (q) where hit > 0),
+united as (select id, j, tok, count(*) as c from places group by all),
+had as (select id, tok, count(*) as c from (select id, unnest(pt) as tok from ps) group by all),
+hits as (select id, j, sum(least(united.c, had.c)) as h from united join had using (id, tok) group by all),
+np as (select id, sum(len(pt)) as n from ps group by id),
+nr as (select id, j, sum(len(rt)) as n from rs group by all),
+f as (select id, j, 2 * (h / np.n) * (h / nr.n) / (h / np.n + h / nr.n) as f from hits join np using (id) join nr using (id, j)),
+best as (select id, max(f) as f from f group by id),
+one as ({rouge_l_sql(rows_cte)})
+select round(avg(one.rouge_l) * 100, 4) as "rougeL", round(avg(coalesce(best.f, 0)) * 100, 4) as "rougeLsum" from one left join best using (id)"""

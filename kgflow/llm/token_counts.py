@@ -16,8 +16,8 @@ follows is split by looking ahead only.  So tokens left and right of it do not d
 on each other.  A place inside a special string could look so to one chunk that begins
 within it; the neighbour sees the whole string and lacks the boundary, so it isn't common.
 
-The same proof lets short texts be counted as the sum over their ``space + word`` pieces,
-each encoded by the library once per task and remembered in a bounded table.
+The same proof lets short texts be counted as the sum over their ``space + word`` pieces -- a run of letters ends
+one as well --, each encoded by the library once per task and remembered in a bounded table.  Tokenizers that do not split so are refused (``splits_bytewise``).
 
 Cases: null is the empty text (0 tokens); ids may be null or repeated, counts belong to
 texts; an empty table gives no rows; special strings inside texts are treated as the
@@ -26,8 +26,10 @@ library does by default; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,12 +38,17 @@ from pyspark.sql import functions as F
 
 from kgflow.llm.common import key128, partitions, staged, text_or_empty
 
-CHUNK_CHARS = 32_768
+CHUNK_CHARS = 65_536
 OVERLAP = 512
-CACHE = 1 << 19
+CACHE = 1 << 19                      # pieces remembered
 PIECE = re.compile(r"\s*\S+|\s+")
 ODD_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")      # white space on which libraries may differ
 SPLIT = re.compile(r"(?<=\S)(?=[ \n])")
+# texts of these signs only (no marks, no other letters or white space) are parted after letters, too
+PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012fŒœ]*")
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-\u012fŒœ"
+LETTER_PIECE = re.compile(rf"\s*[^\s{LETTERS}]*[{LETTERS}]+|\s*[^\s{LETTERS}]+|\s+")
+GROUP = 1 << 20                      # characters counted side by side
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -50,6 +57,16 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def splits_bytewise(path: str) -> bool:
+    """Whether the file is a byte-level tokenizer with the usual split, without normalizer and prefix space, and with added tokens that
+    hold no white space and swallow none: what the proof above rests on."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    pre = t.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not t.get("normalizer")
+    return bool(plain) and not any(re.search(r"\s", a["content"]) or a["lstrip"] or a["rstrip"] or a["single_word"] for a in t.get("added_tokens", []))
+
+
 def _load(path: str):
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
@@ -60,28 +77,62 @@ def _load(path: str):
     return t
 
 
+class Numbers(dict):
+    """Piece -> its number; ``new`` lists the pieces not yet counted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class PieceCounter:
-    """Tokens of texts as sums over pieces between stable boundaries."""
+    """Tokens of texts as sums over pieces between stable boundaries; a piece is encoded once (a bounded table)."""
 
     def __init__(self, tok):
-        self.tok, self.known = tok, {"": 0}
+        self.tok, self.special = tok, [a.content for a in tok.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _clear(self):
+        self.known, self.size = Numbers(), np.zeros(0, dtype=np.int64)
+
+    def pieces(self, text: str) -> list[str]:
+        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return LETTER_PIECE.findall(text)
+        return SPLIT.split(text) if ODD_SPACE.search(text) else PIECE.findall(text)
 
     def counts(self, texts: list[str]) -> list[int]:
-        known = self.known
-        pieces = [SPLIT.split(t) if ODD_SPACE.search(t) else PIECE.findall(t) for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            known.update(zip(part, map(len, self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        out = [sum(map(known.__getitem__, ps)) for ps in pieces]
-        if len(known) > CACHE:
-            self.known = {"": 0}
-        else:
-            for p in new:
-                if len(p) > 64:
-                    del known[p]
+        out: list[int] = []
+        for group in self._groups(texts):
+            if len(self.known) > CACHE:
+                self._clear()
+            rows = [self.pieces(t) for t in group]
+            sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+            at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(rows)), dtype=np.int64, count=int(sizes.sum()))
+            new, self.known.new = self.known.new, []
+            got = np.fromiter(map(len, self.tok.encode_batch_fast(new, add_special_tokens=False)) if new else (), dtype=np.int64, count=len(new))
+            self.size = np.concatenate([self.size, got])
+            upto = np.r_[0, np.cumsum(self.size[at])]
+            stops = np.cumsum(sizes)
+            out += (upto[stops] - upto[stops - sizes]).tolist()
         return out
 
+    @staticmethod
+    def _groups(texts: list[str]) -> Iterator[list[str]]:
+        group, chars = [], 0
+        for t in texts:
+            group.append(t)
+            chars += len(t)
+            if chars >= GROUP:
+                yield group
+                group, chars = [], 0
+        if group:
+            yield group
+
 
 def _stable(text: str, p: int) -> bool:
     left, right = text[p - 1], text[p]
@@ -164,6 +215,8 @@ def token_counts(docs: DataFrame, path: str | None = None, chunk_chars: int = CH
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n_bytes``, ``n_tokens`` per row; see the module."""
     path = path or tokenizer_path()
+    if not splits_bytewise(path):
+        raise ValueError("the stable boundaries are proven for byte-level tokenizers only")
     text = text_or_empty(docs, text_col)
     rows = docs.select(docs[id_col].alias("id"), text.alias("t"))
     out = rows.select("id").schema.simpleString()[7:-1] + ",n_bytes long,n_tokens long"

@@ -99,6 +99,16 @@ def test_piece_counter():
     assert c.counts(texts) == [len(t.encode(x, add_special_tokens=False)) for x in texts]
 
 
+def test_pieces_against_library_and_refusals(odd):
+    t = token_counts._load(token_counts.tokenizer_path())
+    rng = random.Random(3)
+    signs = ["don't", "we'LL", "'s", "'", " ", "  ", "\n", "\t", "\r\n", "a", "É", "ß", "œ", "x1y2", "3.5", "...", "—", "\xa0", "\x1c", "\x85", "é", "İ", "漢字", "<|endoftext|>", "<|", "ª", "²", "_", "12", ", ", ". "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(5000)] + ["".join(rng.choice(signs[:17]) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    assert token_counts.PieceCounter(t).counts(texts) == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    with pytest.raises(ValueError):
+        token_counts.token_counts(odd, path=token_counts.tokenizer_path("word_bpe_49k.json"))
+
+
 # ---- 3
 def brute_nearest(rows, k=10):
     ok = sorted({(i, tuple(v)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v) and len(v) == 8})

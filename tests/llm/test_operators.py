@@ -457,11 +457,25 @@ def test_mix(odd, small, none):
         out = mixing.mix(df).collect()
         targets, taken, largest = check_mix(rows, out)
         for s, t in targets.items():
-            repeated = max(Counter(rows).values(), default=1)         # equal rows share a decision
-            assert abs(taken[s] - t) <= largest[s] * repeated + 1e-6
+            assert abs(taken[s] - t) <= largest[s] + 1e-6
         assert Counter(map(tuple, out)) == Counter(map(tuple, mixing.mix(df.repartition(3)).collect()))
 
 
+def test_mix_takes_some_of_equal_rows(spark):
+    """One row, repeated 400 times, is half of a source: as many of its copies are taken as the target asks for."""
+    rng = random.Random(4)
+    rows = [(1, " ".join(["hot"] * 100), "a")] * 400 + [(i, " ".join(["w"] * rng.randrange(1, 200)), "a") for i in range(2, 400)]
+    rows += [(1000 + i, " ".join(["v"] * rng.randrange(1, 200)), "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    out = mixing.mix(df).collect()
+    targets, taken, largest = check_mix([(d, t, None, s) for d, t, s in rows], out)
+    assert all(abs(taken[s] - t) <= largest[s] for s, t in targets.items())
+    assert len({r.copies for r in out if r.id == 1}) <= 2
+    got = mixing.mixed(df).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
+    assert {r.source: r.n for r in got} == dict(taken)
+    assert Counter(map(tuple, out)) == Counter(map(tuple, mixing.mix(df.repartition(3)).collect()))
+
+
 def test_mixed_repeats_rows(odd):
     got = Counter((r.doc_id, r.text, r.source) for r in mixing.mixed(odd).collect())
     want = Counter()

@@ -1,8 +1,8 @@
 """Op 4: benchmark decontamination by template canonicalisation.
 
 Texts become template tokens: words are stripped of outer punctuation and lower-cased;
-numbers, names (capitalised words inside a sentence) and units become the typed placeholders
-NUM, NAME and UNIT, whose surface forms are kept as slot values.  A capitalised word at a sentence's
+numbers (in digits or written out in English, German, French or Spanish), names (capitalised words inside a sentence) and units become the
+typed placeholders NUM, NAME and UNIT, whose surface forms are kept as slot values.  A capitalised word at a sentence's
 start may be a name or not and is read both ways: a document's windows with all of them as literals and
 with all as names, an item's in every combination; so what precedes a copy does not matter.  A document is
 contaminated by an item if windows of ``window`` template tokens match, the slot values of the
@@ -53,6 +53,16 @@ kilometer kilometers kilometre kilometres mg g kg t lb lbs oz gram grams kilogra
 pounds ounce ounces ml l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes
 h hr hrs hour hours day days week weeks month months year years mph kmh km/h m/s hz khz mhz ghz w kw mw v kv a ma j kj kcal cal
 pa kpa bar c f k °c °f % percent $ € £ dollar dollars euro euros cent cents usd eur gbp""".split())
+# fixed values: number words of four languages; words that are also articles, pronouns or other words (one, ein, un, uno, neuf, once, elf, cent, null) are not among them
+NUMBER_WORDS = frozenset("""zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen
+nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen
+zwei drei vier fünf sechs sieben acht neun zehn zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig
+fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen dutzend
+zéro deux trois quatre cinq sept huit dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille
+million millions milliard milliards douzaine
+cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta
+cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones docena""".split())
+GERMAN = re.compile(r"(?:ein|zwei|drei|vier|fünf|sechs|sieben|acht|neun)und(?:zwanzig|dreißig|vierzig|fünfzig|sechzig|siebzig|achtzig|neunzig)")
 KIND_HASHES = [xxhash.xxh64_intdigest(f"{k}\x00") for k in KINDS]
 NAME_HASH = np.uint64(KIND_HASHES[NAME])
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?%?", re.I)
@@ -61,11 +71,21 @@ THIN = np.uint64(0xD1B54A32D192ED03)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def is_number_word(low: str) -> bool:
+    """A number written out: one word, a compound with hyphens (twenty-one, vingt-et-un), or a German compound."""
+    if low in NUMBER_WORDS or GERMAN.fullmatch(low):
+        return True
+    parts = low.split("-")
+    return len(parts) > 1 and parts[0] in NUMBER_WORDS and all(p in NUMBER_WORDS or p in ("one", "et", "un", "y", "neuf") for p in parts)
+
+
 def _word(raw: str):
     """(kind if not a name, form, capitalised, ends a sentence) of a raw word; no form: not a token."""
     form = raw if raw.isalpha() else EDGE.sub("", raw)
     ends = raw[-1:] in ".!?:;\"”»)\x00" if raw else True
     low = form.lower()
+    if is_number_word(low):
+        return NUM, low, False, ends
     if form.isalpha():
         return (UNIT if low in UNITS else LITERAL), low, form[0].isupper() and form[1:].islower(), ends
     if not any(map(str.isalnum, form)) and form not in UNITS:

@@ -1,10 +1,9 @@
 """Op 3: approximate nearest neighbours by an inverted multi-index.
 
-1. A bounded sample (``SAMPLE`` vectors, smallest hashes) trains ``K`` centroids for each
-   half of the vector (Lloyd, numpy, on the driver).
-2. Every vector is indexed: its cell is the pair of its halves' nearest centroids.
-   Equal vectors become one entry with its ``k`` + 1 smallest ids -- more can't be among any
+1. Equal vectors become one entry with its ``k`` + 1 smallest ids -- more can't be among any
    query's k nearest, so nothing is lost and a vector with a third of all rows is one entry.
+2. A bounded sample of the entries (``SAMPLE`` distinct vectors, smallest hashes; copies don't weigh) trains ``K`` centroids for each
+   half of the vector (Lloyd, numpy, on the driver).  Every entry is indexed: its cell is the pair of its halves' nearest centroids.
 3. A query walks centroid pairs by rising summed distance with a heap until the cells
    passed hold ``SHARE`` of all entries (at least ``MIN_CANDIDATES``).
 4. The inverted lists of one first-half centroid form a region.  A query goes once to each region that
@@ -17,7 +16,7 @@ Recall at the parameters is stated in the README; ``SHARE`` = 1 is exact.
 
 Cases: rows whose id or vector is null, whose vector is zero, holds a null or a non-finite
 component or has another length than most vectors take no part; equal rows (id and vector) count
-once; fewer candidates than k give fewer rows; an empty table gives none; other columns
+once; an id with several vectors is that many entries and queries, and none of them is a candidate of a query of the same id; fewer candidates than k give fewer rows; an empty table gives none; other columns
 are ignored.
 """
 
@@ -108,7 +107,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, n_centroids: int =
     r = F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("id"))
     entries = (rows.withColumn("r", r).where(F.col("r") <= k + 1)
                .groupBy("k1", "k2").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.first("v").alias("v")))
-    sample = rows.select("k1", "v").orderBy("k1").limit(SAMPLE).collect()
+    entries = staged(entries, "imi-entries")
+    sample = entries.select("k1", "k2", "v").orderBy("k1", "k2").limit(SAMPLE).collect()
     x = np.array([s.v for s in sample])
     h = dim // 2 if dim > 1 else 1
     c1 = kmeans(x[:, :h], n_centroids)

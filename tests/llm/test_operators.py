@@ -154,6 +154,28 @@ def test_nearest_recall_and_empty(spark):
     assert multi_index.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("dim,clusters", [(16, 0), (64, 0), (32, 40)])
+def test_nearest_recall_beside_large_equal_groups(spark, dim, clusters):
+    """6,000 vectors, three of them 7,000 times more: the copies don't take the centroids' places."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(6000, dim)) if not clusters else rng.normal(size=(clusters, dim))[np.arange(6000) % clusters] + rng.normal(scale=0.3, size=(6000, dim))
+    x = x.astype("f4").astype(float)
+    hot = [int(h) for h in rng.choice(6000, 3, replace=False)]
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    more = base.where(F.col("vec_id").isin(hot)).crossJoin(spark.range(7000)).select((10_001 + F.col("id") * 10 + F.col("vec_id") % 7).alias("vec_id"), "embedding")
+    ids = np.array([*range(6000), *[10_001 + i * 10 + h % 7 for h in hot for i in range(7000)]])
+    all_x = np.concatenate([x, *[np.repeat(x[h][None], 7000, axis=0) for h in hot]])
+    got = defaultdict(set)
+    for r in multi_index.search(base.unionByName(more), F.col("id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = ((all_x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, np.round(d, 12)))[:10]].tolist()))
+    assert hits / 600 >= 0.9
+
+
 def test_walk_is_by_rising_sum():
     rng = np.random.default_rng(1)
     d1, d2, n = rng.random(6), rng.random(5), rng.integers(0, 4, 30)
@@ -210,6 +232,19 @@ def test_decontamination_finds_items_of_numbers_and_names(spark):
     assert found_items(spark, items, texts) == {(0, 0), (1, 1), (2, 2), (3, 3), (6, 2)}         # other values in thin windows are other items
 
 
+def test_decontamination_of_numbers_written_out(spark):
+    items = ["If three workers paint five large walls with seven cans of white paint, how many more cans does the whole old house need today?",
+             "Wenn drei Arbeiter in vierundzwanzig Stunden eine hohe alte Mauer am Fluss bauen, wie lange brauchen dann alle anderen dort?",
+             "Un marchand vend trente-deux petites pommes rouges et achète ensuite douze grandes poires vertes au marché couvert de la ville voisine"]
+    paint, wall, fruit = items
+    texts = [paint, paint.replace("three", "nine").replace("five", "two").replace("seven", "four"), paint.replace("three", "9").replace("five", "twenty-two").replace("seven", "40"),
+             wall.replace("drei", "sieben").replace("vierundzwanzig", "dreißig"), fruit.replace("trente-deux", "vingt-et-un").replace("douze", "onze"),
+             "There are three kinds of people, five large seas, seven hills of Rome, and two or four more things that nobody wants to count at all",
+             "Once upon a time three workers had five large dogs and seven cans of beer, which the whole old house did not like at all"]
+    assert found_items(spark, items, texts) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 2)}
+    assert [decontam.is_number_word(w) for w in ("seventy-one", "fünfundzwanzig", "once", "two-faced", "one", "mil")] == [True, True, False, False, False, True]
+
+
 def test_decontamination_does_not_depend_on_what_precedes(spark):
     items = ["Tom has 3 apples. Sam has 5 pears. Tom eats 2 apples. Sam buys 4 pears. How much fruit do Tom and Sam have now?",
              "What is the capital city of France and its river?",

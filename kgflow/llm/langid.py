@@ -33,9 +33,9 @@ PER_LANG, SLICE = 800, 200
 STEPS, BATCH, TRAIN_T, RATE = 300, 192, 48, 0.02
 PAD = 256
 UNKNOWN = "und"
-# for recognised(): below, no language stands out (a mixed but clean text stays).  With three or fewer learned languages the
-# best scores at least 1/3, so only UNKNOWN texts (no letter) go
-MIN_SCORE = 0.3
+# for recognised(): every HELD-th sampled slice is held out; a text must score that share of the way from an even split to what nearly
+# all held-out slices score
+HELD, QUANTILE, STANDS_OUT = 5, 0.005, 0.15
 
 
 def _sigmoid(x):
@@ -235,7 +235,19 @@ def train(sample: list) -> BiGru | None:
     if not langs:
         return None
     target = np.array([langs.index(r.lang) for r in sample])
-    return BiGru(langs).fit([r.part.encode("utf-8", "replace") for r in sample], target)
+    # units and steps grow with the languages beyond four
+    net = BiGru(langs, hidden=max(HIDDEN, 2 * len(langs)))
+    return net.fit([r.part.encode("utf-8", "replace") for r in sample], target, steps=max(STEPS, STEPS * len(langs) // 4))
+
+
+def level(net: BiGru, held: list, quantile: float = QUANTILE, share: float = STANDS_OUT) -> float:
+    """The score below which no language stands out: an even split over the learned languages, raised by ``share`` of what a low
+    quantile of the held-out slices scores above it."""
+    even = 1 / len(net.langs)
+    if not held:
+        return even
+    best = net.pool([r.part.encode("utf-8", "replace") for r in held]).max(axis=1)
+    return even + share * max(0.0, float(np.quantile(best, quantile)) - even)
 
 
 def predictor(net: BiGru | None):
@@ -274,13 +286,17 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id",
     return rows.select("id", "held_out", "p.lang_pred", "p.score")
 
 
-def recognised(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that have a letter and score ``min_score`` for some learned language; text in an unlearned one mostly
-    scores that, too, and stays.  Other columns don't pass through Python.  With nothing to learn from, every row that has a letter stays."""
-    net = train(training_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
+def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that have a letter and in which some learned language stands out: the score reaches ``level``, set from held-out slices of the
+    training sample, relative to the number of languages.  Mixed but clean texts stay; texts that the network finds as much like one language as another go.
+    A text in an unlearned language may still look like a learned one, and stays then.  Other columns don't pass through Python.  With nothing to learn from,
+    or one language only, every row that has a letter stays."""
+    sample = training_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    held = sample[HELD - 1::HELD]
+    net = train([r for i, r in enumerate(sample) if i % HELD != HELD - 1])
     text = text_or_empty(docs, text_col)
-    if net is None:
+    if net is None or len(net.langs) == 1:
         return docs.where(text.rlike(r"\p{L}"))
     (name,) = fresh(docs, "p")
     out = docs.withColumn(name, predictor(net)(text))
-    return out.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= min_score)).select(*[docs[c] for c in docs.columns])
+    return out.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= level(net, held))).select(*[docs[c] for c in docs.columns])

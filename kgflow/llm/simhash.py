@@ -210,12 +210,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does: the smallest id's (null
-    last; then by text key), one row of equal rows."""
-    i, a, b, h1, h2 = fresh(docs, "_id", "_k1", "_k2", "_h1", "_h2")
+    last; then by text key), one row of equal rows.
+
+    Most rows are the only one of their component and just pass: the keys of all others (no texts) go in an anti-join, and of the
+    documents that stay in their place one row each is picked among the few rows that share their key."""
+    i, a, b, h1, h2, n = fresh(docs, "_id", "_k1", "_k2", "_h1", "_h2", "_n")
     marks = near_duplicates(docs, shingle, radius, id_col=id_col, text_col=text_col)
-    stay = (marks.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k1", "k2")).alias("s"))
-            .select(F.col("s.id").alias(i), F.col("s.k1").alias(a), F.col("s.k2").alias(b)))
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k1", "k2"))
+    several = marks.groupBy("root").agg(F.count(F.lit(1)).alias("c"), first.alias("s")).where("c > 1").select(F.col("root").alias("r"), "s")
+    keys = marks.join(several, marks.root == F.col("r")).select("id", "k1", "k2", (F.col("s.id").eqNullSafe(F.col("id")) & (F.col("s.k1") == F.col("k1")) & (F.col("s.k2") == F.col("k2"))).alias("first"))
+    keys = staged(keys.groupBy("id", "k1", "k2").agg(F.bool_or("first").alias("first")).select(F.col("id").alias(i), F.col("k1").alias(a), F.col("k2").alias(b), "first"), "simhash-groups")
     k1, k2 = key128(text_or_empty(docs, text_col))
     keyed = docs.withColumns({h1: k1, h2: k2})
-    kept = keyed.join(stay, (keyed[h1] == F.col(a)) & (keyed[h2] == F.col(b)) & keyed[id_col].eqNullSafe(F.col(i)), "left_semi")
-    return kept.dropDuplicates([id_col, h1, h2]).select(*docs.columns)
+
+    def same(k: DataFrame):
+        return (keyed[h1] == k[a]) & (keyed[h2] == k[b]) & keyed[id_col].eqNullSafe(k[i])
+
+    alone = keyed.join(keys, same(keys), "left_anti")
+    stay = keys.where("first")
+    picked = keyed.join(stay, same(stay), "left_semi").dropDuplicates([id_col, h1, h2])
+    return alone.unionByName(picked).select(*docs.columns)

@@ -1,12 +1,14 @@
 """The pipeline's stages on their own inputs."""
 
+import random
 import re
 from collections import Counter
 
 import corpus_pipeline
-from llm_rows import SF001
+from llm_rows import SF001, none, odd, odd_rows  # noqa: F401
 
-from kgflow.llm.common import read
+from kgflow.llm import langid, simhash
+from kgflow.llm.common import read, staged
 
 
 def rows(df):
@@ -34,3 +36,72 @@ def test_run(spark):
     assert out and {r.shard for r in out} <= set(range(24))
     slots = Counter((r.shard, r.slot) for r in out)
     assert max(slots.values()) == 1
+
+
+def brute_one_of_each(marks):
+    """All pairs of fingerprints -> the (id, fp) that stays of every component: the smallest id, null last."""
+    fps = sorted({m.fp for m in marks})
+    up = {f: f for f in fps}
+
+    def root(f):
+        while up[f] != f:
+            f = up[f]
+        return f
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= simhash.RADIUS:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    groups = {}
+    for m in marks:
+        groups.setdefault(root(m.fp), []).append(m)
+    return Counter(min(g, key=lambda m: (m.id is None, m.id or 0)).id for g in groups.values())
+
+
+def test_near_dedup_against_all_pairs(spark, odd):
+    for df in (odd, read(spark, SF001, "documents")):
+        want = brute_one_of_each(simhash.near_duplicates(df).collect())
+        kept = simhash.one_of_each(df)
+        assert Counter(r.doc_id for r in kept.collect()) == want and kept.columns == df.columns
+        assert not rows(kept) - rows(df)
+
+
+def test_near_dedup_moves_few_texts(spark):
+    plan = simhash.one_of_each(read(spark, SF001, "documents"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark, odd):
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF001)
+        if name != "shard":
+            assert out.columns == odd.columns, name
+            docs = staged(out, f"test-{name}")
+    got = out.collect()
+    assert got and Counter((r.shard, r.slot) for r in got).most_common(1)[0][1] == 1
+    assert {r.doc_id for r in got} <= {r.doc_id for r in odd.collect()}
+
+
+def test_stages_on_an_empty_table(spark, none):
+    docs = none
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF001)
+        assert out.count() == 0, name
+        docs = out if name != "shard" else docs
+
+
+def test_language_level_follows_the_languages(spark):
+    """Even splits go, clean and mixed texts stay, whatever the number of learned languages."""
+    rng = random.Random(7)
+    words = {"aa": "kata mono tero lina".split(), "bb": "schrif wald brunn kraft".split(), "cc": "xyzzy quuxq plugh zorkm".split()}
+    for langs in (["aa"], ["aa", "bb"], ["aa", "bb", "cc"]):
+        data = [(i * 10 + j, " ".join(rng.choice(words[g]) for _ in range(40)), g) for j, g in enumerate(langs) for i in range(60)]
+        data += [(9001, "", langs[0]), (9002, None, langs[0]), (9003, "12 34 ...", langs[0])]
+        df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+        kept = {r.doc_id for r in langid.recognised(df).collect()}
+        assert kept == {d for d, t, _ in data if t and any(c.isalpha() for c in t)}
+        net = langid.train(langid.training_sample(df))
+        held = langid.training_sample(df)[::5]
+        low = langid.level(net, held)
+        assert 1 / len(langs) <= low <= 1 / len(langs) + langid.STANDS_OUT * (1 - 1 / len(langs)) + 1e-9
+    assert langid.train(langid.training_sample(df)).f.uz.shape[0] == max(langid.HIDDEN, 2 * len(langs))

@@ -12,9 +12,9 @@ the trusted text and is only ever a Spark table.
 3. Lower orders use continuation counts (distinct left extensions).  Totals, the numbers of extensions
    seen once, twice and more, and the discounts come from grouped counts; each order's
    probabilities join its context table and the order below.
-4. The log probability of a text is a sum over the n-grams and contexts that the model has: the weight of the empty context for every
-   unit, each seen context's log weight, and for each seen n-gram what its log probability exceeds the lower order's
-   by.  Documents' n-grams and contexts of every order, summed per document, join that table by key in
+4. The log probability of a text is a sum over the n-grams and contexts that the model has: the weight of the empty context (a constant of
+   each model) for every unit, each seen context's log weight, and for each seen n-gram what its log probability exceeds the lower order's
+   by.  Documents' n-grams and contexts of every order, summed per document, that a filter of fixed size may hold join that table by key in
    one shuffle and are summed per document.
 5. Thresholds are quantiles of the trusted documents' perplexity (per unit) within each language
    (``low``, ``high``); languages without trusted documents use those over all.  Documents
@@ -24,12 +24,11 @@ Cases: null, empty and white texts have no perplexity and are not kept; a null l
 of its own; unlabelled documents are scored like others; with no trusted text nothing can be judged:
 perplexity null, kept if not blank; if all trusted text falls in one half, one model of it scores all; repeated ids or rows
 are scored each; other columns are ignored.
-
-``ngrams`` to ``document_logs`` are the former model of folded characters; ``quality`` does not use them.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -42,8 +41,7 @@ from pyspark.sql import functions as F
 
 from kgflow.llm.common import staged, text_or_empty
 
-ORDER = 4
-WORDS = 3                            # order of the model of words
+WORDS = 3                            # order of the model
 LOW, HIGH = 0.001, 0.995
 CACHE = 1 << 18
 CHUNK = 1 << 20                      # characters counted side by side
@@ -51,133 +49,7 @@ START = 1                            # unit before a text's first
 # fixed value: scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han), where each character is a unit
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNIT = re.compile(rf"[^\W\d_{UNSPACED}]+|\S")
-SHARDS = 8
-# fixed values: symbol classes
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-CLASSES = ("0123456789", ".", ",", "'’", "-–", "?!;:", "àáâãäå", "èéêë", "ìíîï", "òóôõö", "ùúûü", "çñßæøœ")
-SPACE, UPPER, OTHER, OTHER_LETTER, BOS = 26, 27, 28, 29, 30
-A = 31 + len(CLASSES)
-LOOKUP = 0x300
-
-
-def _symbol_table() -> np.ndarray:
-    t = np.full(LOOKUP, OTHER, dtype=np.uint8)
-    for cp in range(LOOKUP):
-        c = chr(cp)
-        if c.isspace():
-            t[cp] = SPACE
-        elif c.isupper():
-            t[cp] = UPPER
-        elif c.isalpha():
-            t[cp] = OTHER_LETTER
-    for i, c in enumerate(LETTERS):
-        t[ord(c)] = i
-    for i, cs in enumerate(CLASSES):
-        for c in cs:
-            if ord(c) < LOOKUP:
-                t[ord(c)] = 31 + i
-    return t
-
-
-SYMBOLS = _symbol_table()
-
-
-def ngrams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-gram ending at every character (starts padded) and the texts' lengths."""
-    pad = order - 1
-    n = np.array([len(t) for t in texts], dtype=np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    sym = np.where(points < LOOKUP, SYMBOLS[np.minimum(points, LOOKUP - 1)], OTHER_LETTER)
-    code = sym.astype(np.int32)
-    first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else n
-    for k in range(1, pad + 1):
-        back = np.full(len(sym), BOS, dtype=np.int32)
-        back[k:] = sym[:-k] if k < len(sym) else sym[:0]
-        for j in range(k):                  # the first k characters of a text look before its start
-            at = first[n > j] + j
-            back[at] = BOS
-        code += back * A ** k
-    return code, n
-
-
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = None
-    for pdf in batches:
-        for s in range(0, len(pdf), 1000):
-            code, _ = ngrams(pdf["t"].iloc[s:s + 1000].tolist())
-            total = np.bincount(code, minlength=A ** ORDER) if total is None else total + np.bincount(code, minlength=A ** ORDER)
-    if total is not None:
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"g": at.astype(np.int64), "c": total[at].astype(np.int64)})
-
-
-def probabilities(counts: DataFrame) -> DataFrame:
-    """``g``, ``c`` (top-order counts) -> ``n`` (order), ``g``, ``p`` of the seen n-grams of every order and
-    ``n``, ``g`` (context), ``back`` (weight left to the order below) of the seen contexts, as one table
-    with nulls: (n, g, p, back)."""
-    level, grams = {ORDER: staged(counts.groupBy("g").agg(F.sum("c").alias("c")), "kn-counts")}, None
-    for n in range(ORDER - 1, 0, -1):
-        level[n] = staged(level[n + 1].groupBy((F.col("g") % (A ** n)).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"kn-counts{n}")
-    lower = None
-    for n in range(1, ORDER + 1):
-        c = level[n]
-        of = {r.c: r.n for r in c.where("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}      # four rows
-        n1, n2, n3, n4 = (of.get(k, 0) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-        d = [min(max(k - (k + 1) * y * b / a if a else 0.5 * k, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        disc = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        ctx = c.groupBy(F.floor(F.col("g") / A).alias("h")).agg(F.sum("c").alias("total"), F.sum(disc).alias("freed"))
-        part = (c.withColumn("h", F.floor(F.col("g") / A)).join(ctx, "h")
-                .select("g", "h", ((F.col("c") - disc) / F.col("total")).alias("own"), (F.col("freed") / F.col("total")).alias("back")))
-        if lower is None:
-            p = part.select("g", (F.col("own") + F.col("back") / A).alias("p"))
-        else:
-            low = lower.select(F.col("g").alias("low_g"), F.col("p").alias("low_p"))
-            p = (part.withColumn("low_g", F.col("g") % (A ** (n - 1))).join(low, "low_g")
-                 .select("g", (F.col("own") + F.col("back") * F.col("low_p")).alias("p")))
-        lower = staged(p, f"kn-p{n}")
-        rows = lower.select(F.lit(n).alias("n"), "g", "p", F.lit(None).cast("double").alias("back")).unionByName(
-            ctx.select(F.lit(n).alias("n"), F.col("h").alias("g"), F.lit(None).cast("double").alias("p"), (F.col("freed") / F.col("total")).alias("back")))
-        grams = rows if grams is None else grams.unionByName(rows)
-    return grams
-
-
-def log_table(model: pd.DataFrame) -> np.ndarray | None:
-    """Log probability of every n-gram of the top order: seen ones as they are, others by the
-    weights of their contexts (A^ORDER float32)."""
-    if not len(model):
-        return None
-    below = np.full(1, 1.0 / A)
-    for n in range(1, ORDER + 1):
-        part = model[model["n"] == n]
-        back = np.ones(A ** (n - 1))
-        b = part[part["back"].notna()]
-        back[b["g"].to_numpy(dtype=np.int64)] = b["back"]
-        # p(w | h) = back(h) p(w | shorter h)
-        p = np.repeat(back, A) * (np.tile(below, A) if n > 1 else below[0])
-        s = part[part["p"].notna()]
-        p[s["g"].to_numpy(dtype=np.int64)] = s["p"]
-        below = p
-    return np.log(below).astype(np.float32)
-
-
-def shard(table: np.ndarray, shards: int = SHARDS) -> list[np.ndarray]:
-    """The table by ranges of contexts."""
-    size = -(-len(table) // shards)
-    return [table[s:s + size] for s in range(0, len(table), size)]
-
-
-def document_logs(texts: list[str], shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of log probabilities and number of characters per text."""
-    code, n = ngrams(texts)
-    owner = np.repeat(np.arange(len(texts)), n)
-    size, total = len(shards[0]), np.zeros(len(texts))
-    which = code // size
-    for k, s in enumerate(shards):
-        at = np.flatnonzero(which == k)
-        if len(at):
-            total += np.bincount(owner[at], s[code[at] - k * size], len(texts))
-    return total, n
+BLOOM_BITS = 25                      # of the filter of the model's keys: 4 MB in every task
 
 
 class Units(dict):
@@ -249,8 +121,37 @@ def word_counts(rows: DataFrame, order: int = WORDS) -> DataFrame:
     return rows.mapInPandas(run, "model long," + "".join(f"{u} long," for u in us) + "c long")
 
 
-def word_requests(rows: DataFrame, order: int = WORDS) -> DataFrame:
-    """``tk``, ``model``, ``t`` -> ``tk``, ``key``, ``n`` (times as an n-gram), ``m`` (times as a context), once per text and key."""
+def _probes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each key."""
+    k = key.view(np.uint64)
+    return k & np.uint64((1 << BLOOM_BITS) - 1), (k >> np.uint64(32)) & np.uint64((1 << BLOOM_BITS) - 1)
+
+
+def key_filter(table: DataFrame) -> np.ndarray:
+    """Filter (64-bit words) of the model's keys, of a fixed size: at most 2^(BLOOM_BITS - 6) rows reach the driver.  A larger model lets
+    more keys through that it does not have, and loses none."""
+    mask = F.lit((1 << BLOOM_BITS) - 1)
+    bits = F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask)))
+    rows = (table.select(bits.alias("p")).select(F.shiftright("p", 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63).cast("int")).alias("bit"))
+            .groupBy("at").agg(F.bit_or("bit").alias("bits")).collect())
+    words = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.int64)
+    words[[r["at"] for r in rows]] = [r["bits"] for r in rows]
+    return words.view(np.uint64)
+
+
+def _maybe(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    out = np.ones(len(key), dtype=bool)
+    for p in _probes(key):
+        out &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def word_requests(rows: DataFrame, order: int = WORDS, filter_words: np.ndarray | None = None) -> DataFrame:
+    """``tk``, ``model``, ``t`` -> ``tk``, ``key``, ``n`` (times as an n-gram), ``m`` (times as a context), once per text and key that the filter
+    may hold; and ``units``, the number of units of each text (times as the empty context), in a row of its own (its key is the text's, with
+    ``n`` and ``m`` 0, so that these rows spread, too)."""
+    held = rows.sparkSession.sparkContext.broadcast(filter_words) if filter_words is not None else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units = Units()
         for pdf in batches:
@@ -261,19 +162,25 @@ def word_requests(rows: DataFrame, order: int = WORDS) -> DataFrame:
                 some = np.flatnonzero(total)
                 if not len(some):
                     continue
-                out = [(some, seeds.view(np.int64)[some], np.zeros(len(some), dtype=np.int64), total[some])]
+                yield pd.DataFrame({"tk": tk[some], "key": tk[some], "n": np.int32(0), "m": np.int32(0), "units": total[some]})
+                out = []
                 before = np.r_[real[1:] & (text[1:] == text[:-1]), False]
                 for n in range(1, order + 1):
                     key = keys(seq, seeds[text], n)
                     is_n, is_m = real[n - 1:], before[n - 1:] & (n < order)
                     at = np.flatnonzero(is_n | is_m)
+                    if held is not None:
+                        at = at[_maybe(held.value, key[at])]
+                    if not len(at):
+                        continue
                     at = at[np.lexsort((key[at], text[n - 1:][at]))]
                     k, d = key[at], text[n - 1:][at]
                     first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
                     out.append((d[first], k[first], np.add.reduceat(is_n[at].astype(np.int64), first), np.add.reduceat(is_m[at].astype(np.int64), first)))
-                d, k, n, m = map(np.concatenate, zip(*out, strict=True))
-                yield pd.DataFrame({"tk": tk[d], "key": k, "n": n.astype(np.int32), "m": m.astype(np.int32)})
-    return rows.mapInPandas(run, "tk long, key long, n int, m int")
+                if out:
+                    d, k, n, m = map(np.concatenate, zip(*out, strict=True))
+                    yield pd.DataFrame({"tk": tk[d], "key": k, "n": n.astype(np.int32), "m": m.astype(np.int32), "units": np.int64(0)})
+    return rows.mapInPandas(run, "tk long, key long, n int, m int, units long")
 
 
 def _discounts(of: dict[int, int]) -> list[float]:
@@ -282,9 +189,9 @@ def _discounts(of: dict[int, int]) -> list[float]:
     return [min(max(k - (k + 1) * y * b / a if a else 0.5 * k, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def word_model(counts: DataFrame, order: int = WORDS) -> tuple[DataFrame, list[int]]:
-    """``word_counts`` -> the table (key, gain, back, units) and the models that have text.  ``gain``: log probability of the n-gram less
-    what its context's weight and the order below give; ``back``: log weight of a context; ``units`` 1: the empty context.  A key may have two rows."""
+def word_model(counts: DataFrame, order: int = WORDS) -> tuple[DataFrame, dict[int, float]]:
+    """``word_counts`` -> the table (key, gain, back) and, of each model that has text, the log weight of the empty context.  ``gain``: log probability of the
+    n-gram less what its context's weight and the order below give; ``back``: log weight of a context.  A key may have two rows."""
     spark = counts.sparkSession
     us = [f"u{i}" for i in range(order)]
     level = {order: staged(counts.groupBy("model", *us).agg(F.sum("c").alias("c")), "kn-counts")}
@@ -298,7 +205,7 @@ def word_model(counts: DataFrame, order: int = WORDS) -> tuple[DataFrame, list[i
     def key(*cols: str) -> Column:
         return F.xxhash64(F.col("model"), *cols).alias("key")
 
-    zero, table, lower = F.lit(0.0), None, None
+    zero, table, lower, empty = F.lit(0.0), None, None, {}
     for n in range(1, order + 1):
         own, c = us[order - n:], level[n]
         of: dict = {m: {} for m in models}
@@ -308,20 +215,22 @@ def word_model(counts: DataFrame, order: int = WORDS) -> tuple[DataFrame, list[i
         disc = by_model({m: F.when(F.col("c") == 1, x[0]).when(F.col("c") == 2, x[1]).otherwise(x[2]) for m, x in d.items()})
         ctx = c.groupBy("model", *own[:-1]).agg(F.sum("c").alias("total"), F.sum(disc).alias("freed"), F.count(F.lit(1)).alias("types"))
         if n == 1:
-            ctx = spark.createDataFrame([tuple(r) for r in ctx.collect()], ctx.schema)                 # at most two rows
+            got = ctx.collect()                                                                        # at most two rows
+            empty = {r.model: math.log(r.freed / r.total / (r.types + 1)) for r in got}
+            ctx = spark.createDataFrame([tuple(r) for r in got], ctx.schema)
             back = F.col("freed") / F.col("total") / (F.col("types") + 1)                    # an even share for each unit and for all unknown ones
             part = c.join(F.broadcast(ctx), "model").withColumn("below", back)
-            rows = ctx.select(key(), zero.alias("gain"), F.log(back).alias("back"), F.lit(1).alias("units"))
+            rows = None
         else:
             part = (c.join(ctx.hint("merge"), ["model", *own[:-1]])
                     .join(lower.select("model", *own[1:], F.col("p").alias("low")).hint("merge"), ["model", *own[1:]])
                     .withColumn("below", F.col("freed") / F.col("total") * F.col("low")))
-            rows = ctx.select(key(*own[:-1]), zero.alias("gain"), F.log(F.col("freed") / F.col("total")).alias("back"), F.lit(0).alias("units"))
+            rows = ctx.select(key(*own[:-1]), zero.alias("gain"), F.log(F.col("freed") / F.col("total")).alias("back"))
         lower = part.select("model", *own, ((F.col("c") - disc) / F.col("total") + F.col("below")).alias("p"), "below")
         lower = staged(lower, f"kn-p{n}") if n < order else lower
-        rows = rows.unionByName(lower.select(key(*own), F.log(F.col("p") / F.col("below")).alias("gain"), zero.alias("back"), F.lit(0).alias("units")))
-        table = rows if table is None else table.unionByName(rows)
-    return table, models
+        gains = lower.select(key(*own), F.log(F.col("p") / F.col("below")).alias("gain"), zero.alias("back"))
+        table = reduce(DataFrame.unionByName, [x for x in (table, rows, gains) if x is not None])
+    return table, empty
 
 
 def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", text_col: str = "text",
@@ -335,15 +244,18 @@ def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     rows = rows.withColumn("tk", F.xxhash64("t"))
     other = F.lit(1) - F.pmod("tk", F.lit(2))
     taught = rows.join(trusted.hint("merge"), "id", "left_semi").select((F.lit(1) - other).cast("long").alias("model"), "t")
-    table, models = word_model(word_counts(taught))
-    if not models:
+    table, empty = word_model(word_counts(taught))
+    if not empty:
         return rows.select("id", "lang", F.char_length("t").cast("long").alias("n_chars"), *(F.lit(None).cast("double").alias(c) for c in ("perplexity", "low", "high")),
                            (F.length(F.trim("t")) > 0).alias("keep"))
-    model = other if len(models) == 2 else F.lit(models[0])
-    asked = word_requests(rows.select("tk", model.cast("long").alias("model"), "t"))
+    model = other if len(empty) == 2 else F.lit(next(iter(empty)))
+    table = staged(table, "kn-model")
+    asked = word_requests(rows.select("tk", model.cast("long").alias("model"), "t"), filter_words=key_filter(table))
     # equal texts add up in both sums alike
-    sums = (asked.join(table.hint("merge"), "key").groupBy("tk")
-            .agg(F.sum(F.col("n") * F.col("gain") + F.col("m") * F.col("back")).alias("logs"), F.sum(F.col("m") * F.col("units")).alias("n")))
+    logs = F.coalesce(F.col("n") * F.col("gain") + F.col("m") * F.col("back"), F.lit(0.0))
+    sums = asked.join(table.hint("merge"), "key", "left").groupBy("tk").agg(F.sum(logs).alias("logs"), F.sum("units").alias("n"))
+    base = F.when(other == 0, F.lit(empty[0])).otherwise(F.lit(empty[1])) if len(empty) == 2 else F.lit(next(iter(empty.values())))
+    sums = sums.withColumn("logs", F.col("logs") + F.col("n") * base)
     scored = (rows.select("id", "lang", "tk", F.char_length("t").cast("long").alias("n_chars")).join(sums.hint("merge"), "tk", "left")
               .select("id", "lang", "n_chars", F.exp(-F.col("logs") / F.col("n")).alias("perplexity")))
     scored = staged(scored, "kn-scored")

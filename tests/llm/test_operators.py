@@ -256,37 +256,6 @@ def test_decontamination_does_not_depend_on_what_precedes(spark):
 
 
 # ---- 5
-def test_kneser_ney_sums_to_one_and_matches_dictionaries(spark):
-    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog"]
-    counts = spark.createDataFrame([(t,) for t in texts], "t string").mapInPandas(kn_quality._count, "g long, c long")
-    table = kn_quality.log_table(kn_quality.probabilities(counts).toPandas())
-    p = np.exp(table.astype(float)).reshape(-1, kn_quality.A).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-4)
-    A, N = kn_quality.A, kn_quality.ORDER
-    c = {N: Counter()}
-    for t in texts:
-        c[N].update(kn_quality.ngrams([t])[0].tolist())
-    for n in range(N - 1, 0, -1):
-        c[n] = Counter(g % A ** n for g in c[n + 1])
-
-    def prob(g, n):
-        if n == 0:
-            return 1 / A
-        of = Counter(c[n].values())
-        y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else 0.5
-        d = [min(max(k - (k + 1) * y * of[k + 1] / of[k] if of[k] else 0.5 * k, 0.05), k - 0.05) for k in (1, 2, 3)]
-        ext = {x: v for x, v in c[n].items() if x // A == g // A}
-        lower = prob(g % A ** (n - 1), n - 1)
-        if not ext:
-            return lower
-        total = sum(ext.values())
-        own = c[n][g]
-        return (own - d[min(own, 3) - 1] if own else 0) / total + sum(d[min(v, 3) - 1] for v in ext.values()) / total * lower
-
-    for g in [*list(c[N])[:40], 5, A ** N - 1, 12345, 777777]:
-        assert np.isclose(np.exp(table[g]), prob(g, N), rtol=1e-4)
-
-
 def test_quality_of_whole_texts(spark, odd, none):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(21, 0, 0), (22, 1, 1), (None, 1, 0), (3, 1, None)], "doc_id long, quality int, toxic int")
     got = kn_quality.quality(odd, labels).collect()
@@ -299,15 +268,6 @@ def test_quality_of_whole_texts(spark, odd, none):
     assert all(r.perplexity is None for r in kn_quality.quality(odd, labels.limit(0)).collect())
 
 
-def test_document_logs_join_all_shards():
-    rng = np.random.default_rng(0)
-    table = np.log(rng.random(kn_quality.A ** kn_quality.ORDER)).astype("f4")
-    texts = ["abc def", "", "Zürich, 1999!", "x"]
-    total, n = kn_quality.document_logs(texts, kn_quality.shard(table, 5))
-    want = [sum(float(table[g]) for g in kn_quality.ngrams([t])[0]) for t in texts]
-    assert np.allclose(total, want, rtol=1e-5) and n.tolist() == [7, 0, 13, 1]
-
-
 def brute_word_logs(taught, text):
     """Log probability of a text's units by dictionaries."""
     N, start = kn_quality.WORDS, kn_quality.START

@@ -591,8 +591,8 @@ class Bindings:
 
         Keep ``x`` if (no start OR some start <= hi) AND (no end OR some end >= lo);
         a year Y gives hi = Y-12-31 and lo = Y-01-01, ``NOW`` gives ``now`` for
-        both.  Written as one anti-join against the bound subjects that violate a
-        side; a value that does not parse as a date still counts as present and never satisfies.
+        both.  Written as one left join with the subjects' sides; a value that does not parse as a date still counts as present and
+        never satisfies.  Many instants at once: ``kgflow.operators.intervals``.
         """
         start_p, end_p = end_property(p_from)
         if str(at).upper() == "NOW":
@@ -603,11 +603,11 @@ class Bindings:
         day, when = F.col("o").try_cast("date"), {True: (start_p, lambda d: d <= F.lit(hi).cast("date")), False: (end_p, lambda d: d >= F.lit(lo).cast("date"))}
         sides = [self.kg.T(p).select(F.col("s").alias(X), F.lit(first).alias("first"), F.coalesce(fits(day), F.lit(False)).alias("fits"))
                  for first, (p, fits) in when.items()]
-        # only the bound subjects' intervals are grouped, both sides in one aggregate
-        bound = sides[0].unionByName(sides[1]).join(self.df.select(X), X, "left_semi")
-        bad = bound.groupBy(X).agg(F.max(F.when(F.col("first"), F.col("fits"))).alias("starts"),
-                                   F.max(F.when(~F.col("first"), F.col("fits"))).alias("ends")).filter("not starts or not ends")
-        return self._wrap(self.df.join(bad.select(X), X, "left_anti"))
+        # one row a subject, both sides in one aggregate; the bindings are planned once
+        sides = sides[0].unionByName(sides[1]).groupBy(F.col(X).alias("_x")).agg(F.max(F.when(F.col("first"), F.col("fits"))).alias("_starts"),
+                                                                               F.max(F.when(~F.col("first"), F.col("fits"))).alias("_ends"))
+        held = self.df.join(sides, _node() & (F.col(X) == F.col("_x")), "left")
+        return self._wrap(held.filter(F.coalesce("_starts", F.lit(True)) & F.coalesce("_ends", F.lit(True))).drop("_x", "_starts", "_ends"))
 
     def _ranked(self, path: list) -> tuple[DataFrame, str, Column]:
         """Bindings joined along the chain: the frame, its last variable and that one's numeric value (null if it has none).

@@ -226,18 +226,16 @@ def _exact_certificate(nodes: list[tuple[int, str]], edges: list[tuple[int, int,
     return _canonical(dict(nodes), edges)
 
 
-_CERT = T.StructType([T.StructField("qid", T.LongType()), T.StructField("cert", T.StringType())])
-
-
-def _cert_batches(it):
-    """Graphs with tied colours: the canonical text's hash."""
-    for pdf in it:
-        out = []
-        for ns, es in zip(pdf["tn"], pdf["edges"]):
-            nd = [(int(n["nid"]), n["colour"]) for n in ns]
+@F.pandas_udf("string")
+def _tied_certificate(nodes: pd.Series, edges: pd.Series) -> pd.Series:
+    """The canonical text's hash of graphs with tied colours; null where ``nodes`` is null."""
+    out: list = [None] * len(nodes)
+    for i, (ns, es) in enumerate(zip(nodes, edges, strict=True)):
+        if ns is not None:
+            nd = [(int(n["nid"]), n["c"]) for n in ns]
             ed = [(int(e["src"]), int(e["dst"]), e["relation"]) for e in (es if es is not None else [])]
-            out.append("x:" + hashlib.md5(_exact_certificate(nd, ed).encode("utf-8")).hexdigest())
-        yield pd.DataFrame({"qid": pdf["qid"].astype("int64"), "cert": out})
+            out[i] = "x:" + hashlib.md5(_exact_certificate(nd, ed).encode("utf-8")).hexdigest()
+    return pd.Series(out, dtype=object)
 
 
 def certificates(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3) -> DataFrame:
@@ -247,15 +245,11 @@ def certificates(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3) -> DataF
     labelled = F.transform("edges", lambda e: F.concat_ws(">", F.element_at(cm, e["src"]), e["relation"],
                                                           F.element_at(cm, e["dst"])))
     discrete_cert = F.concat(F.lit("d:"), F.col("bucket"), F.lit("#"), F.array_join(F.array_sort(labelled), ";"))
-    # Discrete graphs: certificate in Spark.  Tied graphs only: exact search
-    # in Arrow batches.  Both branches share the packing shuffle (exchange
-    # reuse); the refinement itself is row-local and cheap to repeat.
-    d = b.filter("discrete").select(F.col("qid").cast("long").alias("qid"), discrete_cert.alias("cert"))
-    tied = b.filter(~F.col("discrete")).select(
-        F.col("qid").cast("long").alias("qid"),
-        F.transform("nodes", lambda n: F.struct(n["nid"].alias("nid"), n["c"].alias("colour"))).alias("tn"),
-        "edges")
-    return d.unionByName(tied.mapInPandas(_cert_batches, _CERT))
+    # Discrete graphs: certificate in Spark.  Tied graphs only: exact search in Arrow batches, which get nulls for the others.  One plan for
+    # both, so that graphs are packed and refined once.
+    tied = _tied_certificate(F.when(~F.col("discrete"), F.col("nodes")), F.when(~F.col("discrete"), F.col("edges")))
+    b = b.select(F.col("qid").cast("long").alias("qid"), "discrete", F.when(F.col("discrete"), discrete_cert).alias("d"), tied.alias("x"))
+    return b.select("qid", F.when(F.col("discrete"), F.col("d")).otherwise(F.col("x")).alias("cert"))
 
 
 def equivalent_queries(qnodes: DataFrame, qedges: DataFrame, rounds: int = 3) -> DataFrame:

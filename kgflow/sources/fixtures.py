@@ -23,10 +23,8 @@ INVERSE_PAIRS = [
     ("eligible_for", "target_group_for_document"),
 ]
 RELATIONS = [r for pair in INVERSE_PAIRS for r in pair]
-# Relation order used by F2 when a part key picks a relation (key mod 10).
-F2_RELATION_CYCLE = ["requirement", "required_for", "services", "services_by",
-                     "target_group", "target_group_for", "issued_by", "issues",
-                     "eligible_for", "target_group_for_document"]
+# F2 picks a part's relation in this order (key mod 10).
+F2_RELATION_CYCLE = RELATIONS
 
 
 def _date_str(c: str):

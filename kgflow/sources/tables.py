@@ -6,6 +6,8 @@ reach the Parquet scan.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -13,20 +15,27 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-_READS: dict = {}
+#: readers of each session, which go when the session does
+_READS: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One lazy DataFrame per (session, folder, table): the file listing and
-    footer schema are read once, not once per branch that uses the table."""
+    footer schema are read once, not once per branch that uses the table.  After a folder was rewritten, ``forget`` it."""
     if name not in TABLES:
         raise KeyError(name)
-    key = (id(spark), sf_dir.rstrip("/"), name)
-    df = _READS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        _READS[key] = df
-    return df
+    known = _READS.setdefault(spark, {})
+    key = (sf_dir.rstrip("/"), name)
+    if key not in known:
+        known[key] = spark.read.parquet(f"{key[0]}/{name}.parquet")
+    return known[key]
+
+
+def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Read the files of a folder (all, if none is given) anew from now on."""
+    known = _READS.get(spark, {})
+    for key in [k for k in known if sf_dir is None or k[0] == sf_dir.rstrip("/")]:
+        del known[key]
 
 
 class Tables:

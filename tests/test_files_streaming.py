@@ -86,3 +86,24 @@ def test_contexts_as_array_and_tsv(spark, tmp_path):
     pd.DataFrame({"question": ["q, 1", "r"], "class_pred": [json.dumps({"m": "d"}), "{}"]}).to_csv(tmp_path / "x.tsv", sep="\t")
     rows = S.read_contexts(spark, str(tmp_path / "x.tsv"), fmt="tsv").orderBy("idx").collect()
     assert [(r.idx, r.question, r.contexts) for r in rows] == [(0, "q, 1", {"m": "d"}), (1, "r", {})]
+
+
+def test_rewritten_tables_are_read_anew(spark, tmp_path):
+    from kgflow.sources.tables import forget, table
+    for n in (3, 5):
+        spark.range(n).withColumnRenamed("id", "r_regionkey").write.mode("overwrite").parquet(str(tmp_path / "region.parquet"))
+        forget(spark, str(tmp_path))
+        assert table(spark, str(tmp_path), "region").count() == n
+    assert table(spark, str(tmp_path), "region") is table(spark, str(tmp_path) + "/", "region")
+
+
+def test_prediction_lines_and_aliases(spark, tmp_path):
+    from kgflow.sources import files
+    preds = spark.createDataFrame([(0, "q, \"a\"", "['x\ny']"), (1, None, "")], files.PREDICTIONS)
+    files.write_results(preds, str(tmp_path / "p"), "json")
+    assert sorted(files.read_predictions(spark, str(tmp_path / "p"), fmt="jsonl").collect()) == sorted(preds.collect())
+    vectors = spark.createDataFrame([("A", 0, 7, [1.0]), ("B", 1, 7, [2.0]), ("B", 2, 8, [3.0])], "class string, row_id long, cluster_id long, embedding array<float>")
+    aliases = spark.createDataFrame([("A", 7, "a7"), ("B", 7, "b7"), ("B", 7, "b7 too")], "class string, cluster_id long, alias string")
+    files.write_entity_index(vectors, aliases, str(tmp_path / "ix"))
+    v, a = files.load_entity_index(spark, str(tmp_path / "ix"))
+    assert sorted((r.row_id, r.alias or "") for r in files.with_aliases(v, a).collect()) == [(0, "a7"), (1, "b7"), (1, "b7 too"), (2, "")]

@@ -715,13 +715,16 @@ class Bindings:
 def with_inverses(triples: DataFrame, inverse: DataFrame, limit: int = 100000) -> DataFrame:
     """Add ``o p_inv s`` for every IRI triple whose ``p`` has an inverse.
 
-    ``inverse(p, p_inv)`` is schema-sized (one row per predicate); it is read
+    A copy at rest (``read_layout``) is pruned when the query runs: the pairs are the build side of joins on its partition column, however many
+    they are, and nothing is read on the driver.  Of any other table ``inverse(p, p_inv)``, schema-sized (one row per predicate), is read
     once and, up to ``limit`` pairs, applied as a map literal, so the predicate
-    test reaches the triples' partitions / branches; a longer table is joined.  A predicate
+    test reaches the triples' branches; a longer table is joined.  A predicate
     may have several inverses.  Only the new triples are de-duplicated
     against the existing triples of the inverse predicates, so the bulk of
     the graph is not shuffled.
     """
+    if PART in triples.columns:
+        return _with_inverses_at_rest(triples, inverse)
     iris = triples.filter(F.col("o_kind") == "iri")
     pairs = [(r.p, r.p_inv) for r in inverse.select("p", "p_inv").distinct().limit(limit + 1).collect()]
     if len(pairs) > limit:            # not schema-sized: an ordinary join
@@ -742,6 +745,26 @@ def with_inverses(triples: DataFrame, inverse: DataFrame, limit: int = 100000) -
     return triples.unionByName(new.select(*triples.columns))
 
 
+def _with_inverses_at_rest(triples: DataFrame, inverse: DataFrame) -> DataFrame:
+    columns = [c for c in triples.columns if c != PART]
+    # staged, so that the planner sees how small they are; a predicate is in a partition of its own or among the rare ones
+    path = shared_path(triples.sparkSession, "inverse-pairs")
+    named = inverse.select(F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("p").alias("_q"), "p_inv"),
+                                             F.struct(F.lit(2).alias("side"), F.col("p_inv").alias("_q"), F.lit(None).cast("string").alias("p_inv")))).alias("e")).select("e.*")
+    named = named.select("side", "_q", "p_inv", F.explode(F.array(partition_of(F.col("_q")), F.lit(OTHER))).alias("_part")).distinct()
+    named.write.parquet(path)
+    named = triples.sparkSession.read.schema(named.schema).parquet(path)
+
+    def read(side: int, how: str) -> DataFrame:
+        some = named.filter(F.col("side") == side)
+        return triples.join(some, (F.col(PART) == F.col("_part")) & (F.col("p") == F.col("_q")), how)
+
+    flipped = read(1, "inner").filter(F.col("o_kind") == "iri")
+    added = flipped.select(F.col("o").alias("s"), F.col("p_inv").alias("p"), F.col("s").alias("o"), "o_kind", "o_datatype", "o_lang").distinct()
+    new = added.join(read(2, "left_semi").select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+    return triples.select(*columns).unionByName(new.select(*columns))
+
+
 def classify_terms(df: DataFrame, term: str, types: DataFrame, relations: DataFrame,
                    out: str = "term_kind") -> DataFrame:
     """``^^`` -> literal, known type -> class, known relation -> relation,

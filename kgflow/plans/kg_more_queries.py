@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgflow.operators import cycles, intervals
-from kgflow.operators.graph import KG, Lit, narrow_class, subtype_closure
+from kgflow.operators.graph import KG, Lit, narrow_class, subtype_closure, with_inverses
 from kgflow.plans.fixture_sql import with_triples
-from kgflow.plans.kg_queries import NATION, PRICE_CENTS, REGION, kg
+from kgflow.plans.kg_queries import NATION, PRICE_CENTS, REGION, SQL_INVERSE_PAIRS, inverse_table, kg
 from kgflow.session import shared_path
 from kgflow.sources.fixtures import kg_sources
 from kgflow.sources.tables import Tables
-from kgflow.sources.triples import Attr, to_triples, write_layouts
+from kgflow.sources.triples import Attr, read_layout, to_triples, write_layouts
 
 def n_rows():
     return F.count(F.lit(1)).alias("n")
@@ -149,6 +149,22 @@ join triples a on a.p = 'in_nation' and a.o = 'nat_' || n_nationkey join triples
 join triples c on c.p = 'status' and c.s = b.s where n_nationkey % 2 = 0 group by 1""")
 
 
+def kg_with_inverses_at_rest(spark, sf):
+    """K25 over a copy at rest: only the partitions of the predicates with an inverse are read twice; triples counted per predicate."""
+    t = Tables(spark, sf)
+    src = kg_sources(t)
+    path = shared_path(spark, "kg")
+    write_layouts(KG(sources={p: src[p] for p in ("in_region", "in_nation", "placed_by", "status", "label")}, spark=spark).triples, path, tail_rows=100)
+    return with_inverses(read_layout(spark, path, "s"), inverse_table(spark)).groupBy("p").agg(n_rows())
+
+
+SQL_WITH_INVERSES_AT_REST = with_triples(f"""
+, kept as (select * from triples where p in ('in_region', 'in_nation', 'placed_by', 'status', 'label')),
+inv as (select * from {SQL_INVERSE_PAIRS}),
+added as (select distinct t.o as s, inv.p_inv as p, t.s as o from kept t join inv on t.p = inv.p where t.o_kind = 'iri')
+select p, count(*) as n from (select s, p, o from kept union all select * from added) group by p""")
+
+
 # --- K15 per group ----------------------------------------------------------------------
 
 def kg_argmax_per_nation(spark, sf):
@@ -300,6 +316,7 @@ QUERIES = {
     "kg_object_lookup": (kg_object_lookup, SQL_OBJECT_LOOKUP),
     "kg_paths_at_rest": (kg_paths_at_rest, SQL_PATHS_LITERAL),
     "kg_paths_literal": (kg_paths_literal, SQL_PATHS_LITERAL),
+    "kg_with_inverses_at_rest": (kg_with_inverses_at_rest, SQL_WITH_INVERSES_AT_REST),
     "kg_argmax_per_nation": (kg_argmax_per_nation, SQL_ARGMAX_PER_NATION),
     "kg_argmin_per_customer": (kg_argmin_per_customer, SQL_ARGMIN_PER_CUSTOMER),
     "kg_subtype_closure": (kg_subtype_closure, SQL_SUBTYPE_CLOSURE),

@@ -173,6 +173,19 @@ def test_paths_at_rest_read_only_their_predicates(spark, tmp_path):
     assert files and all(n <= 4 for n in files)              # of 40 partitions in each copy: the predicate's, in a file or a few
 
 
+def test_inverses_at_rest(spark, tmp_path):
+    from kgflow.operators.graph import with_inverses
+    rows = [(f"s{i}", f"p{i % 30}", f"o{i % 50}", "iri", "", "") for i in range(900)] + [("o1", "back", "s1", "iri", "", ""), ("x", "p1", "lit", "literal", "", "")]
+    df = spark.createDataFrame(rows, TRIPLE_SCHEMA)
+    write_layouts(df, str(tmp_path / "kg"), tail_rows=20)
+    inverse = spark.createDataFrame([("p1", "back"), ("p1", "back2"), ("p3", "p4"), ("rare", "x")], "p string, p_inv string")
+    out = with_inverses(read_layout(spark, str(tmp_path / "kg"), "s"), inverse)
+    want = with_inverses(df, inverse)
+    assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert _plan(out).count("dynamicpruning") >= 2
+    assert min(_scans(out, "numFiles", "part#")) <= 6
+
+
 def _scans(df, metric, mark=""):
     """A metric of every scan whose text has ``mark``, after running ``df``; constant starts of a chain come last."""
     plan = df._jdf.queryExecution().executedPlan()

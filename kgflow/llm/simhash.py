@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgflow.llm.common import fresh, key128, partitions, staged, text_or_empty
@@ -208,13 +208,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(label, "fp").select("id", "k1", "k2", "fp", "root", "component_id")
 
 
+WORDS = 1 << 16                      # 64-bit words of the filter of keys: 512 KB
+
+
+def _mask(k2) -> Column:
+    """Two bits of a key's word."""
+    def bit(n: int) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k2, n).bitwiseAND(63).cast("int"))
+    return bit(0).bitwiseOR(bit(6))
+
+
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does: the smallest id's (null
     last; then by text key), one row of equal rows.
 
-    Most rows are the only one of their component and just pass: the keys of all others (no texts) go in an anti-join, and of the
-    documents that stay in their place one row each is picked among the few rows that share their key."""
-    i, a, b, h1, h2, n = fresh(docs, "_id", "_k1", "_k2", "_h1", "_h2", "_n")
+    Most rows are the only one of their component.  A filter of fixed size over the keys of all others (no texts) lets them pass where they are; only
+    rows that it may hold are written out and meet those keys exactly: an anti-join for what passed by chance, and one row for each document that
+    stays in its group's place."""
+    i, a, b, h1, h2, w, bits = fresh(docs, "_id", "_k1", "_k2", "_h1", "_h2", "_w", "_bits")
     marks = near_duplicates(docs, shingle, radius, id_col=id_col, text_col=text_col)
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k1", "k2"))
     several = marks.groupBy("root").agg(F.count(F.lit(1)).alias("c"), first.alias("s")).where("c > 1").select(F.col("root").alias("r"), "s")
@@ -222,11 +233,16 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, i
     keys = staged(keys.groupBy("id", "k1", "k2").agg(F.bool_or("first").alias("first")).select(F.col("id").alias(i), F.col("k1").alias(a), F.col("k2").alias(b), "first"), "simhash-groups")
     k1, k2 = key128(text_or_empty(docs, text_col))
     keyed = docs.withColumns({h1: k1, h2: k2})
+    # at most WORDS rows
+    held = keys.groupBy(F.pmod(F.col(a), F.lit(WORDS)).alias(w)).agg(F.bit_or(_mask(F.col(b))).alias(bits))
+    tested = keyed.join(F.broadcast(held), F.pmod(F.col(h1), F.lit(WORDS)) == F.col(w), "left")
+    maybe = F.coalesce(F.col(bits).bitwiseAND(_mask(F.col(h2))) == _mask(F.col(h2)), F.lit(False))
+    rest = staged(tested.where(maybe).select(*docs.columns, h1, h2), "simhash-rest")
 
     def same(k: DataFrame):
-        return (keyed[h1] == k[a]) & (keyed[h2] == k[b]) & keyed[id_col].eqNullSafe(k[i])
+        return (rest[h1] == k[a]) & (rest[h2] == k[b]) & rest[id_col].eqNullSafe(k[i])
 
-    alone = keyed.join(keys, same(keys), "left_anti")
+    alone = rest.join(keys, same(keys), "left_anti")
     stay = keys.where("first")
-    picked = keyed.join(stay, same(stay), "left_semi").dropDuplicates([id_col, h1, h2])
-    return alone.unionByName(picked).select(*docs.columns)
+    picked = rest.join(stay, same(stay), "left_semi").dropDuplicates([id_col, h1, h2])
+    return tested.where(~maybe).select(*docs.columns).unionByName(alone.unionByName(picked).select(*docs.columns))

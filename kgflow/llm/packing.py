@@ -10,7 +10,7 @@
    powers of two, so that no padding is left.
 
 A word's tokens do not depend on its neighbours (the tokenizer drops white space and never merges across it; ``word_rules``
-reads that from its file, others are refused), so a task encodes each distinct word once and builds documents by array operations.
+reads that from its file, others are refused), so a worker encodes each distinct word once, in a bounded table, and builds documents by array operations.
 
 Cases: a null or empty text is the closing id alone; ids may be null or repeated, each row is packed; special strings
 inside texts are read as the library does by default; very long texts are encoded in slices and cut into windows;
@@ -24,7 +24,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -41,7 +41,7 @@ MERGE = 1024                         # windows of leftovers a task takes
 CLOSING = 1                          # id after each document
 TOKENIZER = "word_bpe_49k.json"
 SLICE = 1 << 20                      # characters encoded side by side
-CACHE = 1 << 19                      # words remembered
+CACHE = 3 << 18                      # words remembered
 WORDS = re.compile(WORD)
 # fixed value: the pre-tokenizer's pattern under which a run of letters always ends a word
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -133,6 +133,12 @@ class WordIds:
         return self.flat[where + np.arange(len(where))], np.r_[0, stops][np.cumsum(sizes)]
 
 
+@lru_cache(maxsize=1)
+def coder_of(path: str, closing: int) -> WordIds:
+    """One for each Python worker: its table of words serves all tasks that the worker runs."""
+    return WordIds(path, closing)
+
+
 def slices(text: str, size: int = SLICE) -> Iterator[str]:
     """The text in parts of about ``size`` characters, cut at white space."""
     at = 0
@@ -265,7 +271,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, open_wi
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, windows, count = None, OpenWindows(window, open_windows), 0
         for pdf in batches:
-            coder = coder or WordIds(path, closing)
+            coder = coder or coder_of(path, closing)
             done = []
             for doc, ids in zip(pdf["id"].tolist(), documents_ids(pdf["t"].tolist(), coder), strict=True):
                 done += windows.add((doc, len(ids)), 0, ids)

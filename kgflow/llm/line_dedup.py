@@ -18,7 +18,7 @@ all their lines except in the largest doc_id that holds them.
 5. Dropped positions become one compressed keep bitmap per document, which is
    what the operator returns; ``apply_bitmap`` gives the text.
 
-Cases: a null or empty text is one empty line; a null doc_id counts as one document,
+Cases: ids are integers (the largest keeps its lines; text that is no number fails the job); a null or empty text is one empty line; a null doc_id counts as one document,
 below all others; rows with equal doc_id are one document for the count, and each
 keeps its own bitmap (documents are told apart by id and text); equal rows get equal
 bitmaps; an empty table gives no rows; other columns are ignored.

@@ -42,22 +42,26 @@ def _part(c: Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(c), parts).cast("int")
 
 
-def triangles(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Simple undirected graph ``u``, ``v`` -> every triangle once: ``a``, ``b``, ``c`` (``a`` its node of lowest degree)."""
+def triangles(edges: DataFrame, chunk: int = CHUNK, places: bool = False) -> DataFrame:
+    """Simple undirected graph ``u``, ``v`` -> every triangle once: ``a``, ``b``, ``c`` (``a`` its node of lowest degree).  With ``places`` nodes
+    begin with their place in a typed pattern (0 to 2), and only triangles over all three are found: an edge meets lists of the third place only."""
     e = directed(edges).select("u", "v")
-    # parts of a node's out-list: a power of two, so that the parts of two nodes nest
-    size = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.when(F.col("n") > chunk, F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / chunk)))).otherwise(F.lit(1)).cast("int")
-    split = size.select(F.col("u").alias("s"), parts.alias("parts"))
-    lists = (e.join(split, F.col("u") == F.col("s")).groupBy("u", "parts", _part(F.col("v"), F.col("parts")).alias("part"))
+    e = e.withColumn("kind", _place("v") if places else F.lit(0)).withColumn("asks", 3 - _place("u") - _place("v") if places else F.lit(0))
+    # parts of a node's out-list: a power of two, so that the parts of two nodes nest; the nodes with several are at most edges / chunk
+    size = e.groupBy("u", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+    split = F.broadcast(size.select(F.col("u").alias("s"), F.col("kind").alias("k"), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / chunk))).cast("int").alias("parts")))
+
+    def parted(rows: DataFrame, node: str, kind: str, name: str) -> DataFrame:
+        met = rows.join(split, (F.col(node) == F.col("s")) & (F.col(kind) == F.col("k")), "left")
+        return met.select(*rows.columns, F.coalesce("parts", F.lit(1)).alias(name))
+    lists = (parted(e, "u", "kind", "parts").groupBy("u", "kind", _part(F.col("v"), F.col("parts")).alias("part"))
              .agg(F.array_sort(F.collect_list("v")).alias("out")))
     # the node at the head of an edge has no list where it is the highest of its neighbourhood: no triangle there
-    pairs = (e.join(split.select(F.col("s").alias("u"), F.col("parts").alias("pu")), "u")
-             .join(split.select(F.col("s").alias("v"), F.col("parts").alias("pv")), "v"))
-    pairs = pairs.select("u", "v", "pu", "pv", F.explode(F.sequence(F.lit(0), F.greatest("pu", "pv") - 1)).alias("part"))
-    pairs = (pairs.withColumn("a", F.pmod("part", F.col("pu")).cast("int")).withColumn("b", F.pmod("part", F.col("pv")).cast("int"))
-             .join(lists.select("u", F.col("part").alias("a"), F.col("out").alias("lu")), ["u", "a"])
-             .join(lists.select(F.col("u").alias("v"), F.col("part").alias("b"), F.col("out").alias("lv")), ["v", "b"]))
+    pairs = parted(parted(e.select("u", "v", "asks"), "u", "asks", "pu"), "v", "asks", "pv")
+    pairs = pairs.select("u", "v", "asks", "pu", "pv", F.explode(F.sequence(F.lit(0), F.greatest("pu", "pv") - 1)).alias("part"))
+    pairs = pairs.select("u", "v", "asks", F.pmod("part", F.col("pu")).cast("int").alias("a"), F.pmod("part", F.col("pv")).cast("int").alias("b"))
+    pairs = (pairs.join(lists.select("u", F.col("kind").alias("asks"), F.col("part").alias("a"), F.col("out").alias("lu")), ["u", "asks", "a"])
+             .join(lists.select(F.col("u").alias("v"), F.col("kind").alias("asks"), F.col("part").alias("b"), F.col("out").alias("lv")), ["v", "asks", "b"]))
     third = pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), F.explode(F.array_intersect("lu", "lv")).alias("c"))
     return third
 
@@ -80,6 +84,26 @@ def four_cycles(edges: DataFrame) -> DataFrame:
     return (p.select("v", "w", F.col("u").alias("a")).join(p.select("v", "w", F.col("u").alias("b")), ["v", "w"]).where("a < b"))
 
 
+def _typed_four_cycles(edges: DataFrame, opposite: dict[int, int]) -> DataFrame:
+    """``four_cycles`` of nodes that begin with their place (0 to 3), one node a place.  A top has lower neighbours at both places beside its own, and a path's
+    ends are at opposite places; of the two paths of a cycle one goes by the lower of the two other places, so each path is on one side of the join."""
+    e = directed(edges)
+    across = F.create_map(*[F.lit(x) for kv in opposite.items() for x in kv])
+    tops = e.groupBy("v").agg(F.min(_place("u")).alias("i"), F.max(_place("u")).alias("j")).where("i <> j").select("v")
+    up = e.join(tops, "v", "left_semi").select(F.col("u").alias("m"), F.struct(F.col("dv").alias("d"), F.col("v").alias("n")).alias("top"))
+    low = F.struct(F.col("du").alias("d"), F.col("u").alias("n"))
+    high = F.struct(F.col("dv").alias("d"), F.col("v").alias("n"))
+    both = e.select(F.col("u").alias("m"), high.alias("end")).unionByName(e.select(F.col("v").alias("m"), low.alias("end")))
+    paths = up.join(both, "m").where((F.col("end") < F.col("top")) & (_place("end.n") == across[_place("top.n")]))
+    p = paths.select(F.col("top.n").alias("v"), F.col("m").alias("u"), F.col("end.n").alias("w"))
+    first = _place("u") < across[_place("u")]
+    return p.where(first).select("v", "w", F.col("u").alias("a")).join(p.where(~first).select("v", "w", F.col("u").alias("b")), ["v", "w"])
+
+
+def _place(node) -> Column:
+    return F.substring(node, 1, 1).cast("int")
+
+
 def _marked(kg, pattern: tuple, place: dict[str, int]) -> DataFrame:
     s, p, o = pattern
     t = kg.T(p).filter(F.col("o_kind") == "iri")
@@ -103,11 +127,13 @@ def _by_place(nodes: Column, names: list[str]) -> list[Column]:
 def match_triangle(kg, patterns: list[tuple], chunk: int = CHUNK) -> DataFrame:
     """K23 for three patterns ``(?a, r, ?b)`` that close a triangle (all terms nodes): one row per match, a column per variable."""
     e, names = _edges(kg, patterns, 3)
-    return triangles(e, chunk).select(*_by_place(F.array("a", "b", "c"), names))
+    return triangles(e, chunk, places=True).select(*_by_place(F.array("a", "b", "c"), names))
 
 
 def match_four_cycle(kg, patterns: list[tuple]) -> DataFrame:
     """K23 for four patterns that close a cycle of four variables."""
     e, names = _edges(kg, patterns, 4)
-    found = four_cycles(e).where(F.substring("a", 1, 1) != F.substring("b", 1, 1))
-    return found.where(F.substring("v", 1, 1) != F.substring("w", 1, 1)).select(*_by_place(F.array("v", "w", "a", "b"), names))
+    at = {x: i for i, x in enumerate(names)}
+    beside = {i: {at[o if s == x else s] for s, _, o in patterns if x in (s, o)} for x, i in at.items()}
+    found = _typed_four_cycles(e, {i: ({0, 1, 2, 3} - near - {i}).pop() for i, near in beside.items()})
+    return found.select(*_by_place(F.array("v", "w", "a", "b"), names))

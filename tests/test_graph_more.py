@@ -279,3 +279,18 @@ def test_valid_at_equals_the_anti_join(spark):
     want = {(q, s) for q, at in instants if at for s in subjects if fits(s, "v.from", lambda d: d <= at) and fits(s, "v.to", lambda d: d >= at)}  # noqa: B023
     got = [tuple(r) for r in df.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("chunk", [4096, 2])
+def test_places_leave_no_path_between_like_nodes(spark, chunk):
+    """Lists hold the third place only; a four-cycle's top needs lower neighbours at both places beside it."""
+    rng = random.Random(9)
+    pick = lambda a, b, n: {(f"{a}|{rng.randrange(9)}", f"{b}|{rng.randrange(9)}") for _ in range(n)}
+    ab, bc, ac = pick(0, 1, 40), pick(1, 2, 30), pick(0, 2, 20)
+    df = spark.createDataFrame(sorted(ab | bc | ac), "u string, v string")
+    want = sorted((a, b, c) for a, b in ab for b2, c in bc if b2 == b and (a, c) in ac)
+    assert sorted(tuple(sorted(r)) for r in cycles.triangles(df, chunk, places=True).collect()) == want and want
+    cd, ad = pick(2, 3, 40), pick(0, 3, 20)
+    df = spark.createDataFrame(sorted(ab | bc | cd | ad), "u string, v string")
+    want = sorted((a, b, c, d) for a, b in ab for b2, c in bc if b2 == b for c2, d in cd if c2 == c and (a, d) in ad)
+    assert sorted(tuple(sorted(r)) for r in cycles._typed_four_cycles(df, {0: 2, 2: 0, 1: 3, 3: 1}).collect()) == want and want

@@ -217,10 +217,46 @@ def _gram_at(n: int):
     return lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_t", i, n), " ").alias("gram"))
 
 
+def _may_match(n: int):
+    return lambda i: ~F.array_contains(F.slice("_t", i, n), -1)
+
+
+def _coded(rows: DataFrame) -> DataFrame:
+    """Tokens ``_p`` and ``_r`` as numbers within their row; -1 for those that the other side has not, whose n-grams can't match."""
+    @F.arrow_udf("struct<p: array<int>, r: array<array<int>>>")
+    def code(tokens: pa.Array, refs: pa.Array) -> pa.Array:
+        out = [_row_codes(t, r) for t, r in _slices(tokens, refs)]
+        kind = pa.struct([("p", pa.list_(pa.int32())), ("r", pa.list_(pa.list_(pa.int32())))])
+        return pa.concat_arrays(out) if out else pa.array([], kind)
+    coded = rows.withColumn("_c", code("_p", "_r"))
+    return coded.select(*[c for c in rows.columns if c not in ("_p", "_r")], F.col("_c.p").alias("_p"), F.col("_c.r").alias("_r"))
+
+
+def _row_codes(tokens: pa.Array, refs: pa.Array) -> pa.Array:
+    lists, inner = refs.flatten(), _lengths(refs)
+    n, each = _lengths(tokens), _lengths(lists)
+    filled = [x for x in (tokens.flatten(), lists.flatten()) if len(x)]
+    words = (pa.concat_arrays(filled) if filled else pa.array([], pa.string())).dictionary_encode()
+    row = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.repeat(np.arange(len(n)), inner), each)])
+    key = row * max(1, len(words.dictionary)) + words.indices.to_numpy(zero_copy_only=False)
+    mine, theirs = key[:n.sum()], key[n.sum():]
+    shared = np.intersect1d(mine, theirs)                     # by row, so a code is the place among the row's
+    first = np.searchsorted(shared, np.arange(len(n)) * max(1, len(words.dictionary)))
+
+    def lists_of(keys: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        at = np.minimum(np.searchsorted(shared, keys), max(len(shared) - 1, 0))
+        codes = np.where(shared[at] == keys, at - first[rows], -1) if len(shared) else np.full(len(keys), -1)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(codes, pa.int32()))
+    p = lists_of(mine, row[:len(mine)], n)
+    r = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(inner)]), pa.int32()), lists_of(theirs, row[len(mine):], each))
+    return pa.StructArray.from_arrays([p, r], ["p", "r"])
+
+
 def _gram_rows(texts: DataFrame, keys: list[str], tokens: str, max_n: int, piece: int) -> DataFrame:
     """``keys``, ``n``, ``gram``, ``c``: the n-grams of ``tokens`` of every order, counted.  A text is cut into ranges of
-    ``piece`` tokens that overlap by ``max_n`` - 1, so the ranges of one text go to many tasks and each n-gram begins in one range."""
-    size = F.size(tokens)
+    ``piece`` tokens that overlap by ``max_n`` - 1, so the ranges of one text go to many tasks and each n-gram begins in one range.  Of ``_coded``
+    tokens only n-grams that may match."""
+    size, coded = F.size(tokens), isinstance(texts.schema[tokens].dataType.elementType, T.IntegerType)
     cut = texts.select(*keys, size.alias("_size"), tokens, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(size / F.lit(piece)) - 1, F.lit(0)))).alias("_at"))
     cut = (cut.select(*keys, "_at", F.slice(tokens, (F.col("_at") * piece + 1).cast("int"), piece + max_n - 1).alias("_t"))
            .repartition(*keys, "_at"))                # ranges, not texts, are dealt to the tasks
@@ -228,6 +264,8 @@ def _gram_rows(texts: DataFrame, keys: list[str], tokens: str, max_n: int, piece
     for n in range(1, max_n + 1):
         begins = F.least(F.size("_t") - (n - 1), F.lit(piece))
         at = F.when(begins > 0, F.sequence(F.lit(1), begins)).otherwise(F.array().cast("array<int>"))
+        if coded:                                    # an n-gram with a token that the other side has not can't match
+            at = F.filter(at, _may_match(n))
         grams.append(F.transform(at, _gram_at(n)))
     rows = cut.select(*keys, F.explode(F.concat(*grams)).alias("g")).select(*keys, "g.n", "g.gram")
     return rows.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
@@ -270,7 +308,7 @@ def bleu_parts(df: DataFrame, pred="pred", refs="refs", id_col="id", by: list[st
     if huge_chars is None:
         return at_once(df)
     huge = _huge(pred, refs, huge_chars)
-    rows = _numbered(_tokenised(df.where(huge), keys, pred, refs, tok13a))
+    rows = _numbered(_coded(_tokenised(df.where(huge), keys, pred, refs, tok13a)))
     clipped, _ = _huge_overlaps(rows, max_order, piece)
     m = clipped.groupBy("_row").agg(*[F.sum(F.when(F.col("n") == k, F.col("m"))).alias(f"m{k}") for k in range(1, max_order + 1)])
     lengths = rows.select("_row", *keys, *_bleu_columns(max_order)[:-1])
@@ -331,7 +369,7 @@ def rouge_n(df: DataFrame, pred="pred", refs="refs", id_col="id", orders=(1, 2),
     if huge_chars is None:
         return at_once(df)
     huge = _huge(pred, refs, huge_chars)
-    rows = _numbered(_tokenised(df.where(huge), keys, pred, refs, tok_rouge))
+    rows = _numbered(_coded(_tokenised(df.where(huge), keys, pred, refs, tok_rouge)))
     _, per_ref = _huge_overlaps(rows, max(orders), piece)
     scored = per_ref.join(rows.select("_row", F.size("_p").alias("mine")), "_row")
     p = F.col("m") / F.greatest(F.col("mine") - F.col("n") + 1, F.lit(1))

@@ -77,3 +77,13 @@ def test_traceback_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6 and len(places) == M._lcs(a, b)
+
+
+def test_only_n_grams_that_may_match_are_dealt(spark):
+    """Tokens that the other side has not are no n-grams, and the others are numbers."""
+    rows = spark.createDataFrame([(1, ["a", "x", "b", "c"], [["b", "c", "y"], ["a"]]), (2, [], [["a"]]), (3, ["q"] * 5, [])],
+                                 "_row long, _p array<string>, _r array<array<string>>")
+    coded = {r._row: (r._p, r._r) for r in M._coded(rows).collect()}
+    assert coded == {1: ([0, -1, 1, 2], [[1, 2, -1], [0]]), 2: ([], [[-1]]), 3: ([-1] * 5, [])}
+    grams = M._gram_rows(M._coded(rows).select("_row", "_p"), ["_row"], "_p", 2, 2)
+    assert sorted((r._row, r.n, r.gram, r.c) for r in grams.collect()) == [(1, 1, "0", 1), (1, 1, "1", 1), (1, 1, "2", 1), (1, 2, "1 2", 1)]

@@ -217,14 +217,19 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text",
-                    lang_col: str = "lang") -> list:
-    """At most ``per_lang`` rows (``lang``, ``part``) a language."""
+def slices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``lang``, ``h``, ``part``: a slice of every document that may be learned from."""
     h = F.xxhash64(docs[id_col].cast("string"))
     text = text_or_empty(docs, text_col)
     start = F.pmod(h, F.greatest(F.char_length(text) - SLICE, F.lit(1)).cast("long")).cast("int") + 1
-    rows = (docs.where(docs[id_col].isNotNull() & ~held_out(docs[id_col]) & docs[lang_col].isNotNull() & text.rlike(r"\p{L}"))
+    return (docs.where(docs[id_col].isNotNull() & ~held_out(docs[id_col]) & docs[lang_col].isNotNull() & text.rlike(r"\p{L}"))
             .select(docs[lang_col].cast("string").alias("lang"), h.alias("h"), F.substring(text, start, F.lit(SLICE)).alias("part")))
+
+
+def training_sample(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text",
+                    lang_col: str = "lang") -> list:
+    """At most ``per_lang`` rows (``lang``, ``part``) a language."""
+    rows = slices(docs, id_col, text_col, lang_col)
     r = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
     rows = rows.withColumn("r", r).where(F.col("r") <= per_lang).select("lang", "h", "part").collect()
     return sorted(rows, key=lambda x: (x.lang, x.h, x.part))
@@ -250,6 +255,26 @@ def level(net: BiGru, held: list, quantile: float = QUANTILE, share: float = STA
     return even + share * max(0.0, float(np.quantile(best, quantile)) - even)
 
 
+def level_of_all(net: BiGru, sample: list, held: list, rows: DataFrame) -> float:
+    """``level`` over the slices of all documents (``rows``) that were not learned from: the held-out ones of the sample and every one beyond it.  The quantile is
+    taken by Spark over all of them, to a rank of 1 in 100,000; where the sample is the whole table, it is ``level``."""
+    last: dict[str, tuple] = {}
+    for r in sample:
+        last[r.lang] = max(last.get(r.lang, (r.h, r.part)), (r.h, r.part))
+    end = F.create_map(*[F.lit(x) for k, v in last.items() for x in (k, v[0])])[F.col("lang")]
+    part = F.create_map(*[F.lit(x) for k, v in last.items() for x in (k, v[1])])[F.col("lang")]
+    beyond = rows.where((F.col("h") > end) | ((F.col("h") == end) & (F.col("part") > part))).select("part")
+    if held:
+        beyond = beyond.withColumn("more", F.lit(True)).unionByName(
+            rows.sparkSession.createDataFrame([(r.part, False) for r in held], "part string, more boolean"))
+    else:
+        beyond = beyond.withColumn("more", F.lit(True))
+    score = predictor(net)("part")["score"]
+    more, low = beyond.select("more", score.alias("score")).agg(F.count_if("more"), F.percentile_approx("score", QUANTILE, 100_000)).first()
+    even = 1 / len(net.langs)
+    return even + STANDS_OUT * max(0.0, low - even) if more else level(net, held)
+
+
 def predictor(net: BiGru | None):
     """Text column (no nulls) -> struct ``lang_pred``, ``score``."""
     @F.pandas_udf("lang_pred string, score double")
@@ -287,8 +312,8 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id",
 
 
 def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that have a letter and in which some learned language stands out: the score reaches ``level``, set from held-out slices of the
-    training sample, relative to the number of languages.  Mixed but clean texts stay; texts that the network finds as much like one language as another go.
+    """The rows of ``docs`` that have a letter and in which some learned language stands out: the score reaches ``level``, set from slices of all
+    labelled documents that the network has not learned from, relative to the number of languages.  Mixed but clean texts stay; texts that the network finds as much like one language as another go.
     A text in an unlearned language may still look like a learned one, and stays then.  Other columns don't pass through Python.  With nothing to learn from,
     or one language only, every row that has a letter stays."""
     sample = training_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
@@ -298,5 +323,6 @@ def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if net is None or len(net.langs) == 1:
         return docs.where(text.rlike(r"\p{L}"))
     (name,) = fresh(docs, "p")
+    least = level_of_all(net, sample, held, slices(docs, id_col, text_col, lang_col))
     out = docs.withColumn(name, predictor(net)(text))
-    return out.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= level(net, held))).select(*[docs[c] for c in docs.columns])
+    return out.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least)).select(*[docs[c] for c in docs.columns])

@@ -105,3 +105,18 @@ def test_language_level_follows_the_languages(spark):
         low = langid.level(net, held)
         assert 1 / len(langs) <= low <= 1 / len(langs) + langid.STANDS_OUT * (1 - 1 / len(langs)) + 1e-9
     assert langid.train(langid.training_sample(df)).f.uz.shape[0] == max(langid.HIDDEN, 2 * len(langs))
+
+
+def test_level_is_set_by_all_labelled_documents(spark):
+    """Beyond the sample the threshold follows every document not learned from; a table within the sample keeps its level."""
+    words = {"en": "the quick brown fox jumps over the lazy dog", "fi": "nopea ruskea kettu hyppii laiskan koiran yli"}
+    df = spark.createDataFrame([(i, words[k] + f" {i}", k) for i in range(600) for k in words], "doc_id long, text string, lang string")
+    rows, sample = langid.slices(df), langid.training_sample(df, per_lang=60)
+    held = sample[4::5]
+    net = langid.train([r for i, r in enumerate(sample) if i % 5 != 4])
+    assert rows.count() > 5 * len(sample) > 0
+    known = {(r.lang, r.h, r.part) for r in sample}
+    rest = [r for r in rows.collect() if (r.lang, r.h, r.part) not in known] + held
+    assert abs(langid.level_of_all(net, sample, held, rows) - langid.level(net, rest)) < 0.02
+    everything = langid.training_sample(df)
+    assert langid.level_of_all(net, everything, everything[4::5], rows) == langid.level(net, everything[4::5])

@@ -107,7 +107,7 @@ def tok_rouge(c) -> Column:
 
 
 #: tokens counted at once: bounds the memory of a batch of long texts (a longer row stands alone; see ``huge_chars``)
-SLICE_TOKENS = 1 << 20
+SLICE_TOKENS = 1 << 18
 #: tokens of a piece of a huge text
 PIECE_TOKENS = 1 << 16
 

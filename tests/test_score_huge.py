@@ -87,3 +87,19 @@ def test_only_n_grams_that_may_match_are_dealt(spark):
     assert coded == {1: ([0, -1, 1, 2], [[1, 2, -1], [0]]), 2: ([], [[-1]]), 3: ([-1] * 5, [])}
     grams = M._gram_rows(M._coded(rows).select("_row", "_p"), ["_row"], "_p", 2, 2)
     assert sorted((r._row, r.n, r.gram, r.c) for r in grams.collect()) == [(1, 1, "0", 1), (1, 1, "1", 1), (1, 1, "2", 1), (1, 2, "1 2", 1)]
+
+
+def test_a_batch_is_counted_in_little_memory():
+    """10,000 rows of 80 tokens with one reference each: the counts of a slice bound the memory, not the batch."""
+    import numpy as np
+    import pyarrow as pa
+    words = np.array([f"word{i}" for i in range(5000)], dtype=object)[np.random.default_rng(1).integers(0, 5000, 800_000)]
+    tokens = pa.ListArray.from_arrays(pa.array(np.arange(10_001) * 80, pa.int32()), pa.array(words))
+    refs = pa.ListArray.from_arrays(pa.array(np.arange(10_001), pa.int32()), tokens)
+    tracemalloc.start()
+    for t, r in M._slices(tokens, refs):
+        list(M._overlaps(t, r, 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(peak)
+    assert peak < 50e6

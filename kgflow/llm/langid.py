@@ -125,9 +125,10 @@ class BiGru:
     def probabilities(self, seq: np.ndarray) -> np.ndarray:
         """``seq`` (T, B) of bytes or PAD -> (T, B, languages)."""
         hf, _ = self.f.forward(seq)
-        hb, _ = self.b.forward(seq[::-1])
         k = hf.shape[2]
         p = hf.reshape(-1, k) @ self.w[:k]
+        del hf                                  # one direction's states at a time
+        hb, _ = self.b.forward(seq[::-1])
         p += hb[::-1].reshape(-1, k) @ self.w[k:]
         p += self.bias
         p -= p.max(axis=1, keepdims=True)
@@ -289,9 +290,9 @@ def predictor(net: BiGru | None):
             which = np.array([first.setdefault(values[i], len(first)) for i in at], dtype=np.int64)      # copies once
             distinct = [t.encode("utf-8", "replace") for t in first]
             pooled, i = np.zeros((len(distinct), len(langs))), 0
-            while i < len(distinct):            # some 8 MB of text at a time
+            while i < len(distinct):            # some 2 MB of text at a time
                 j, size = i, 0
-                while j < len(distinct) and (j == i or size + len(distinct[j]) < 8 << 20):
+                while j < len(distinct) and (j == i or size + len(distinct[j]) < 2 << 20):
                     size += len(distinct[j])
                     j += 1
                 pooled[i:j] = net.pool(distinct[i:j])

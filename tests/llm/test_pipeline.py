@@ -6,9 +6,10 @@ from collections import Counter
 
 import corpus_pipeline
 from llm_rows import SF001, none, odd, odd_rows  # noqa: F401
+from pyspark.sql import functions as F
 
 from kgflow.llm import langid, simhash
-from kgflow.llm.common import read, staged
+from kgflow.llm.common import BATCH_KEY, read, staged
 
 
 def rows(df):
@@ -120,3 +121,25 @@ def test_level_is_set_by_all_labelled_documents(spark):
     assert abs(langid.level_of_all(net, sample, held, rows) - langid.level(net, rest)) < 0.02
     everything = langid.training_sample(df)
     assert langid.level_of_all(net, everything, everything[4::5], rows) == langid.level(net, everything[4::5])
+
+
+def test_python_stages_bound_the_bytes_of_a_batch(spark):
+    """Rows of long texts come in batches of bounded size, and a bound that the session sets stays."""
+    bound = 4 << 20
+
+    def sizes(batches):
+        for b in batches:
+            yield b.assign(doc_id=int(b["text"].str.len().sum())).head(1)[["doc_id"]]
+
+    for name in ("language", "near_dedup", "decontaminate", "shard"):
+        session = spark.newSession()
+        session.conf.set("spark.sql.shuffle.partitions", 2)
+        docs = session.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("a").alias("source"),
+                                                  F.concat(F.col("id").cast("string"), F.lit(" w"), F.repeat(F.lit("x"), 50_000)).alias("text"))
+        assert max(r.doc_id for r in docs.mapInPandas(sizes, "doc_id long").collect()) > 2 * bound
+        dict(corpus_pipeline.STAGES)[name](session, docs, SF001)
+        got = [r.doc_id for r in docs.mapInPandas(sizes, "doc_id long").collect()]
+        assert sum(got) > 300 * 50_000 and max(got) <= bound + 60_000, name
+    session.conf.set(BATCH_KEY, "1m")
+    corpus_pipeline.shard(session, docs, SF001)
+    assert session.conf.get(BATCH_KEY) == "1m"

@@ -32,10 +32,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,7 @@ from kgflow.llm.common import fresh, key128, staged, text_or_empty
 WINDOW, MIN_LITERALS, MIN_COVER = 8, 5, 13
 BLOOM_BITS = 22                      # 2^22 bits, 512 KB
 CACHE = 1 << 18
+CHUNK = 1 << 20                      # characters read side by side
 LITERAL, NUM, NAME, UNIT = 0, 1, 2, 3
 KINDS = ("", "NUM", "NAME", "UNIT")
 # fixed values: common unit names and signs
@@ -73,16 +76,20 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 
 def is_number_word(low: str) -> bool:
     """A number written out: one word, a compound with hyphens (twenty-one, vingt-et-un), or a German compound."""
-    if low in NUMBER_WORDS or GERMAN.fullmatch(low):
+    if low in NUMBER_WORDS or "und" in low and GERMAN.fullmatch(low):
         return True
+    if "-" not in low:
+        return False
     parts = low.split("-")
     return len(parts) > 1 and parts[0] in NUMBER_WORDS and all(p in NUMBER_WORDS or p in ("one", "et", "un", "y", "neuf") for p in parts)
 
 
 def _word(raw: str):
     """(kind if not a name, form, capitalised, ends a sentence) of a raw word; no form: not a token."""
-    form = raw if raw.isalpha() else EDGE.sub("", raw)
-    ends = raw[-1:] in ".!?:;\"”»)\x00" if raw else True
+    form, ends = raw, False
+    if not raw.isalpha():
+        form = raw[:-1] if raw[:-1].isalpha() and raw[-1] in ".,;:!?" else EDGE.sub("", raw)
+        ends = raw[-1:] in ".!?:;\"”»)\x00"
     low = form.lower()
     if is_number_word(low):
         return NUM, low, False, ends
@@ -104,58 +111,65 @@ class Canon:
 
     def clear(self):
         self.ids.clear()
-        self.forms, self.kinds, self.caps, self.ends, self.hashes, self.exact = [], [], [], [], [], []
-        self._cols = tuple(np.zeros(0, dtype=t) for t in (np.int8, bool, bool, np.uint64, np.uint64, bool))
-
-    def add(self, raw: str) -> int:
-        kind, form, cap, ends = _word(raw)
-        self.ids[raw] = n = len(self.forms)
-        self.forms.append(form)
-        self.kinds.append(kind)
-        self.caps.append(cap)
-        self.ends.append(ends)
-        h = xxhash.xxh64_intdigest("\x00" + form)
-        self.exact.append(h)
-        self.hashes.append(KIND_HASHES[kind] if kind else h)
-        return n
-
-    def tokens(self, texts: list[str]) -> Iterator[tuple]:
-        """Each text's tokens: the word table's forms, the words' numbers in it, kinds, hashes, hashes of the forms
-        and whether it may as well be a name.
+        self.forms, self._cols = [], tuple(np.zeros(0, dtype=t) for t in (np.int8, bool, bool, np.uint64, np.uint64, bool))
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The numbers of different words; new ones are added."""
+        known = len(self.ids)
+        out = np.fromiter(map(self.ids.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            new = words[at].tolist()
+            out[at] = np.arange(known, known + len(at))
+            self.ids.update(zip(new, range(known, known + len(at)), strict=True))
+            kinds, forms, caps, ends = zip(*map(_word, new), strict=True)
+            self.forms += forms
+            kinds, full = np.array(kinds, dtype=np.int8), np.fromiter(map(len, forms), dtype=np.int64, count=len(at)) > 0
+            exact = np.fromiter((xxhash.xxh64_intdigest("\x00" + f) for f in forms), dtype=np.uint64, count=len(at))
+            hashes = np.where(kinds > 0, np.array(KIND_HASHES, dtype=np.uint64)[kinds], exact)
+            cols = kinds, np.array(caps, dtype=bool), np.array(ends, dtype=bool), hashes, exact, full
+            self._cols = tuple(np.concatenate(c) for c in zip(self._cols, cols, strict=True))
+        return out
+
+    def together(self, texts: list[str]) -> tuple[tuple, np.ndarray]:
+        """The texts' tokens one text after the other: the word table's forms, the words' numbers in it, kinds, hashes, hashes of the forms
+        and whether it may as well be a name; and where each text begins, with the end of the last.
         A unit is one only after a number."""
         if len(self.ids) > CACHE:
             self.clear()
-        ids, rows = self.ids, []
-        for text in texts:
-            words = text.replace("\n", " \x00 ").split()        # a line's start is a sentence's
-            for w in words:
-                if w not in ids:
-                    self.add(w)
-            rows.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)))
-        all_kinds, all_caps, all_ends, all_hashes, all_exact, all_full = self.columns()
-        for at in rows:
-            full = all_full[at]
-            first = np.r_[True, all_ends[at[:-1]]][:len(at)]
-            caps = all_caps[at][full]
-            name = caps & ~first[full]
-            at = at[full]
-            kinds = all_kinds[at]
-            kinds[name & (kinds == LITERAL)] = NAME
-            hashes = all_hashes[at]
-            hashes[kinds == NAME] = NAME_HASH
-            loose = np.flatnonzero((kinds == UNIT) & ~np.r_[False, kinds[:-1] == NUM][:len(kinds)])
-            exact = all_exact[at]
-            hashes[loose] = exact[loose]
-            either = caps & ~name & (kinds == LITERAL)
-            kinds[loose] = LITERAL
-            yield self.forms, at, kinds, hashes, exact, either
-
-    def columns(self):
-        n = len(self._cols[0])
-        if n < len(self.forms):              # the new words only
-            new = (self.kinds[n:], self.caps[n:], self.ends[n:], self.hashes[n:], self.exact[n:], [f != "" for f in self.forms[n:]])
-            self._cols = tuple(np.concatenate([c, np.array(x, dtype=c.dtype)]) for c, x in zip(self._cols, new, strict=True))
-        return self._cols
+        # a line's start is a sentence's; a text that begins or ends with white space has an empty word there, which is no token
+        rows = pc.utf8_split_whitespace(pa.array([text.replace("\n", " \x00 ") for text in texts], pa.string()))
+        bounds, words = rows.offsets.to_numpy().astype(np.int64), rows.values.dictionary_encode()
+        at = self.numbers(words.dictionary.to_numpy(zero_copy_only=False))[words.indices.to_numpy()]
+        all_kinds, all_caps, all_ends, all_hashes, all_exact, all_full = self._cols
+        full = all_full[at]
+        first = _after(all_ends[at], bounds, True)[full]
+        bounds = np.r_[0, np.cumsum(full)][bounds]
+        at = at[full]
+        kinds, exact, caps = all_kinds[at], all_exact[at], all_caps[at] & (all_kinds[at] == LITERAL)
+        either = caps & first
+        name = caps & ~first
+        kinds[name] = NAME
+        hashes = all_hashes[at]
+        hashes[name] = NAME_HASH
+        loose = np.flatnonzero((kinds == UNIT) & ~_after(kinds == NUM, bounds, False))
+        hashes[loose] = exact[loose]
+        kinds[loose] = LITERAL
+        return (self.forms, at, kinds, hashes, exact, either), bounds
+
+    def tokens(self, texts: list[str]) -> Iterator[tuple]:
+        """Each text's tokens."""
+        (forms, *cols), bounds = self.together(texts)
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            yield forms, *(c[lo:hi] for c in cols)
+
+
+def _after(flags: np.ndarray, bounds: np.ndarray, start: bool) -> np.ndarray:
+    """The flag of the place before each place, ``start`` for a text's first."""
+    out = np.empty(len(flags), dtype=bool)
+    out[1:] = flags[:-1]
+    out[bounds[:-1][bounds[:-1] < bounds[1:]]] = start
+    return out
 
 
 def _sum(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -183,17 +197,24 @@ def _sums(flags: np.ndarray, w: int) -> np.ndarray:
     return n[w:] - n[:-w]
 
 
-def windows(tokens, w: int, min_literals: int):
-    """Start, hash and reading of the windows of ``w`` tokens, doubtful words all as literals and all as names."""
+def windows(tokens, w: int, min_literals: int, bounds: np.ndarray | None = None):
+    """Start, hash and reading of the windows of ``w`` tokens, doubtful words all as literals and all as names; of several
+    texts together the windows within each (``bounds`` as from ``Canon.together``)."""
     _, _, kinds, hashes, exact, either = tokens
     if len(kinds) < w or w < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    within = np.ones(len(kinds) - w + 1, dtype=bool)
+    if bounds is not None:
+        for j in range(1, w):                # the windows that begin j places before another text
+            cut = bounds[1:-1] - j
+            within[cut[(cut >= 0) & (cut < len(within))]] = False
     need = min(min_literals, w)
     lit, names = _sums(kinds == LITERAL, w), _sums(either, w)
     out = []
-    for reading, ok, of in ((PLAIN, lit >= need, hashes), (NAMED, (names > 0) & (lit - names >= need), np.where(either, NAME_HASH, hashes)),
-                            (EXACT, lit - names < need, exact)):
-        at = np.flatnonzero(ok)
+    sure = lit - names >= need
+    for reading, ok, of in ((PLAIN, lit >= need, hashes), (NAMED, (names > 0) & sure, np.where(either, NAME_HASH, hashes)),
+                            (EXACT, ~sure, exact)):
+        at = np.flatnonzero(ok & within)
         if reading == EXACT and 8 * len(at) < len(ok):         # few: roll them alone
             if len(at):
                 h = _roll(exact[at[:, None] + np.arange(w)].ravel(), w)[::w]
@@ -271,6 +292,19 @@ def _bloom(spark, wins: DataFrame):
     return spark.sparkContext.broadcast(words.view(np.uint64))
 
 
+def _chunks(names: list, texts: dict) -> Iterator[list]:
+    """The names in parts of about ``CHUNK`` characters."""
+    part, size = [], 0
+    for k in names:
+        part.append(k)
+        size += len(texts[k])
+        if size >= CHUNK:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def doc_windows(rows: DataFrame, bloom, lengths: list[int], min_literals: int) -> DataFrame:
     """``id``, ``k1``, ``k2``, ``t`` -> windows that may be the benchmark's."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,17 +313,18 @@ def doc_windows(rows: DataFrame, bloom, lengths: list[int], min_literals: int) -
             out, keys = [], list(zip(pdf["k1"], pdf["k2"], strict=True))
             known = dict(zip(keys, pdf["t"], strict=True))              # copies within a batch once
             names = list(known)
-            for lo in range(0, len(names), 500):
-                for key, tok in zip(names[lo:lo + 500], canon.tokens([known[k] for k in names[lo:lo + 500]]), strict=True):
-                    found = []
-                    for w in lengths:
-                        at, h, reading = windows(tok, w, min_literals)
-                        hit = _maybe(words, h)
-                        if len(hit):
-                            kinds = tok[2], np.where(tok[5], NAME, tok[2]), tok[2]
-                            found += [(int(s), w, int(x), r, *_describe(tok, kinds[r], s, w, r))
-                                      for s, x, r in zip(at[hit], h[hit].view(np.int64), reading[hit], strict=True)]
-                    known[key] = found
+            for part in _chunks(names, known):
+                tok, bounds = canon.together([known[k] for k in part])
+                kinds = tok[2], np.where(tok[5], NAME, tok[2]), tok[2]
+                for k in part:
+                    known[k] = []
+                for w in lengths:
+                    at, h, reading = windows(tok, w, min_literals, bounds)
+                    hit = _maybe(words, h)
+                    at, h, reading = at[hit], h[hit].view(np.int64), reading[hit]
+                    of = np.searchsorted(bounds, at, side="right") - 1
+                    for s, x, r, i in zip(at, h, reading, of, strict=True):
+                        known[part[i]].append((int(s - bounds[i]), w, int(x), r, *_describe(tok, kinds[r], s, w, r)))
             for i, (k1, k2) in zip(pdf["id"], keys, strict=True):
                 out += [(i, k1, k2, *f) for f in known[k1, k2]]
             f = pd.DataFrame(out, columns=["id", "k1", "k2", "pos", "w", "h", "reading", "template", "slots"])

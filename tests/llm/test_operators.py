@@ -232,6 +232,21 @@ def test_decontamination_finds_items_of_numbers_and_names(spark):
     assert found_items(spark, items, texts) == {(0, 0), (1, 1), (2, 2), (3, 3), (6, 2)}         # other values in thin windows are other items
 
 
+def test_decontamination_reads_texts_side_by_side():
+    texts = ["", "Anna saw 3 red boats. Anna sold 2 of them in May to Paul Meyer", "one two", " \n\t ", "30 m", "m from the old harbour of Genoa at 5 km. Then\nLisa rowed back to it alone, in 12 minutes",
+             "x", "Tom has three apples and Sam eats twenty-one of the apples that Tom bought on Monday", "Zwei\u3000Boote fuhren\x85nach Genua . . ! und 5 kg Fische dazu, sagte Anna leise", "  "]
+    tok, bounds = decontam.Canon().together(texts)
+    assert bounds[0] == 0 and len(bounds) == len(texts) + 1 and bounds[-1] == len(tok[1])
+    alone = [next(decontam.Canon().tokens([t])) for t in texts]
+    for w in (1, 2, 3, 8):
+        at, h, reading = decontam.windows(tok, w, 5, bounds)
+        of = np.searchsorted(bounds, at, side="right") - 1
+        got = sorted(zip(of.tolist(), (at - bounds[of]).tolist(), h.tolist(), reading.tolist(), strict=True))
+        assert got == sorted((i, *x) for i, t in enumerate(alone) for x in zip(*(c.tolist() for c in decontam.windows(t, w, 5)), strict=True))
+    canon = decontam.Canon()
+    assert [len(t[1]) for t in canon.tokens(texts)] == [0, 15, 2, 0, 2, 20, 1, 16, 13, 0] and len(canon.forms) == len(canon.ids)
+
+
 def test_decontamination_of_numbers_written_out(spark):
     items = ["If three workers paint five large walls with seven cans of white paint, how many more cans does the whole old house need today?",
              "Wenn drei Arbeiter in vierundzwanzig Stunden eine hohe alte Mauer am Fluss bauen, wie lange brauchen dann alle anderen dort?",

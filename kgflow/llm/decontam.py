@@ -47,7 +47,7 @@ from kgflow.llm.common import fresh, key128, staged, text_or_empty
 WINDOW, MIN_LITERALS, MIN_COVER = 8, 5, 13
 BLOOM_BITS = 22                      # 2^22 bits, 512 KB
 CACHE = 1 << 18
-CHUNK = 1 << 20                      # characters read side by side
+CHUNK = 1 << 19                      # characters read side by side
 LITERAL, NUM, NAME, UNIT = 0, 1, 2, 3
 KINDS = ("", "NUM", "NAME", "UNIT")
 # fixed values: common unit names and signs

@@ -201,8 +201,9 @@ def windows(tokens, w: int, min_literals: int, bounds: np.ndarray | None = None)
     """Start, hash and reading of the windows of ``w`` tokens, doubtful words all as literals and all as names; of several
     texts together the windows within each (``bounds`` as from ``Canon.together``)."""
     _, _, kinds, hashes, exact, either = tokens
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
     if len(kinds) < w or w < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        return none
     within = np.ones(len(kinds) - w + 1, dtype=bool)
     if bounds is not None:
         for j in range(1, w):                # the windows that begin j places before another text
@@ -222,7 +223,7 @@ def windows(tokens, w: int, min_literals: int, bounds: np.ndarray | None = None)
         elif len(at):
             h = _roll(of, w)[at]
             out.append((at, h ^ THIN if reading == EXACT else h, np.full(len(at), reading, dtype=np.int8)))
-    return tuple(map(np.concatenate, zip(*out, strict=True)))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else none
 
 
 def all_windows(tokens, w: int, min_literals: int) -> Iterator[tuple]:

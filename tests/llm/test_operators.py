@@ -243,6 +243,8 @@ def test_decontamination_reads_texts_side_by_side():
         of = np.searchsorted(bounds, at, side="right") - 1
         got = sorted(zip(of.tolist(), (at - bounds[of]).tolist(), h.tolist(), reading.tolist(), strict=True))
         assert got == sorted((i, *x) for i, t in enumerate(alone) for x in zip(*(c.tolist() for c in decontam.windows(t, w, 5)), strict=True))
+    short = decontam.Canon().together(["a few words", "and some more", "30 m of rope"] * 3)         # no window within a text
+    assert [len(x) for x in decontam.windows(short[0], 8, 5, short[1])] == [0, 0, 0]
     canon = decontam.Canon()
     assert [len(t[1]) for t in canon.tokens(texts)] == [0, 15, 2, 0, 2, 20, 1, 16, 13, 0] and len(canon.forms) == len(canon.ids)
 

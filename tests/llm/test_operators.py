@@ -6,8 +6,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,6 +358,36 @@ def test_quality_judges_every_script(spark):
     assert len(re.findall(kn_quality.UNIT, "don’t 漢字 かな 12")) == 9
 
 
+def test_quality_in_rounds_takes_little_disk(spark, monkeypatch):
+    rng = random.Random(18)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, range(400, 0, -1), k=500)) for _ in range(80)]
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+
+    def used():
+        return sum(f.stat().st_size for f in folder.rglob("*.parquet") if "/staged/kn-" in str(f))
+    once = word_quality(spark, texts, range(0, 80, 2))
+    monkeypatch.setattr(kn_quality, "ROUNDS", 2)
+    monkeypatch.setattr(kn_quality, "ONE_ROUND", 0)
+    before = used()
+    got = word_quality(spark, texts, range(0, 80, 2))
+    assert all(np.isclose(got[i].perplexity, once[i].perplexity, rtol=1e-12) and got[i].keep == once[i].keep for i in range(80))
+    assert used() - before < 1.5 * sum(map(len, texts))             # counts and model as rows of hashes took more
+
+
+def test_blocks_keep_every_triple():
+    texts = ["a b a", "", " ", "b", "c a b a c"]
+    frames = [pd.DataFrame({"tk": range(i, i + len(x)), "t": x}) for i, x in ((0, texts[:2]), (2, texts[2:]))]
+    (names, (a, b, c, row), docs), = kn_quality._blocks(iter(frames))
+    assert docs["units"].tolist() == [3, 0, 0, 1, 5] and docs["tk"].tolist() == [0, 1, 2, 3, 4]
+    assert np.bincount(row, minlength=5).tolist() == [4, 0, 0, 2, 6]
+    often = {int(names[b[1]]): 3}
+    dealt = list(kn_quality._dealt(names, a, b, 4, often))
+    assert sorted(np.concatenate([at for _, at in dealt]).tolist()) == list(range(len(a)))
+    arrays = [names, a, np.zeros(0, np.int8), row.astype(np.float64)]
+    assert all(np.array_equal(x, y) and x.dtype == y.dtype for x, y in zip(arrays, kn_quality.unpack(kn_quality.pack(*arrays)), strict=True))
+
+
 # ---- 6
 def brute_lines(rows):
     def key(x):

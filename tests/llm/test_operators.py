@@ -360,7 +360,7 @@ def test_quality_judges_every_script(spark):
 
 def test_quality_in_rounds_takes_little_disk(spark, monkeypatch):
     rng = random.Random(18)
-    words = [f"w{i}" for i in range(400)]
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
     texts = [" ".join(rng.choices(words, range(400, 0, -1), k=500)) for _ in range(80)]
     folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
 
